@@ -9,6 +9,7 @@ from .operators.weights import nonnegative_least_squares, row_weights
 from .plans.compare import compare, default_methods, variance_experiment
 from .plans.factorize import Factorization, factorize, fit_basis, initial_basis, repeat_fit
 from .plans.separable_nmf import SeparableNMF, separable_nmf
+from .session import ship_package
 from .sources.delimited import parse_lines, read_delimited, write_basis
 from .sources.noise import add_gaussian, add_group_mixture, add_row_mixture
 from .sources.planted import banded_basis, normal_basis, planted, random_matrix

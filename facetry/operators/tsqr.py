@@ -82,9 +82,10 @@ def mllib_r(df: DataFrame) -> np.ndarray:
     """R from the built-in RowMatrix, for comparison; signs are made the same."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.util import MLUtils
 
-    rows = df.select(array_to_vector("features").alias("v")).rdd.map(lambda row: Vectors.fromML(row.v))
+    vectors = df.select(array_to_vector("features").alias("v"))
+    rows = MLUtils.convertVectorColumnsFromML(vectors, "v")
     r = RowMatrix(rows).tallSkinnyQR(computeQ=False).R.toArray()
     return r * np.where(np.diagonal(r) < 0, -1.0, 1.0)[:, None]
 

@@ -18,7 +18,7 @@ WEIGHTS = "row_id bigint, group_id int, h array<double>"
 
 
 def simplex_minimiser(
-    b: np.ndarray, q: np.ndarray, alpha: np.ndarray, eps: float = 1e-5, tol: float = 1e-9, max_iter: int = 100
+    b: np.ndarray, q: np.ndarray, alpha: np.ndarray, eps: float = 1e-5, tol: float = 1e-11, max_iter: int = 100
 ) -> np.ndarray:
     """Rows h minimising h'qh/2 - b'h - sum alpha log h on sum(h) = 1.
 
@@ -76,11 +76,13 @@ def simplex_minimiser(
 def nonnegative_minimiser(b: np.ndarray, q: np.ndarray, max_iter: int = 200) -> np.ndarray:
     """Rows h >= 0 minimising h'qh/2 - b'h, by block principal pivoting (Kim and Park 2011).
 
-    Rows that share a set of free variables share one factorisation. A tiny ridge keeps rank-deficient
-    ``q`` solvable.
+    Rows that share a set of free variables share one factorisation. A rank-deficient ``q`` gets a
+    tiny ridge, which makes the minimiser unique.
     """
     n, r = b.shape
-    q = q + 1e-10 * max(float(np.trace(q)) / r, 1e-300) * np.eye(r)
+    values = np.linalg.eigvalsh(q)
+    if values[0] <= 1e-12 * max(values[-1], 1e-300):
+        q = q + 1e-10 * max(values[-1], 1e-300) * np.eye(r)
     free = np.zeros((n, r), dtype=bool)
     h = np.zeros((n, r))
     grad = -b

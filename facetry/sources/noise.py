@@ -17,20 +17,20 @@ from ..operators.blocks import dense, lists, replace_column, vector
 def add_gaussian(df: DataFrame, sd: float | Column = 0.01, seed: int = 0) -> DataFrame:
     """features + sd * N(0,1) per cell; ``sd`` may be a Column, that is, differ by row."""
     out = df.schema
-    marked = df.withColumn("_sd", (F.lit(float(sd)) if isinstance(sd, (int, float)) else sd).cast("double"))
+    marked = df.withColumn("_noise_sd", (F.lit(float(sd)) if isinstance(sd, (int, float)) else sd).cast("double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = dense(batch)
-            ids, sds = vector(batch, "row_id"), vector(batch, "_sd")
+            ids, sds = vector(batch, "row_id"), vector(batch, "_noise_sd")
             loud = sds != 0.0
             if loud.any():
                 x = x.copy()
                 slots = np.arange(x.shape[1])[None, :]
                 x[loud] += sds[loud, None] * counter.normal(ids[loud, None], slots, seed)
-            keep = batch.drop_columns(["_sd"])
+            keep = batch.drop_columns(["_noise_sd"])
             yield replace_column(keep, "features", lists(x))
 
     return marked.mapInArrow(run, out)
