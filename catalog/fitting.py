@@ -559,7 +559,7 @@ def nonnegative_fit(spark, sf):
     model = fy.factorize(
         fx.order_sales(spark, sf), 2, solver="cease", lam=0.1, hyper=1e-4, weights="nonnegative", max_iter=3, seed=1
     )
-    return model.weights(fx.order_sales(spark, sf))
+    return cells(model.weights(fx.order_sales(spark, sf)), "h", "group_id")
 
 
 @query(

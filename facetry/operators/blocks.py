@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+PACKED = "n int, groups binary, cells binary"
+
+
 class TooLarge(ValueError):
     """A result that would not fit on the driver or in a task closure."""
 
@@ -23,7 +26,10 @@ def dense(batch: pa.RecordBatch, column: str = "features") -> np.ndarray:
     """An array column as an (n, m) float64 block, without per-row Python objects."""
     lists = batch.column(column)
     n = len(lists)
-    cells = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    flat = lists.flatten()
+    if lists.null_count or flat.null_count:
+        raise ValueError(f"{column} holds nulls")
+    cells = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if n == 0:
         return cells.reshape(0, 0)
     if cells.size % n:
@@ -46,6 +52,48 @@ def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Rec
     return batch.set_column(batch.schema.get_field_index(name), name, values)
 
 
+def pack_blocks(df: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
+    """Rows ``group_id, features`` as few rows of raw cells: ``n, groups BINARY, cells BINARY``.
+
+    For tables that are read again and again: a block crosses to Python as one copy instead of cell
+    by cell. A block keeps the order of its rows and holds about ``block_bytes``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = dense(batch)
+            groups = vector(batch, "group_id").astype(np.int32)
+            per_block = max(1, block_bytes // (8 * x.shape[1]))
+            for k in range(0, len(x), per_block):
+                part = slice(k, k + per_block)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([len(groups[part])], pa.int32()),
+                        pa.array([groups[part].tobytes()], pa.binary()),
+                        pa.array([np.ascontiguousarray(x[part]).tobytes()], pa.binary()),
+                    ],
+                    names=["n", "groups", "cells"],
+                )
+
+    return df.select("group_id", "features").mapInArrow(run, PACKED)
+
+
+def grouped_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(group ids, (n, m) block) pairs of a plain or packed batch."""
+    if "cells" not in batch.schema.names:
+        if batch.num_rows:
+            yield vector(batch, "group_id"), dense(batch)
+        return
+    for n, groups, cells in zip(*(batch.column(c) for c in ("n", "groups", "cells"))):
+        rows = n.as_py()
+        yield (
+            np.frombuffer(groups.as_buffer(), dtype=np.int32),
+            np.frombuffer(cells.as_buffer(), dtype=np.float64).reshape(rows, -1),
+        )
+
+
 def map_blocks(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str = "features") -> DataFrame:
     """Apply a numpy function to each (n, m) block of rows.
 

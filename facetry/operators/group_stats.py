@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import check_cells, dense, vector
+from .blocks import check_cells, dense, grouped_rows, vector
 from .weights import Bases, weight_kernel
 
 LONG = "group_id int, kind tinyint, i int, j int, value double"
@@ -74,22 +74,21 @@ def _summed(partials: DataFrame) -> DataFrame:
 def solved_statistics(
     df: DataFrame, bases: Bases, mode: str = "simplex", alpha: float | np.ndarray = 0.1, eps: float = 1e-5
 ) -> DataFrame:
-    """Solve every row's weights for a basis and keep only the statistics."""
+    """Solve every row's weights for a basis and keep only the statistics; ``df`` may be packed."""
     kernel = weight_kernel(bases, mode, alpha, eps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            groups, x = vector(batch, "group_id"), dense(batch)
-            h, sse = kernel(groups, x)
-            sums.add(groups, x, h, sse)
+            for groups, x in grouped_rows(batch):
+                h, sse = kernel(groups, x)
+                sums.add(groups, x, h, sse)
             if sums.cells > FLUSH_CELLS:
                 yield from sums.flush()
         yield from sums.flush()
 
-    return _summed(df.select("group_id", "features").mapInArrow(run, LONG))
+    rows = df if "cells" in df.columns else df.select("group_id", "features")
+    return _summed(rows.mapInArrow(run, LONG))
 
 
 def weighted_statistics(df: DataFrame, bases: Bases | None = None) -> DataFrame:
@@ -119,10 +118,10 @@ def weighted_statistics(df: DataFrame, bases: Bases | None = None) -> DataFrame:
     return _summed(df.select("group_id", "features", "h").mapInArrow(run, LONG))
 
 
-def group_gram(df: DataFrame, column: str = "features") -> DataFrame:
-    """``group_id, i, j, value``: per group sum of x_i x_j, both triangles.
+def upper_gram(df: DataFrame, column: str = "features") -> DataFrame:
+    """``group_id, i, j, value``: per group sum of x_i x_j for i <= j.
 
-    Tasks emit the upper triangle of their partial sums; the mirror is added after the shuffle.
+    Tasks emit the upper triangle of their partial sums, and a hash aggregate adds the tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +153,13 @@ def group_gram(df: DataFrame, column: str = "features") -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    upper = (
-        df.select("group_id", column)
-        .mapInArrow(run, "group_id int, i int, j int, value double")
-        .groupBy("group_id", "i", "j")
-        .agg(F.sum("value").alias("value"))
-    )
+    partials = df.select("group_id", column).mapInArrow(run, "group_id int, i int, j int, value double")
+    return partials.groupBy("group_id", "i", "j").agg(F.sum("value").alias("value"))
+
+
+def group_gram(df: DataFrame, column: str = "features") -> DataFrame:
+    """``group_id, i, j, value``: per group sum of x_i x_j, both triangles (mirrored after the shuffle)."""
+    upper = upper_gram(df, column)
     both = F.when(
         F.col("i") < F.col("j"),
         F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))),
@@ -179,10 +179,11 @@ def gram_matrix(df: DataFrame, column: str = "features", max_cells: int = 20_000
     """X'X on the driver; only for widths whose square stays under ``max_cells``."""
     width = df.select(F.size(column)).first()[0]
     check_cells(width * width, max_cells, "the Gram matrix")
-    cells = gram(df, column).toArrow()
+    cells = upper_gram(df.select(F.lit(0).alias("group_id"), column), column).toArrow()
     out = np.zeros((width, width))
     i, j, v = (cells.column(c).to_numpy() for c in ("i", "j", "value"))
     out[i, j] = v
+    out[j, i] = v
     return out
 
 
@@ -219,7 +220,23 @@ def read_state(
     c = len(groups)
     check_cells(c * (rank * rank + rank + 4 + (width * rank if with_cross else 0)), max_cells, "the group statistics")
     table = (stats if with_cross else stats.filter(F.col("kind") != CROSS)).toArrow()
-    gid, kind, i, j, v = (table.column(k).to_numpy() for k in ("group_id", "kind", "i", "j", "value"))
+    cells = (table.column(k).to_numpy() for k in ("group_id", "kind", "i", "j", "value"))
+    return state_from_cells(*cells, groups, width, rank, with_cross)
+
+
+def state_from_cells(
+    gid: np.ndarray,
+    kind: np.ndarray,
+    i: np.ndarray,
+    j: np.ndarray,
+    v: np.ndarray,
+    groups: np.ndarray,
+    width: int,
+    rank: int,
+    with_cross: bool = True,
+) -> GroupState:
+    """Dense statistics from their long rows."""
+    c = len(groups)
     at = np.searchsorted(groups, gid)
     scalars, sum_h = np.zeros((c, 4)), np.zeros((c, rank))
     g, p = np.zeros((c, rank, rank)), np.zeros((width, c, rank)) if with_cross else None
@@ -235,6 +252,44 @@ def read_state(
     return GroupState(groups, scalars[:, 0], scalars[:, 1], scalars[:, 2], scalars[:, 3], sum_h, g, p)
 
 
+def pooled_state(
+    stats: DataFrame, width: int, rank: int, *, noise_aware: bool, max_cells: int = 20_000_000
+) -> tuple[GroupState, np.ndarray]:
+    """Precision-weighted sums over all groups, added up in Spark: (state of one pseudo-group, variances).
+
+    For tables with so many groups that even their rank x rank matrices are too large for one process. Only the row
+    count and squared error of each group come to the driver. Enough for the solvers that use sums
+    over groups alone.
+    """
+    check_cells(width * rank + rank * rank, max_cells, "the pooled statistics")
+    scalars = (
+        stats.filter(F.col("kind") == SCALAR)
+        .groupBy("group_id")
+        .agg(*[F.sum(F.when(F.col("i") == k, F.col("value"))).alias(c) for k, c in enumerate("neos")])
+        .withColumn("variance", (F.col("e") + 1.0) / (4.0 + width * F.col("n")))
+    )
+    table = scalars.orderBy("group_id").toArrow()
+    groups, n, sse, logs, squares, variances = (
+        table.column(c).to_numpy() for c in ("group_id", "n", "e", "o", "s", "variance")
+    )
+    share = (1.0 / variances) / (1.0 / variances).sum() if noise_aware else np.full(len(groups), 1.0 / len(groups))
+    if noise_aware:
+        total = float((1.0 / variances).sum())
+        weigh = scalars.select("group_id", (1.0 / F.col("variance") / total).alias("omega"))
+        weighted = stats.filter(F.col("kind") >= GRAM).join(weigh, "group_id")
+    else:
+        weighted = stats.filter(F.col("kind") >= GRAM).withColumn("omega", F.lit(1.0 / len(groups)))
+    sums = weighted.groupBy("kind", "i", "j").agg(F.sum(F.col("value") * F.col("omega")).alias("value")).toArrow()
+    kind, i, j, v = (sums.column(c).to_numpy() for c in ("kind", "i", "j", "value"))
+    g, p = np.zeros((1, rank, rank)), np.zeros((width, 1, rank))
+    at = kind == GRAM
+    g[0, i[at], j[at]] = v[at]
+    at = kind == CROSS
+    p[i[at], 0, j[at]] = v[at]
+    state = GroupState(groups, n, sse, logs, squares, np.zeros((len(groups), 0)), g, p)
+    return state, share
+
+
 def group_ids(df: DataFrame, max_groups: int = 1_000_000) -> np.ndarray:
     """Sorted group ids; the list of groups is bounded by ``max_groups``."""
     ids = df.select("group_id").distinct().limit(max_groups + 1).toArrow().column("group_id").to_numpy()

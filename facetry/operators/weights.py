@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from .blocks import dense, lists, vector
 
 WEIGHTS = "row_id bigint, group_id int, h array<double>"
+SYSTEM_CELLS = 1_000_000  # cells of the stacked Newton systems solved at once
 
 
 def simplex_minimiser(
@@ -29,6 +30,10 @@ def simplex_minimiser(
     n, r = b.shape
     if r == 1:
         return np.ones((n, 1))
+    chunk = max(1, SYSTEM_CELLS // (r * r))
+    if n > chunk:
+        parts = [simplex_minimiser(b[k : k + chunk], q, alpha, eps, tol, max_iter) for k in range(0, n, chunk)]
+        return np.concatenate(parts)
     out = np.empty((n, r))
     rows = np.arange(n)
     h = np.full((n, r), 1.0 / r)

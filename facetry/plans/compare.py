@@ -7,15 +7,16 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import basis as B
-from ..operators.group_stats import GroupState, read_state, weighted_statistics
+from ..operators.group_stats import GRAM, read_state, state_from_cells, weighted_statistics
 from ..operators.scoring import accuracy, contingency, f_measure, label_pairs, match_classes
 from ..sources.noise import add_gaussian
 from ..sources.planted import planted
-from .factorize import factorize, fit_basis_from
+from .factorize import alternate, factorize
 from .separable_nmf import separable_nmf
 
 Method = Callable[[DataFrame], DataFrame]
@@ -105,7 +106,8 @@ def variance_experiment(
 ) -> VarianceExperiment:
     """Repeat the noise, not the weights, and estimate the basis plainly and noise-aware each time.
 
-    All repeats are one Spark pass: a repeat is a set of extra groups, and its noise is keyed by it.
+    All repeats are one Spark pass: a repeat is a set of extra groups, and its noise is keyed by it. Each
+    repeat's estimates are then made from its own summed statistics, in parallel.
     """
     basis = np.asarray(basis, dtype=float)
     width, rank = basis.shape
@@ -121,23 +123,25 @@ def variance_experiment(
         "_sd",
     )
     noisy = add_gaussian(copies, F.col("_sd"), seed + 1).drop("_sd")
-    groups = np.arange(repeats * c)
-    state = read_state(weighted_statistics(noisy), groups, width, rank)
-    rows = []
-    for k in range(repeats):
-        part = _groups_of(state, slice(k * c, (k + 1) * c))
+    stats = weighted_statistics(noisy)
+    one_run = stats.filter((F.col("kind") == GRAM) & (F.col("group_id") < c))
+    grams = read_state(one_run, np.arange(c), width, rank, with_cross=False).gram
+
+    def estimate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        run = int(key[0])
+        state = state_from_cells(*(pdf[k].to_numpy() for k in ("group_id", "kind", "i", "j", "value")),
+                                 np.arange(run * c, (run + 1) * c), width, rank)
+        parts = []
         for name, aware in (("plain", False), ("aware", True)):
-            w, _, _ = fit_basis_from(
-                part, width, np.zeros_like(basis), solver, 0.0, hyper, aware, rounds if aware else 1, inner_iter, None
-            )
-            rows += [(name, k, i, j, float(w[i, j])) for i in range(width) for j in range(rank)]
-    plain, aware = B.estimate_variance(state.gram[:c], np.asarray(sigmas), hyper)
-    estimates = keys.sparkSession.createDataFrame(rows, "method string, run int, i int, j int, value double")
-    return VarianceExperiment(estimates, plain, aware)
-
-
-def _groups_of(state: GroupState, pick: slice) -> GroupState:
-    return GroupState(
-        state.groups[pick], state.n[pick], state.sse[pick], state.log_h[pick], state.squares[pick],
-        state.sum_h[pick], state.gram[pick], state.cross[:, pick],
+            w, _ = alternate(state, width, np.zeros((width, rank)), solver, hyper, aware, rounds, inner_iter)
+            i, j = np.indices(w.shape)
+            parts.append(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "value": w.ravel()}).assign(method=name, run=run))
+        return pd.concat(parts)
+
+    estimates = (
+        stats.withColumn("run", F.floor(F.col("group_id") / c).cast("int"))
+        .groupBy("run")
+        .applyInPandas(estimate, "method string, run int, i int, j int, value double")
     )
+    plain, aware = B.estimate_variance(grams, np.asarray(sigmas), hyper)
+    return VarianceExperiment(estimates, plain, aware)

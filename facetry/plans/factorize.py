@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from ..functions import counter
 from ..functions.arrays import argmax
 from ..operators import basis as B
-from ..operators.blocks import check_cells, dense
+from ..operators.blocks import check_cells, dense, pack_blocks
 from ..operators.group_stats import (
     GroupState,
     group_ids,
     noise_variances,
+    pooled_state,
     read_state,
     rescale_groups,
     solved_statistics,
@@ -38,7 +39,8 @@ HISTORY = (
     "run int, step int, objective double, penalised double, fit_error double, mean_loss double, "
     "violation double, seconds double"
 )
-DRIVER_CELLS = 20_000_000
+BASIS_CELLS = 20_000_000
+DRIVER_CELLS = 4_000_000
 
 
 def initial_basis(
@@ -126,6 +128,7 @@ def factorize(
     run: int = 0,
     cache: bool = True,
     driver_cells: int = DRIVER_CELLS,
+    pool_groups: bool | None = None,
 ) -> Factorization:
     """Fit a feature table (``row_id, group_id, features``).
 
@@ -135,8 +138,13 @@ def factorize(
     noise_aware   weigh groups by their precision; by default on for admm and cease with simplex weights
     h_basis       which basis the weights see: "shared", or the "group"'s own copy
     tol           stop once the objective changes by less than this share; 0 runs all steps
-    cache         keep the input in executor memory and on their disks for the passes
+    cache         keep the input as packed blocks, in executor memory and on their disks, for the passes
     driver_cells  statistics up to this size are updated on the driver, larger ones as a Spark job
+
+    pool_groups   add the groups up in Spark; by default where their rank x rank matrices are too many
+
+    Pooling serves agd with simplex weights, which needs sums over groups alone and has the same
+    optimum as the other two solvers.
     """
     if noise_aware is None:
         noise_aware = weights == "simplex" and solver in ("admm", "cease")
@@ -145,18 +153,21 @@ def factorize(
     if weights == "nonnegative" and h_basis == "group":
         raise ValueError("non-negative weights are rescaled on the shared basis; use h_basis='shared'")
     width = feature_width(df)
-    check_cells(width * rank, driver_cells, "the basis")
-    table = check_width(df.select("row_id", "group_id", "features"), width)
-    if cache:
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    check_cells(width * rank, BASIS_CELLS, "the basis")
+    source = check_width(df.select("row_id", "group_id", "features"), width)
+    table = pack_blocks(source).persist(StorageLevel.MEMORY_AND_DISK) if cache else source
     try:
-        w = initial_basis(table, rank, init, seed) if isinstance(init, str) else np.array(init, dtype=float)
+        w = initial_basis(source, rank, init, seed) if isinstance(init, str) else np.array(init, dtype=float)
         if w.shape != (width, rank):
             raise ValueError(f"the starting basis has shape {w.shape}, expected {(width, rank)}")
-        groups = group_ids(table)
+        groups = group_ids(source)
         local = len(groups) * (width * rank + rank * rank + rank + 4) <= driver_cells
         if h_basis == "group" and not local:
             raise ValueError("h_basis='group' keeps a basis per group in every task; too many groups or features")
+        pooled = len(groups) * rank * (rank + 1) > BASIS_CELLS if pool_groups is None else pool_groups
+        if pooled and (solver not in ("agd", "ista") or weights == "nonnegative"):
+            raise ValueError("this many groups need solver='agd' and simplex weights")
+        local = local and not pooled
         model = Factorization(w, groups, np.ones(len(groups)), weights, alpha, eps)
         previous = math.inf
         for step in range(1, max_iter + 1):
@@ -164,23 +175,29 @@ def factorize(
             stats = solved_statistics(table, model.copies or w, weights, alpha, eps)
             if not local:
                 stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
-            state = read_state(stats, groups, width, rank, with_cross=local, max_cells=driver_cells)
-            if weights == "simplex":
-                model.variances = noise_variances(state, width)
-            scale = None
-            if weights == "nonnegative":
-                state, scale = rescale_groups(state, normalize)
-                w = w * scale.mean(axis=0)[None, :]
             c = len(groups)
-            omega = B.precision_weights(model.variances) if noise_aware else np.full(c, 1.0 / c)
-            value = B.objective(state, w, lam, omega)
-            before = w
-            update = B.BasisStep(solver, lam, omega, hyper, inner_iter)
-            copies = None
-            if local:
-                w, copies = update.solve(state.cross, state.gram, w)
+            before, scale, copies = w, None, None
+            if pooled:
+                state, omega = pooled_state(stats, width, rank, noise_aware=noise_aware, max_cells=BASIS_CELLS)
+                model.variances = noise_variances(state, width) if weights == "simplex" else model.variances
+                value = B.objective(state, before, lam, omega)
+                update = B.BasisStep(solver, lam / c, np.ones(1), hyper, inner_iter)
+                w, _ = update.solve(state.cross, state.gram, w)
             else:
-                w = B.update_wide_basis(stats, state, update, w, scale)
+                state = read_state(stats, groups, width, rank, with_cross=local, max_cells=max(driver_cells, BASIS_CELLS))
+                if weights == "simplex":
+                    model.variances = noise_variances(state, width)
+                else:
+                    state, scale = rescale_groups(state, normalize)
+                    w = before = w * scale.mean(axis=0)[None, :]
+                omega = B.precision_weights(model.variances) if noise_aware else np.full(c, 1.0 / c)
+                value = B.objective(state, before, lam, omega)
+                update = B.BasisStep(solver, lam, omega, hyper, inner_iter)
+                if local:
+                    w, copies = update.solve(state.cross, state.gram, w)
+                else:
+                    w = B.update_wide_basis(stats, state, update, w, scale)
+            if not local:
                 stats.unpersist()
             if h_basis == "group" and copies is not None:
                 model.copies = {int(g): copies[:, k, :] for k, g in enumerate(groups)}
@@ -245,33 +262,39 @@ def fit_basis(
     variances are re-estimated between rounds.
     """
     state, width, _ = known_weights_state(df)
-    return fit_basis_from(state, width, start, solver, lam, hyper, noise_aware, rounds, inner_iter, truth)
+    history: list[tuple] = []
+    c = len(state.groups)
 
+    def note(turn: int, step: B.BasisStep, begin: np.ndarray) -> None:
+        for k, (point, copies) in enumerate(step.path(state.cross, state.gram, begin), start=1):
+            loss = (B.squared_errors(state, point).sum() + lam * np.abs(point).sum()) / c
+            gap = None if truth is None else B.distance(point, truth)
+            history.append((turn, k, float(loss), B.violation(copies, point), gap))
+
+    w, variances = alternate(state, width, start, solver, hyper, noise_aware, rounds, inner_iter, lam, note)
+    return w, variances, history
 
-def fit_basis_from(
+
+def alternate(
     state: GroupState,
     width: int,
     start: np.ndarray,
     solver: str,
-    lam: float,
     hyper: float,
     noise_aware: bool,
     rounds: int,
     inner_iter: int | None,
-    truth: np.ndarray | None,
-) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    c = len(state.groups)
-    variances = np.ones(c)
+    lam: float = 0.0,
+    note: Callable[[int, B.BasisStep, np.ndarray], None] | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Basis steps on fixed statistics, with the variances re-estimated after each round if noise-aware."""
+    variances = np.ones(len(state.groups))
     w = np.asarray(start, dtype=float)
-    history: list[tuple] = []
     for turn in range(1, rounds + 1):
         step = B.BasisStep(solver, lam, B.precision_weights(variances), hyper, inner_iter)
-        path = step.path(state.cross, state.gram, w)
-        for k, (point, copies) in enumerate(path, start=1):
-            loss = (B.squared_errors(state, point).sum() + lam * np.abs(point).sum()) / c
-            gap = None if truth is None else B.distance(point, truth)
-            history.append((turn, k, float(loss), B.violation(copies, point), gap))
-        w = path[-1][0]
+        if note is not None:
+            note(turn, step, w)
+        w, _ = step.solve(state.cross, state.gram, w)
         if noise_aware:
             variances = (B.squared_errors(state, w) + 1.0) / (4.0 + width * state.n)
-    return w, variances, history
+    return w, variances

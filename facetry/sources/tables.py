@@ -77,12 +77,13 @@ def feature_width(df: DataFrame, column: str = "features") -> int:
 
 
 def check_width(df: DataFrame, width: int, column: str = "features") -> DataFrame:
-    """Fail, naming the row, where a feature array is null, holds a null, or has another length.
+    """Fail, naming the row, where a feature array is null or has another length.
 
-    Evaluated as part of the scan that uses the features; there is no pass of its own.
+    Evaluated as part of the scan that uses the features; there is no pass of its own. A null inside an
+    array fails later, where the cells become a block.
     """
     c = F.col(column)
-    ok = (F.size(c) == F.lit(int(width))) & ~F.exists(c, lambda x: x.isNull())
+    ok = F.size(c) == F.lit(int(width))
     message = F.concat(F.lit(f"expected {width} features at row_id "), F.col("row_id").cast("string"))
     return df.withColumn(column, F.when(ok, c).otherwise(F.raise_error(message)))
 
