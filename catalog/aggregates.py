@@ -22,6 +22,11 @@ HOW = ["sum", "prod", "min", "max"]
 HOW_SQL = "unnest(['sum', 'prod', 'min', 'max']) AS how"
 
 
+def unpivoted(df, *keys):
+    """A column per reducer turned into rows ``how, value``."""
+    return df.unpivot(list(keys), HOW, "how", "value").withColumn("value", rounded("value"))
+
+
 def near_one(df):
     """1 + x / 1000, so that products over a whole table stay finite."""
     return df.withColumn("features", A.map_cells("features", lambda x: 1 + x / 1000))
@@ -46,9 +51,7 @@ def fold_cells(spark, sf):
     ),
 )
 def reduce_cells(spark, sf):
-    df = near_one(fx.emb(spark, sf))
-    parts = [M.reduce_cells(df, how).select(F.lit(how).alias("how"), rounded("value").alias("value")) for how in HOW]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return unpivoted(M.reduce_cells(near_one(fx.emb(spark, sf)), *HOW))
 
 
 @query(
@@ -59,11 +62,7 @@ def reduce_cells(spark, sf):
     ),
 )
 def reduce_rows(spark, sf):
-    df = fx.order_sales(spark, sf)
-    parts = [
-        M.reduce_rows(df, how).select("row_id", F.lit(how).alias("how"), rounded("value").alias("value")) for how in HOW
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return unpivoted(M.reduce_rows(fx.order_sales(spark, sf), *HOW), "row_id")
 
 
 @query(
@@ -74,12 +73,7 @@ def reduce_rows(spark, sf):
     ),
 )
 def reduce_columns(spark, sf):
-    df = near_one(fx.emb(spark, sf))
-    parts = [
-        M.reduce_columns(df, how).select("feature_id", F.lit(how).alias("how"), rounded("value").alias("value"))
-        for how in HOW
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return unpivoted(M.reduce_columns(near_one(fx.emb(spark, sf)), *HOW), "feature_id")
 
 
 @query(
@@ -179,7 +173,7 @@ def weight_spectrum(spark, sf):
     with_([EMB, EMB_CELLS], f"SELECT i AS feature_id, {r6('sum(abs(v))')} AS value FROM emb_cells GROUP BY i"),
 )
 def column_l1_norms(spark, sf):
-    return M.column_l1_norms(fx.emb(spark, sf)).withColumn("value", rounded("value"))
+    return M.column_l1_norms(fx.emb(spark, sf)).select("feature_id", rounded("norm").alias("value"))
 
 
 @query("a12_label_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")

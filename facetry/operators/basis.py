@@ -21,6 +21,11 @@ from .blocks import check_cells
 from .group_stats import CROSS, GroupState
 
 
+# Inner steps by solver, and CEASE's steps within a group.
+INNER_STEPS = {"agd": 35, "ista": 35, "admm": 10, "cease": 5}
+LOCAL_STEPS = 20
+
+
 def soft(a: np.ndarray, t: float | np.ndarray) -> np.ndarray:
     return np.sign(a) * np.maximum(np.abs(a) - t, 0.0)
 
@@ -85,12 +90,12 @@ class BasisStep:
     hyper: float = 5.0
     max_iter: int | None = None
     momentum: str = "damped"
-    local_iter: int = 20
+    local_iter: int = LOCAL_STEPS
 
     def steps(self) -> int:
         if self.max_iter is not None:
             return self.max_iter
-        return {"agd": 35, "ista": 35, "admm": 10, "cease": 5}[self.solver]
+        return INNER_STEPS[self.solver]
 
     def path(self, cross: np.ndarray, grams: np.ndarray, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """(W, copies) after 1, 2, ... inner steps."""

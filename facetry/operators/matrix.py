@@ -76,28 +76,37 @@ def fold_cells(
     return df.agg(combine_with(A.fold("features", zero, seq)).alias("value"))
 
 
-def reduce_cells(df: DataFrame, how: str) -> DataFrame:
-    """sum, prod, min or max of all cells (no hidden starting zero)."""
-    by_row, over_rows = _REDUCERS[how]
-    return df.agg(over_rows(by_row("features")).alias("value"))
+def reduce_cells(df: DataFrame, *how: str) -> DataFrame:
+    """One row with a column per reducer (sum, prod, min, max) over all cells; no hidden starting zero."""
+    return df.agg(*[_REDUCERS[h][1](_REDUCERS[h][0]("features")).alias(h) for h in how])
 
 
-def reduce_rows(df: DataFrame, how: str) -> DataFrame:
-    return df.select("row_id", _REDUCERS[how][0]("features").alias("value"))
+def reduce_rows(df: DataFrame, *how: str) -> DataFrame:
+    """``row_id`` and a column per reducer."""
+    return df.select("row_id", *[_REDUCERS[h][0]("features").alias(h) for h in how])
 
 
-def reduce_columns(df: DataFrame, how: str, cell: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``feature_id, value``: one hash aggregate over exploded cells.
+def reduce_columns(df: DataFrame, *how: str, cell: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``feature_id`` and a column per reducer: one hash aggregate over exploded cells.
 
     Each task combines its cells to one row per feature before the shuffle.
     """
     cells = df.select(F.posexplode("features").alias("feature_id", "_x"))
     x = F.col("_x") if cell is None else cell(F.col("_x"))
-    return cells.groupBy("feature_id").agg(_REDUCERS[how][1](x).alias("value"))
+    return cells.groupBy("feature_id").agg(*[_REDUCERS[h][1](x).alias(h) for h in how])
+
+
+def row_sums(df: DataFrame) -> DataFrame:
+    return reduce_rows(df, "sum")
+
+
+def column_sums(df: DataFrame) -> DataFrame:
+    return reduce_columns(df, "sum")
 
 
 def column_l1_norms(df: DataFrame) -> DataFrame:
-    return reduce_columns(df, "sum", F.abs)
+    """``feature_id, norm``."""
+    return reduce_columns(df, "sum", cell=F.abs).withColumnRenamed("sum", "norm")
 
 
 def norms(df: DataFrame) -> DataFrame:

@@ -23,14 +23,22 @@ def label_pairs(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     )
 
 
-def contingency(pairs: DataFrame) -> DataFrame:
+def joint_counts(pairs: DataFrame) -> DataFrame:
+    """``true_label, pred_label, n`` of the pairs that occur."""
+    return pairs.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def contingency(pairs: DataFrame, max_cells: int = 4_000_000) -> DataFrame:
     """``true_label, pred_label, n`` with zeros for pairs that never occur.
 
-    Rows are counted before anything else; the zero filling works on the counted table.
+    Rows are counted before anything else; the zero filling works on the counted table and raises
+    where true classes times predicted classes exceed ``max_cells`` (``joint_counts`` has no such limit).
     """
-    counts = pairs.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+    counts = joint_counts(pairs)
     classes = counts.agg(F.collect_set("true_label").alias("t"), F.collect_set("pred_label").alias("p"))
-    grid = classes.select(F.explode("t").alias("true_label"), "p").select(
+    fits = F.size("t").cast("bigint") * F.size("p") <= max_cells
+    t = F.when(fits, F.col("t")).otherwise(F.raise_error(F.lit("too many classes for a full table")))
+    grid = classes.select(F.explode(t).alias("true_label"), "p").select(
         "true_label", F.explode("p").alias("pred_label")
     )
     return grid.join(counts, ["true_label", "pred_label"], "left").select(
@@ -87,7 +95,7 @@ def match_classes(table: DataFrame, max_classes: int = 2000) -> DataFrame:
     """One-to-one matching of classes: ``true_label, pred_label, n, n_true, n_pred, total``.
 
     Minimises the sum of 1 / (1 + n_ij / total), which is not the matching of highest accuracy.
-    The contingency table (classes x classes) is small and checked. A true class without a partner has a
+    ``table`` is a contingency table, zeros filled or not; it is small and checked. A true class without a partner has a
     null ``pred_label`` and n = 0. Equal rows of cost are resolved by label order.
     """
     spark = table.sparkSession

@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame
 from .blocks import dense, lists, vector
 
 WEIGHTS = "row_id bigint, group_id int, h array<double>"
+# Where the barrier starts, its factor per step, the share of the way to the boundary, the clamp.
+BARRIER_START = 2.0
+BARRIER_FACTOR = 0.3
+STEP_SHARE = 0.995
+CLAMP = 1e-5
 SYSTEM_CELLS = 1_000_000  # cells of the stacked Newton systems solved at once
 
 
 def simplex_minimiser(
-    b: np.ndarray, q: np.ndarray, alpha: np.ndarray, eps: float = 1e-5, tol: float = 1e-11, max_iter: int = 100
+    b: np.ndarray, q: np.ndarray, alpha: np.ndarray, eps: float = CLAMP, tol: float = 1e-11, max_iter: int = 100
 ) -> np.ndarray:
     """Rows h minimising h'qh/2 - b'h - sum alpha log h on sum(h) = 1.
 
@@ -41,7 +46,7 @@ def simplex_minimiser(
     mu = slope.min(axis=1) - 1.0
     s = slope - mu[:, None]
     scale = 1.0 + np.abs(b).max(axis=1)
-    barrier = 2.0
+    barrier = BARRIER_START
     diagonal = np.arange(r)
     for _ in range(max_iter):
         target = np.maximum(barrier, alpha)
@@ -68,11 +73,11 @@ def simplex_minimiser(
         with np.errstate(divide="ignore", invalid="ignore"):
             room_h = np.where(d_h < 0, -h / d_h, np.inf).min(axis=1)
             room_s = np.where(d_s < 0, -s / d_s, np.inf).min(axis=1)
-        step = np.minimum(1.0, 0.995 * np.minimum(room_h, room_s))
+        step = np.minimum(1.0, STEP_SHARE * np.minimum(room_h, room_s))
         h = h + step[:, None] * d_h
         s = s + step[:, None] * d_s
         mu = mu + step * d_mu
-        barrier *= 0.3
+        barrier *= BARRIER_FACTOR
     if rows.size:
         out[rows] = h
     return np.maximum(out, eps)
@@ -158,7 +163,7 @@ def weight_kernel(
 
 
 def row_weights(
-    df: DataFrame, bases: Bases, mode: str = "simplex", alpha: float | np.ndarray = 0.1, eps: float = 1e-5
+    df: DataFrame, bases: Bases, mode: str = "simplex", alpha: float | np.ndarray = 0.1, eps: float = CLAMP
 ) -> DataFrame:
     """The weight table of a feature table for a given basis; a map without a shuffle."""
     kernel = weight_kernel(bases, mode, alpha, eps)

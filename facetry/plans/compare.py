@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import basis as B
 from ..operators.group_stats import GRAM, read_state, state_from_cells, weighted_statistics
-from ..operators.scoring import accuracy, contingency, f_measure, label_pairs, match_classes
+from ..operators.scoring import accuracy, f_measure, joint_counts, label_pairs, match_classes
 from ..sources.noise import add_gaussian
 from ..sources.planted import planted
 from .factorize import alternate, factorize
@@ -53,7 +53,7 @@ def default_methods(classes: int, seed: int = 0, **fit_options) -> dict[str, Met
 def evaluate(df: DataFrame, predicted: DataFrame) -> tuple[float, float, float]:
     """(accuracy, mean F1, F1 of means) of predicted labels against column ``label``."""
     truth = df.select("row_id", F.col("label").alias("true_label"))
-    matching = match_classes(contingency(label_pairs(truth, predicted)))
+    matching = match_classes(joint_counts(label_pairs(truth, predicted)))
     score, f1 = accuracy(matching).first()[0], f_measure(matching).first()
     return float(score), float(f1["f1"] or 0.0), float(f1["f1_of_means"] or 0.0)
 

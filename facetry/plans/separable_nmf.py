@@ -49,7 +49,7 @@ def normalize_columns(df: DataFrame, norms: np.ndarray) -> DataFrame:
 def column_norms(df: DataFrame, width: int) -> np.ndarray:
     table = column_l1_norms(df).toArrow()
     out = np.zeros(width)
-    out[table.column("feature_id").to_numpy()] = table.column("value").to_numpy()
+    out[table.column("feature_id").to_numpy()] = table.column("norm").to_numpy()
     return out
 
 

@@ -14,6 +14,12 @@ from ..functions.arrays import row_uniform
 from ..operators.blocks import dense, lists, replace_column, vector
 
 
+# Shares of the noise levels by group (of ten) and by row, and the row preset's shares.
+GROUP_SHARES = (3, 6, 1)
+ROW_SHARES = (0.3, 0.6, 0.1)
+ROW_PRESET_SHARES = (0.3, 0.3, 0.4)
+
+
 def add_gaussian(df: DataFrame, sd: float | Column = 0.01, seed: int = 0) -> DataFrame:
     """features + sd * N(0,1) per cell; ``sd`` may be a Column, that is, differ by row."""
     out = df.schema
@@ -53,29 +59,29 @@ def group_noise_level(sds: Sequence[float], props: Sequence[float], groups: int,
     return _levels(F.col(group_id).cast("double"), sds, [round(float(c), 9) for c in cuts], closed=False)
 
 
-def row_noise_level(sds: Sequence[float], props: Sequence[float] = (0.3, 0.6, 0.1), seed: int = 0) -> Column:
+def row_noise_level(sds: Sequence[float], props: Sequence[float] = ROW_SHARES, seed: int = 0) -> Column:
     """Noise level drawn per row: u <= .3, <= .9, else, with the default shares."""
     cuts = np.cumsum(props)[:-1] / np.sum(props)
     return _levels(row_uniform("row_id", seed), sds, [round(float(c), 9) for c in cuts], closed=True)
 
 
 def add_group_mixture(
-    df: DataFrame, sds: Sequence[float], props: Sequence[float] = (3, 6, 1), groups: int = 20, seed: int = 0
+    df: DataFrame, sds: Sequence[float], props: Sequence[float] = GROUP_SHARES, groups: int = 20, seed: int = 0
 ) -> DataFrame:
     return add_gaussian(df, group_noise_level(sds, props, groups), seed)
 
 
 def add_row_mixture(
-    df: DataFrame, sds: Sequence[float], props: Sequence[float] = (0.3, 0.6, 0.1), seed: int = 0
+    df: DataFrame, sds: Sequence[float], props: Sequence[float] = ROW_SHARES, seed: int = 0
 ) -> DataFrame:
     return add_gaussian(df, row_noise_level(sds, props, seed), seed)
 
 
 def group_preset(std: float) -> tuple[tuple[float, float, float], tuple[int, int, int]]:
     """Most groups clean, the last tenth noisy."""
-    return (0.0, 0.0, std), (3, 6, 1)
+    return (0.0, 0.0, std), GROUP_SHARES
 
 
 def row_preset(std: float) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
     """The row-wise preset; its shares say .3/.3/.4, the row mixture's own default cuts at .3 and .9."""
-    return (0.0, 0.0, std), (0.3, 0.3, 0.4)
+    return (0.0, 0.0, std), ROW_PRESET_SHARES

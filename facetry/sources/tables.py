@@ -58,14 +58,25 @@ def assign_groups(df: DataFrame, groups: int, by: str | Column | None = None) ->
     return df.withColumn("group_id", gid.cast("int"))
 
 
-def spread_groups(df: DataFrame, salts: int = 16) -> DataFrame:
-    """Optional layout for very many groups: bring a group's rows into at most ``salts`` partitions.
+def spread_groups(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Optional layout for very many groups: rows of a group lie together, large groups are split.
 
     The passes of this package are right on any layout. With thousands of groups a task that sees
-    all of them emits a partial sum for each; clustering first makes those partials fewer. The salt
-    keeps a group holding a third of the table from landing in one task.
+    all of them emits a partial sum for each; clustering first makes those partials fewer. Groups are counted
+    first; one larger than a quarter of an even partition is salted by row key into as many parts as
+    it takes, so a group with a third of the table fills many partitions. Only the sizes of such large groups (at
+    most four per partition) come to the driver.
     """
-    return df.repartition(F.col("group_id"), F.pmod(F.hash("row_id"), F.lit(int(salts))))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    part = max(1, total // (4 * n))
+    large = sizes.filter(F.col("n") > part).collect()
+    salts = F.lit(1)
+    if large:
+        pairs = [F.lit(v) for row in large for v in (int(row["group_id"]), -(-int(row["n"]) // part))]
+        salts = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("group_id")), F.lit(1))
+    return df.repartition(n, F.col("group_id"), F.pmod(F.hash("row_id"), salts))
 
 
 def feature_width(df: DataFrame, column: str = "features") -> int:

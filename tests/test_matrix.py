@@ -56,8 +56,10 @@ def test_about_equal_sees_negative_differences(table):
 
 def test_reductions_have_no_hidden_zero(spark):
     df = features(spark, np.array([[2.0, 3.0], [4.0, 5.0]]))
-    assert M.reduce_cells(df, "min").first()[0] == 2.0
-    assert M.reduce_cells(df, "prod").first()[0] == pytest.approx(120.0)
+    row = M.reduce_cells(df, "min", "prod").first()
+    assert row["min"] == 2.0 and row["prod"] == pytest.approx(120.0)
+    assert [r["sum"] for r in M.row_sums(df).orderBy("row_id").collect()] == [5.0, 9.0]
+    assert [r["sum"] for r in M.column_sums(df).orderBy("feature_id").collect()] == [6.0, 8.0]
 
 
 def test_samples_depend_on_keys_only(table):

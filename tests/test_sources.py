@@ -47,12 +47,17 @@ def test_hash_groups_cover_all_rows(spark):
     assert sorted(sizes) == [0, 1, 2, 3] and min(sizes.values()) > 150
 
 
-def test_spread_groups_keeps_rows(spark):
-    df = features(spark, np.arange(40.0).reshape(20, 2), np.zeros(20))
-    spread = fy.spread_groups(df, 4)
-    assert spread.count() == 20
-    plan = spread._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(group_id" in plan and "pmod(hash(row_id" in plan
+def test_a_large_group_is_spread(spark):
+    """Group 0 holds most rows: it must be split, and small groups must stay together."""
+    ids = spark.range(4000).withColumnRenamed("id", "row_id")
+    df = fy.assign_groups(ids, 0, F.when(F.col("row_id") < 3000, F.lit(0)).otherwise(F.col("row_id") % 200))
+    spread = fy.spread_groups(df, 8).withColumn("part", F.spark_partition_id())
+    assert spread.count() == 4000
+    held = spread.groupBy("group_id").agg(F.countDistinct("part").alias("parts")).collect()
+    parts = {r.group_id: r.parts for r in held}
+    assert parts[0] >= 6
+    assert all(v == 1 for g, v in parts.items() if g != 0)
+    assert max(r["count"] for r in spread.groupBy("part").count().collect()) < 2000
 
 
 def test_group_sizes():
