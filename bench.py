@@ -25,7 +25,7 @@ def timing_table(spark, sf):
     """The default timing workload on the orders' keys: 10 groups, 100 features, rank 2, Dirichlet .1."""
     keys = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"))
     keys = fy.assign_groups(keys, 10, F.col("row_id") % 10).repartition(spark.sparkContext.defaultParallelism, "row_id")
-    return fy.planted(keys, fy.normal_basis(100, 2, scale=2.0, seed=1), alpha=0.1, seed=2).persist()
+    return fy.pack_blocks(fy.planted(keys, fy.normal_basis(100, 2, scale=2.0, seed=1), alpha=0.1, seed=2)).persist()
 
 
 def main() -> None:
@@ -45,13 +45,13 @@ def main() -> None:
     fy.ship_package(spark)
 
     table = timing_table(spark, sf)
-    rows = table.count()
+    rows = table.agg(F.sum("n")).first()[0]
     lam = 1e-3 * rows / 10
     start = fy.normal_basis(100, 2, scale=2.0, seed=3)
     solvers = {"agd": 0.0, "admm": 300.0, "cease": 1e-4}
 
     def fit(solver, hyper):
-        fy.factorize(table, 2, solver=solver, lam=lam, hyper=hyper, init=start, max_iter=5, cache=False)
+        fy.factorize(table, 2, solver=solver, lam=lam, hyper=hyper, init=start, max_iter=5)
 
     jobs = {f"timing_{s}": (lambda s=s, h=h: fit(s, h)) for s, h in solvers.items()}
     named = [

@@ -543,6 +543,35 @@ def labels_rank2(spark, sf):
     return fitted_rank2(spark, sf).labels(fx.emb(spark, sf))
 
 
+def nonnegative1_sql(steps: int, lam: float) -> str:
+    parts = [
+        f"""r0 AS (SELECT i, v AS w FROM os_cells JOIN (SELECT row_id FROM os
+          ORDER BY {fx.row_uniform_sql('row_id', 3)}, row_id LIMIT 1) USING (row_id))"""
+    ]
+    for k in range(1, steps + 1):
+        parts.append(
+            f"""h{k} AS MATERIALIZED (SELECT row_id, group_id AS c, greatest(sum(v * w), 0) / sum(w * w) AS h
+    FROM os_cells JOIN r{k - 1} USING (i) GROUP BY ALL),
+  s{k} AS MATERIALIZED (SELECT c, sum(h) / count(*) AS s, sum(h * h) AS g FROM h{k} GROUP BY c),
+  p{k} AS MATERIALIZED (SELECT c, i, sum(v * h) AS p FROM os_cells JOIN h{k} USING (row_id) GROUP BY ALL),
+  r{k} AS MATERIALIZED (SELECT i, {soft_sql('p', f'{lam} / 5')} / g AS w FROM (
+    SELECT i, sum(p / s) / 5 AS p, sum(g / s / s) / 5 AS g FROM p{k} JOIN s{k} USING (c) GROUP BY i))"""
+        )
+    return ",\n  ".join(parts)
+
+
+@query(
+    "f21_nonnegative_rank1",
+    with_([fx.ORDERS, fx.ORDER_CELLS, nonnegative1_sql(2, LAM)], f"SELECT i, {r6('w')} AS value FROM r2"),
+)
+def nonnegative_rank1(spark, sf):
+    """Two outer steps with non-negative weights, rescaled by group, at rank 1."""
+    model = fy.factorize(
+        fx.order_sales(spark, sf), 1, solver="agd", lam=LAM, weights="nonnegative", max_iter=2, seed=3
+    )
+    return matrix_rows(spark, model.basis[:, 0], "i")
+
+
 @query("f21_fit_labels")
 def fit_labels(spark, sf):
     return flagship(spark, sf)

@@ -1,7 +1,7 @@
 """Sparse low-rank factorisation and clustering of large feature tables on Spark."""
 
 from .functions import arrays
-from .operators.blocks import map_blocks, to_numpy
+from .operators.blocks import map_blocks, pack_blocks, to_numpy
 from .operators.least_squares import ridge
 from .operators.scoring import accuracy, contingency, f_measure, label_pairs, match_classes
 from .operators.tsqr import least_squares_qr, r_matrix, thin_q, tsqr_r

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-PACKED = "n int, groups binary, cells binary"
+PACKED = "n int, width int, groups binary, ids binary, cells binary"
 
 
 class TooLarge(ValueError):
@@ -32,9 +34,13 @@ def dense(batch: pa.RecordBatch, column: str = "features") -> np.ndarray:
     cells = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if n == 0:
         return cells.reshape(0, 0)
-    if cells.size % n:
-        raise ValueError(f"rows of {column} differ in length")
-    return cells.reshape(n, cells.size // n)
+    lengths = pc.list_value_length(lists).to_numpy()
+    width = int(lengths[0])
+    if (lengths != width).any():
+        odd = int(np.flatnonzero(lengths != width)[0])
+        where = f" at row_id {batch.column('row_id')[odd]}" if "row_id" in batch.schema.names else ""
+        raise ValueError(f"{column} has {lengths[odd]} cells{where}, expected {width}")
+    return cells.reshape(n, width)
 
 
 def vector(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -53,10 +59,10 @@ def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Rec
 
 
 def pack_blocks(df: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
-    """Rows ``group_id, features`` as few rows of raw cells: ``n, groups BINARY, cells BINARY``.
+    """Rows ``row_id, group_id, features`` as few rows of raw cells, see PACKED.
 
     For tables that are read again and again: a block crosses to Python as one copy instead of cell
-    by cell. A block keeps the order of its rows and holds about ``block_bytes``.
+    by cell. A block keeps the order of its rows and holds about ``block_bytes``. Persist the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,19 +71,69 @@ def pack_blocks(df: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
                 continue
             x = dense(batch)
             groups = vector(batch, "group_id").astype(np.int32)
+            ids = vector(batch, "row_id").astype(np.int64)
             per_block = max(1, block_bytes // (8 * x.shape[1]))
             for k in range(0, len(x), per_block):
                 part = slice(k, k + per_block)
+                raw = [pa.array([np.ascontiguousarray(a[part]).tobytes()], pa.binary()) for a in (groups, ids, x)]
+                sizes = [pa.array([len(groups[part])], pa.int32()), pa.array([x.shape[1]], pa.int32())]
+                yield pa.RecordBatch.from_arrays(sizes + raw, names=["n", "width", "groups", "ids", "cells"])
+
+    return df.select("row_id", "group_id", "features").mapInArrow(run, PACKED)
+
+
+def block_facts(blocks: DataFrame, max_groups: int = 1_000_000) -> tuple[int, int, np.ndarray]:
+    """(rows, width, sorted group ids) of packed blocks; blocks of different width raise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for width, groups in zip(batch.column("width"), batch.column("groups")):
+                found, counts = np.unique(np.frombuffer(groups.as_buffer(), dtype=np.int32), return_counts=True)
+                for g, n in zip(found.tolist(), counts.tolist()):
+                    held[g, width.as_py()] = held.get((g, width.as_py()), 0) + n
+        for (g, width), n in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g], pa.int32()), pa.array([width], pa.int32()), pa.array([n], pa.int64())],
+                names=["group_id", "width", "n"],
+            )
+
+    facts = blocks.select("width", "groups").mapInArrow(run, "group_id int, width int, n bigint")
+    table = facts.groupBy("group_id", "width").agg(F.sum("n").alias("n")).limit(max_groups + 1).toArrow()
+    if not table.num_rows:
+        raise ValueError("the feature table is empty")
+    check_cells(table.num_rows, max_groups, "the list of groups")
+    widths = np.unique(table.column("width").to_numpy())
+    if len(widths) > 1:
+        raise ValueError(f"feature arrays differ in length, from {widths[0]} to {widths[-1]}")
+    return int(table.column("n").to_numpy().sum()), int(widths[0]), np.unique(table.column("group_id").to_numpy())
+
+
+def unpack_drawn(blocks: DataFrame, seed: int, share: float = 1.0, per_block: int | None = None) -> DataFrame:
+    """``draw, row_id, features`` of the rows whose ``row_uniform`` lies below ``share``.
+
+    With ``per_block`` only the lowest draws of each block, enough to find the lowest overall.
+    """
+
+    def draws(keys: np.ndarray) -> np.ndarray:
+        hashed = (int(hashlib.md5(f"{k}:{seed}".encode()).hexdigest()[:13], 16) for k in keys.tolist())
+        return np.fromiter(hashed, dtype=np.float64, count=keys.size) / 2.0**52
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, ids, cells in zip(*(batch.column(c) for c in ("width", "ids", "cells"))):
+                keys = np.frombuffer(ids.as_buffer(), dtype=np.int64)
+                u = draws(keys)
+                chosen = np.flatnonzero(u < share)
+                if per_block is not None:
+                    chosen = chosen[np.lexsort((keys[chosen], u[chosen]))[:per_block]]
+                x = np.frombuffer(cells.as_buffer(), dtype=np.float64).reshape(-1, width.as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([len(groups[part])], pa.int32()),
-                        pa.array([groups[part].tobytes()], pa.binary()),
-                        pa.array([np.ascontiguousarray(x[part]).tobytes()], pa.binary()),
-                    ],
-                    names=["n", "groups", "cells"],
+                    [pa.array(u[chosen]), pa.array(keys[chosen]), lists(x[chosen])], names=["draw", "row_id", "features"]
                 )
 
-    return df.select("group_id", "features").mapInArrow(run, PACKED)
+    rows = blocks.select("width", "ids", "cells")
+    return rows.mapInArrow(run, "draw double, row_id bigint, features array<double>")
 
 
 def grouped_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -86,11 +142,10 @@ def grouped_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray
         if batch.num_rows:
             yield vector(batch, "group_id"), dense(batch)
         return
-    for n, groups, cells in zip(*(batch.column(c) for c in ("n", "groups", "cells"))):
-        rows = n.as_py()
+    for width, groups, cells in zip(*(batch.column(c) for c in ("width", "groups", "cells"))):
         yield (
             np.frombuffer(groups.as_buffer(), dtype=np.int32),
-            np.frombuffer(cells.as_buffer(), dtype=np.float64).reshape(rows, -1),
+            np.frombuffer(cells.as_buffer(), dtype=np.float64).reshape(-1, width.as_py()),
         )
 
 

@@ -21,11 +21,12 @@ from .weights import Bases, weight_kernel
 
 LONG = "group_id int, kind tinyint, i int, j int, value double"
 SCALAR, SUM_H, GRAM, CROSS = 0, 1, 2, 3
-FLUSH_CELLS = 2_000_000
+FLUSH_CELLS = 4_000_000
+SLAB_ROWS = 1_000_000
 
 
 class _Sums:
-    """What one task has added up so far; bounded by FLUSH_CELLS plus one batch."""
+    """What one task has added up so far: at most FLUSH_CELLS or eight groups, plus one batch."""
 
     def __init__(self) -> None:
         self.by_group: dict[int, list] = {}
@@ -48,22 +49,27 @@ class _Sums:
                 for total, part in zip(held, parts):
                     total += part
 
+    def full(self) -> bool:
+        return self.cells > max(FLUSH_CELLS, 8 * self.cells // max(1, len(self.by_group)))
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         for g, parts in self.by_group.items():
             for kind, part in enumerate(parts):
                 block = part.reshape(part.shape[0], -1)
-                rows, columns = np.indices(block.shape, dtype=np.int32)
-                size = block.size
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(size, g, dtype=np.int32)),
-                        pa.array(np.full(size, kind, dtype=np.int8)),
-                        pa.array(rows.ravel()),
-                        pa.array(columns.ravel()),
-                        pa.array(block.ravel()),
-                    ],
-                    names=["group_id", "kind", "i", "j", "value"],
-                )
+                slab = max(1, SLAB_ROWS // block.shape[1])
+                for first in range(0, block.shape[0], slab):
+                    some = block[first : first + slab]
+                    rows, columns = np.indices(some.shape, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(some.size, g, dtype=np.int32)),
+                            pa.array(np.full(some.size, kind, dtype=np.int8)),
+                            pa.array(rows.ravel() + np.int32(first)),
+                            pa.array(columns.ravel()),
+                            pa.array(some.ravel()),
+                        ],
+                        names=["group_id", "kind", "i", "j", "value"],
+                    )
         self.by_group, self.cells = {}, 0
 
 
@@ -83,11 +89,11 @@ def solved_statistics(
             for groups, x in grouped_rows(batch):
                 h, sse = kernel(groups, x)
                 sums.add(groups, x, h, sse)
-            if sums.cells > FLUSH_CELLS:
+            if sums.full():
                 yield from sums.flush()
         yield from sums.flush()
 
-    rows = df if "cells" in df.columns else df.select("group_id", "features")
+    rows = df.select("width", "groups", "cells") if "cells" in df.columns else df.select("group_id", "features")
     return _summed(rows.mapInArrow(run, LONG))
 
 
@@ -111,7 +117,7 @@ def weighted_statistics(df: DataFrame, bases: Bases | None = None) -> DataFrame:
                     gap = x[mine] - h[mine] @ bases[int(g)].T
                     sse[mine] = np.einsum("ij,ij->i", gap, gap)
             sums.add(groups, x, h, sse)
-            if sums.cells > FLUSH_CELLS:
+            if sums.full():
                 yield from sums.flush()
         yield from sums.flush()
 
@@ -121,7 +127,8 @@ def weighted_statistics(df: DataFrame, bases: Bases | None = None) -> DataFrame:
 def upper_gram(df: DataFrame, column: str = "features") -> DataFrame:
     """``group_id, i, j, value``: per group sum of x_i x_j for i <= j.
 
-    Tasks emit the upper triangle of their partial sums, and a hash aggregate adds the tasks.
+    Tasks emit the upper triangle of their partial sums, and a hash aggregate adds the tasks. A task holds
+    width x width cells for up to eight groups; for wide tables use few, large partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +136,19 @@ def upper_gram(df: DataFrame, column: str = "features") -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for g, total in held.items():
-                i, j = np.triu_indices(total.shape[0])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(i.size, g, dtype=np.int32)),
-                        pa.array(i.astype(np.int32)),
-                        pa.array(j.astype(np.int32)),
-                        pa.array(total[i, j]),
-                    ],
-                    names=["group_id", "i", "j", "value"],
-                )
+                slab = max(1, SLAB_ROWS // total.shape[0])
+                for first in range(0, total.shape[0], slab):
+                    some = total[first : first + slab]
+                    i, j = np.nonzero(np.arange(total.shape[0])[None, :] >= np.arange(first, first + len(some))[:, None])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(i.size, g, dtype=np.int32)),
+                            pa.array((i + first).astype(np.int32)),
+                            pa.array(j.astype(np.int32)),
+                            pa.array(some[i, j]),
+                        ],
+                        names=["group_id", "i", "j", "value"],
+                    )
             held.clear()
 
         for batch in batches:
@@ -149,7 +159,7 @@ def upper_gram(df: DataFrame, column: str = "features") -> DataFrame:
                 mine = x if (groups == g).all() else x[groups == g]
                 part = mine.T @ mine
                 held[int(g)] = held[int(g)] + part if int(g) in held else part
-            if len(held) * x.shape[1] ** 2 > FLUSH_CELLS:
+            if len(held) > 8 and len(held) * x.shape[1] ** 2 > FLUSH_CELLS:
                 yield from flush()
         yield from flush()
 

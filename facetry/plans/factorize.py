@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import counter
 from ..functions.arrays import argmax
 from ..operators import basis as B
-from ..operators.blocks import check_cells, dense, pack_blocks
+from ..operators.blocks import block_facts, check_cells, dense, pack_blocks, unpack_drawn
 from ..operators.group_stats import (
     GroupState,
     group_ids,
@@ -53,28 +53,55 @@ def initial_basis(
     normal: independent N(0,1) cells.
     """
     if method == "random_rows":
-        rows = sample_exact(df.select("row_id", "features"), rank, seed).toArrow().combine_chunks()
-        if rows.num_rows < rank:
-            raise ValueError(f"the table has fewer than {rank} rows")
-        return dense(rows.to_batches()[0]).T.copy()
+        return _columns_of(sample_exact(df.select("row_id", "features"), rank, seed), rank)
     if method == "kmeans":
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        total = df.count()
-        share = min(1.0, max(fraction, 15.0 * rank / max(total, 1)))
-        sample = sample_rows(df.select("row_id", "features"), share, seed)
-        points = sample.select(array_to_vector("features").alias("features"))
-        model = KMeans(k=rank, maxIter=100, seed=seed).fit(points)
-        centres = np.array(model.clusterCenters())
-        if len(centres) < rank:
-            raise ValueError(f"only {len(centres)} distinct centres for rank {rank}")
-        return centres.T.copy()
+        share = _sample_share(df.count(), rank, fraction)
+        return _centres(sample_rows(df.select("row_id", "features"), share, seed), rank, seed)
     if method == "normal":
-        return counter.normal(np.arange(feature_width(df))[:, None], np.arange(rank)[None, :], seed)
+        return _normal_start(feature_width(df), rank, seed)
     raise ValueError(f"unknown initial basis {method!r}")
 
 
+def _initial_basis_of_blocks(
+    blocks: DataFrame, rows: int, width: int, rank: int, method: str, seed: int, fraction: float = 0.02
+) -> np.ndarray:
+    """``initial_basis`` from packed blocks, without another look at the source; the same rows are drawn."""
+    if method == "random_rows":
+        lowest = unpack_drawn(blocks, seed, per_block=rank).orderBy("draw", "row_id").limit(rank)
+        return _columns_of(lowest, rank)
+    if method == "kmeans":
+        return _centres(unpack_drawn(blocks, seed, _sample_share(rows, rank, fraction)), rank, seed)
+    if method == "normal":
+        return _normal_start(width, rank, seed)
+    raise ValueError(f"unknown initial basis {method!r}")
+
+
+def _columns_of(rows: DataFrame, rank: int) -> np.ndarray:
+    found = rows.select("row_id", "features").toArrow().combine_chunks()
+    if found.num_rows < rank:
+        raise ValueError(f"the table has fewer than {rank} rows")
+    return dense(found.to_batches()[0]).T.copy()
+
+
+def _sample_share(rows: int, rank: int, fraction: float) -> float:
+    return min(1.0, max(fraction, 15.0 * rank / max(rows, 1)))
+
+
+def _centres(sample: DataFrame, rank: int, seed: int) -> np.ndarray:
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    points = sample.select(array_to_vector("features").alias("features"))
+    centres = np.array(KMeans(k=rank, maxIter=100, seed=seed).fit(points).clusterCenters())
+    if len(centres) < rank:
+        raise ValueError(f"only {len(centres)} distinct centres for rank {rank}")
+    return centres.T.copy()
+
+
+def _normal_start(width: int, rank: int, seed: int) -> np.ndarray:
+    return counter.normal(np.arange(width)[:, None], np.arange(rank)[None, :], seed)
+
+
 @dataclass
 class Factorization:
     """A fitted basis and how it was reached."""
@@ -130,7 +157,7 @@ def factorize(
     driver_cells: int = DRIVER_CELLS,
     pool_groups: bool | None = None,
 ) -> Factorization:
-    """Fit a feature table (``row_id, group_id, features``).
+    """Fit a feature table (``row_id, group_id, features``), or blocks of one made by ``pack_blocks``.
 
     solver        agd (accelerated gradient), admm (``hyper`` = rho), cease (``hyper`` = gamma), ista
     weights       "simplex" (Dirichlet prior ``alpha``) or "nonnegative" (rescaled after each step,
@@ -152,15 +179,29 @@ def factorize(
         raise ValueError(f"unknown h_basis {h_basis!r}")
     if weights == "nonnegative" and h_basis == "group":
         raise ValueError("non-negative weights are rescaled on the shared basis; use h_basis='shared'")
-    width = feature_width(df)
-    check_cells(width * rank, BASIS_CELLS, "the basis")
-    source = check_width(df.select("row_id", "group_id", "features"), width)
-    table = pack_blocks(source).persist(StorageLevel.MEMORY_AND_DISK) if cache else source
+    given_blocks = "cells" in df.columns
+    packed = cache or given_blocks
+    if given_blocks:
+        table = df
+    elif cache:
+        table = pack_blocks(df).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        table = df.select("row_id", "group_id", "features")
     try:
-        w = initial_basis(source, rank, init, seed) if isinstance(init, str) else np.array(init, dtype=float)
+        if packed:
+            rows, width, groups = block_facts(table)
+        else:
+            width, groups = feature_width(df), group_ids(table)
+            table = check_width(table, width)
+        check_cells(width * rank, BASIS_CELLS, "the basis")
+        if not isinstance(init, str):
+            w = np.array(init, dtype=float)
+        elif packed:
+            w = _initial_basis_of_blocks(table, rows, width, rank, init, seed)
+        else:
+            w = initial_basis(table, rank, init, seed)
         if w.shape != (width, rank):
             raise ValueError(f"the starting basis has shape {w.shape}, expected {(width, rank)}")
-        groups = group_ids(source)
         local = len(groups) * (width * rank + rank * rank + rank + 4) <= driver_cells
         if h_basis == "group" and not local:
             raise ValueError("h_basis='group' keeps a basis per group in every task; too many groups or features")
@@ -223,13 +264,22 @@ def factorize(
             previous = value
         return model
     finally:
-        if cache:
+        if cache and not given_blocks:
             table.unpersist()
 
 
 def repeat_fit(df: DataFrame, rank: int, seeds: Iterable[int], **options) -> list[Factorization]:
-    """One fit per seed, each from its own start; ``run`` in the histories tells them apart."""
-    return [factorize(df, rank, seed=s, run=k, **options) for k, s in enumerate(seeds, start=1)]
+    """One fit per seed, each from its own start; ``run`` in the histories tells them apart.
+
+    The table is packed once for all of them (unless ``cache=False``).
+    """
+    if "cells" in df.columns or not options.get("cache", True):
+        return [factorize(df, rank, seed=s, run=k, **options) for k, s in enumerate(seeds, start=1)]
+    blocks = pack_blocks(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return repeat_fit(blocks, rank, seeds, **options)
+    finally:
+        blocks.unpersist()
 
 
 def best_of(models: Sequence[Factorization]) -> Factorization:

@@ -102,7 +102,8 @@ def test_partial_sums_survive_flushing(spark, monkeypatch):
     _, xs, hs, cross, _ = problem(n=20)
     df = long_table(spark, xs, hs).repartition(3)
     want = G.read_state(G.weighted_statistics(df), np.arange(5), 30, 4)
-    monkeypatch.setattr(G, "FLUSH_CELLS", 10)
+    monkeypatch.setattr(G._Sums, "full", lambda self: True)
+    monkeypatch.setattr(G, "SLAB_ROWS", 7)
     got = G.read_state(G.weighted_statistics(df), np.arange(5), 30, 4)
     np.testing.assert_allclose(got.cross, want.cross, atol=1e-10)
     np.testing.assert_allclose(got.squares, want.squares, atol=1e-9)
@@ -115,7 +116,7 @@ def test_packed_rows_give_the_same_statistics(spark):
     df = features(spark, rng.normal(size=(97, 6)), rng.integers(0, 3, 97)).repartition(3)
     basis = rng.normal(size=(6, 2))
     plain = G.read_state(G.solved_statistics(df, basis), np.arange(3), 6, 2)
-    packed = G.read_state(G.solved_statistics(pack_blocks(df, 6 * 8 * 10), basis), np.arange(3), 6, 2)
+    packed = G.read_state(G.solved_statistics(pack_blocks(df, block_bytes=6 * 8 * 10), basis), np.arange(3), 6, 2)
     np.testing.assert_allclose(packed.cross, plain.cross, atol=1e-10)
     np.testing.assert_allclose(packed.sse, plain.sse, atol=1e-10)
     np.testing.assert_array_equal(packed.n, plain.n)

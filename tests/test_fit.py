@@ -108,6 +108,22 @@ def test_starts(planted):
         fy.initial_basis(planted, 3, "other")
 
 
+@pytest.mark.parametrize("init", ["random_rows", "kmeans", "normal"])
+def test_cached_blocks_and_plain_rows_agree(planted, init):
+    options = dict(solver="agd", lam=0.5, max_iter=2, seed=4, init=init)
+    packed = fy.factorize(planted, 3, cache=True, **options)
+    plain = fy.factorize(planted, 3, cache=False, **options)
+    np.testing.assert_allclose(packed.basis, plain.basis, atol=1e-8 if init != "kmeans" else 0.2)
+
+
+@pytest.mark.parametrize("cache", [True, False])
+def test_ragged_input_fails(spark, cache):
+    rows = [(k, 0, [1.0, 2.0, 3.0][: 3 if k == 5 else 2 - (k == 6)]) for k in range(10)]
+    df = spark.createDataFrame(rows, "row_id bigint, group_id int, features array<double>").coalesce(1)
+    with pytest.raises(Exception, match="row_id 5"):
+        fy.factorize(df, 1, max_iter=1, cache=cache, init="normal")
+
+
 def test_bad_arguments(planted):
     with pytest.raises(ValueError):
         fy.factorize(planted, 3, h_basis="other")
