@@ -1,6 +1,7 @@
 """Basis updates: one optimum for all solvers, and the same result on the driver and in Spark."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from facetry.operators import basis as B
@@ -98,15 +99,36 @@ def test_blocks_of_features_give_the_same_basis(spark, solver, hyper):
     stats.unpersist()
 
 
-def test_partial_sums_survive_flushing(spark, monkeypatch):
-    _, xs, hs, cross, _ = problem(n=20)
-    df = long_table(spark, xs, hs).repartition(3)
-    want = G.read_state(G.weighted_statistics(df), np.arange(5), 30, 4)
-    monkeypatch.setattr(G._Sums, "full", lambda self: True)
+@pytest.mark.parametrize("every", [1, 3, 100])
+def test_partial_sums_survive_flushing(monkeypatch, every):
+    """However often a task hands over its sums, they add up to the same statistics."""
+    _, xs, hs, cross, grams = problem(n=20)
     monkeypatch.setattr(G, "SLAB_ROWS", 7)
-    got = G.read_state(G.weighted_statistics(df), np.arange(5), 30, 4)
-    np.testing.assert_allclose(got.cross, want.cross, atol=1e-10)
-    np.testing.assert_allclose(got.squares, want.squares, atol=1e-9)
+    groups = np.repeat(np.arange(5), 20)
+    order = np.random.default_rng(0).permutation(100)
+    x, h, g = np.concatenate(xs)[order], np.concatenate(hs)[order], groups[order]
+    sums, batches = G._Sums(), []
+    for k, part in enumerate(np.array_split(np.arange(100), 9)):
+        sums.add(g[part], x[part], h[part], np.ones(part.size))
+        if k % every == 0:
+            batches += list(sums.flush())
+    batches += list(sums.flush())
+    cells = pa.Table.from_batches(batches).to_pandas().groupby(["group_id", "kind", "i", "j"], as_index=False)["value"].sum()
+    state = G.state_from_cells(*(cells[c].to_numpy() for c in ("group_id", "kind", "i", "j", "value")), np.arange(5), 30, 4)
+    np.testing.assert_allclose(state.cross, cross, atol=1e-10)
+    np.testing.assert_allclose(state.gram, grams, atol=1e-10)
+    np.testing.assert_allclose(state.n, 20)
+    np.testing.assert_allclose(state.sse, 20)
+    assert len(batches) > (9 // every)
+
+
+def test_sums_are_handed_over_when_full(monkeypatch):
+    monkeypatch.setattr(G, "FLUSH_CELLS", 50)
+    sums = G._Sums()
+    for g in range(9):
+        assert not sums.full()
+        sums.add(np.array([g]), np.ones((1, 4)), np.ones((1, 2)), None)
+    assert sums.full()
 
 
 def test_packed_rows_give_the_same_statistics(spark):
