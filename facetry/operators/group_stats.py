@@ -9,7 +9,7 @@ aggregate adds the tasks. A group of any size is therefore summed by all tasks t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,56 +21,93 @@ from .weights import Bases, weight_kernel
 
 LONG = "group_id int, kind tinyint, i int, j int, value double"
 SCALAR, SUM_H, GRAM, CROSS = 0, 1, 2, 3
+POOLED = 2  # added to GRAM and CROSS where they are summed over all groups (under group 0)
 FLUSH_CELLS = 4_000_000
 SLAB_ROWS = 1_000_000
 
 
 class _Sums:
-    """What one task has added up so far: at most FLUSH_CELLS or eight groups, plus one batch."""
+    """What one task has added up so far: at most FLUSH_CELLS or eight groups, plus one batch.
 
-    def __init__(self) -> None:
-        self.by_group: dict[int, list] = {}
-        self.cells = 0
+    Groups share dense arrays, one slot each, so that a task with hundreds of groups per batch adds
+    and emits them together. With ``pool`` the matrices are summed over all groups.
+    """
+
+    def __init__(self, pool: bool = False) -> None:
+        self.pool = pool
+        self.slots: dict[int, int] = {}
+        self.parts: list[np.ndarray] = []
 
     def add(self, groups: np.ndarray, x: np.ndarray, h: np.ndarray, sse: np.ndarray | None) -> None:
         order = np.argsort(groups, kind="stable")
         ids, starts = np.unique(groups[order], return_index=True)
-        for g, mine in zip(ids, np.split(order, starts[1:])):
-            hg, xg = h[mine], x[mine]
-            logs = float(np.log(np.maximum(hg, 1e-300)).sum())
-            squares = float(np.einsum("ij,ij->", xg, xg))
-            scalars = np.array([mine.size, 0.0 if sse is None else float(sse[mine].sum()), logs, squares])
-            parts = [scalars, hg.sum(axis=0), hg.T @ hg, xg.T @ hg]
-            held = self.by_group.get(int(g))
-            if held is None:
-                self.by_group[int(g)] = parts
-                self.cells += sum(p.size for p in parts)
-            else:
-                for total, part in zip(held, parts):
-                    total += part
+        at = self._slots_of(ids, x.shape[1], h.shape[1])
+        scalars, sum_h, gram, cross = self.parts
+        if self.pool:
+            gram[0] += h.T @ h
+            cross[0] += x.T @ h
+        rows = np.stack(
+            [
+                np.ones(len(x)),
+                np.zeros(len(x)) if sse is None else sse,
+                np.log(np.maximum(h, 1e-300)).sum(axis=1),
+                np.einsum("ij,ij->i", x, x),
+            ],
+            axis=1,
+        )
+        if len(ids) > 1:
+            rows, h = rows[order], h[order]
+        scalars[at] += np.add.reduceat(rows, starts, axis=0)
+        sum_h[at] += np.add.reduceat(h, starts, axis=0)
+        if not self.pool:
+            x = x[order] if len(ids) > 1 else x
+            for slot, first, last in zip(at, starts, np.append(starts[1:], len(x))):
+                part = h[first:last]
+                gram[slot] += part.T @ part
+                cross[slot] += x[first:last].T @ part
+
+    def _slots_of(self, ids: np.ndarray, width: int, rank: int) -> np.ndarray:
+        for g in ids.tolist():
+            self.slots.setdefault(g, len(self.slots))
+        if not self.parts:
+            matrices = int(self.pool)
+            self.parts = [np.zeros((0, 4)), np.zeros((0, rank))]
+            self.parts += [np.zeros((matrices, rank, rank)), np.zeros((matrices, width, rank))]
+        have, need = len(self.parts[0]), len(self.slots)
+        if need > have:
+            more = max(need, min(2 * have, have + 1024)) - have
+            grown = [np.concatenate([p, np.zeros((more, *p.shape[1:]))]) for p in self.parts[: 2 if self.pool else 4]]
+            self.parts[: len(grown)] = grown
+        return np.array([self.slots[g] for g in ids.tolist()])
 
     def full(self) -> bool:
-        return self.cells > max(FLUSH_CELLS, 8 * self.cells // max(1, len(self.by_group)))
+        per_group = sum(p[0].size for p in self.parts[: 2 if self.pool else 4]) if self.slots else 0
+        return len(self.slots) > 8 and len(self.slots) * per_group > FLUSH_CELLS
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        for g, parts in self.by_group.items():
-            for kind, part in enumerate(parts):
-                block = part.reshape(part.shape[0], -1)
-                slab = max(1, SLAB_ROWS // block.shape[1])
-                for first in range(0, block.shape[0], slab):
-                    some = block[first : first + slab]
-                    rows, columns = np.indices(some.shape, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(some.size, g, dtype=np.int32)),
-                            pa.array(np.full(some.size, kind, dtype=np.int8)),
-                            pa.array(rows.ravel() + np.int32(first)),
-                            pa.array(columns.ravel()),
-                            pa.array(some.ravel()),
-                        ],
-                        names=["group_id", "kind", "i", "j", "value"],
-                    )
-        self.by_group, self.cells = {}, 0
+        every = np.fromiter(self.slots, dtype=np.int32, count=len(self.slots))
+        for kind, part in enumerate(self.parts):
+            ids = every
+            if self.pool and kind >= GRAM:
+                ids, kind = np.zeros(1, dtype=np.int32), kind + POOLED
+            cells = part[: len(ids)].reshape(len(ids), part.shape[1], -1)
+            per_row = cells.shape[2]
+            flat = cells.reshape(-1, per_row)
+            slab = max(1, SLAB_ROWS // per_row)
+            for first in range(0, len(flat), slab):
+                some = flat[first : first + slab]
+                owner, i = np.divmod(np.arange(first, first + len(some)), part.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(ids[owner], per_row)),
+                        pa.array(np.full(some.size, kind, dtype=np.int8)),
+                        pa.array(np.repeat(i.astype(np.int32), per_row)),
+                        pa.array(np.tile(np.arange(per_row, dtype=np.int32), len(some))),
+                        pa.array(some.ravel()),
+                    ],
+                    names=["group_id", "kind", "i", "j", "value"],
+                )
+        self.slots, self.parts = {}, []
 
 
 def _summed(partials: DataFrame) -> DataFrame:
@@ -78,13 +115,21 @@ def _summed(partials: DataFrame) -> DataFrame:
 
 
 def solved_statistics(
-    df: DataFrame, bases: Bases, mode: str = "simplex", alpha: float | np.ndarray = 0.1, eps: float = 1e-5
+    df: DataFrame,
+    bases: Bases,
+    mode: str = "simplex",
+    alpha: float | np.ndarray = 0.1,
+    eps: float = 1e-5,
+    pool: bool = False,
 ) -> DataFrame:
-    """Solve every row's weights for a basis and keep only the statistics; ``df`` may be packed."""
+    """Solve every row's weights for a basis and keep only the statistics; ``df`` may be packed.
+
+    With ``pool`` G and P are summed over all groups within the tasks already.
+    """
     kernel = weight_kernel(bases, mode, alpha, eps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        sums = _Sums(pool)
         for batch in batches:
             for groups, x in grouped_rows(batch):
                 h, sse = kernel(groups, x)
@@ -262,6 +307,23 @@ def state_from_cells(
     return GroupState(groups, scalars[:, 0], scalars[:, 1], scalars[:, 2], scalars[:, 3], sum_h, g, p)
 
 
+def read_pooled(
+    stats: DataFrame, groups: np.ndarray, width: int, rank: int, max_cells: int = 20_000_000
+) -> GroupState:
+    """State of a pass with ``pool``: counts and errors per group, one G and one P (summed over groups)."""
+    c = len(groups)
+    check_cells(c * (rank + 4) + width * rank + rank * rank, max_cells, "the pooled statistics")
+    table = stats.toArrow()
+    gid, kind, i, j, v = (table.column(k).to_numpy() for k in ("group_id", "kind", "i", "j", "value"))
+    own = kind < GRAM
+    per_group = state_from_cells(gid[own], kind[own], i[own], j[own], v[own], groups, 0, rank)
+    shared = ~own
+    pooled = state_from_cells(
+        gid[shared], kind[shared] - POOLED, i[shared], j[shared], v[shared], np.zeros(1, dtype=np.int32), width, rank
+    )
+    return replace(per_group, gram=pooled.gram, cross=pooled.cross)
+
+
 def pooled_state(
     stats: DataFrame, width: int, rank: int, *, noise_aware: bool, max_cells: int = 20_000_000
 ) -> tuple[GroupState, np.ndarray]:

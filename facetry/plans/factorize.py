@@ -26,6 +26,7 @@ from ..operators.group_stats import (
     group_ids,
     noise_variances,
     pooled_state,
+    read_pooled,
     read_state,
     rescale_groups,
     solved_statistics,
@@ -171,7 +172,7 @@ def factorize(
     pool_groups   add the groups up in Spark; by default where their rank x rank matrices are too many
 
     Pooling serves agd with simplex weights, which needs sums over groups alone and has the same
-    optimum as the other two solvers.
+    optimum as the other two solvers. Without noise_aware it is summed over groups within the tasks already.
     """
     if noise_aware is None:
         noise_aware = weights == "simplex" and solver in ("admm", "cease")
@@ -205,22 +206,32 @@ def factorize(
         local = len(groups) * (width * rank + rank * rank + rank + 4) <= driver_cells
         if h_basis == "group" and not local:
             raise ValueError("h_basis='group' keeps a basis per group in every task; too many groups or features")
+        sums_only = solver in ("agd", "ista") and weights == "simplex"
+        pool_early = sums_only and not noise_aware
         pooled = len(groups) * rank * (rank + 1) > BASIS_CELLS if pool_groups is None else pool_groups
-        if pooled and (solver not in ("agd", "ista") or weights == "nonnegative"):
+        if pooled and not sums_only:
             raise ValueError("this many groups need solver='agd' and simplex weights")
-        local = local and not pooled
+        local = (local and not pooled) or pool_early
         model = Factorization(w, groups, np.ones(len(groups)), weights, alpha, eps)
         previous = math.inf
         for step in range(1, max_iter + 1):
             began = time.monotonic()
-            stats = solved_statistics(table, model.copies or w, weights, alpha, eps)
+            stats = solved_statistics(table, model.copies or w, weights, alpha, eps, pool_early)
             if not local:
                 stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
             c = len(groups)
             before, scale, copies = w, None, None
-            if pooled:
+            if pool_early:
+                state = read_pooled(stats, groups, width, rank, BASIS_CELLS)
+                model.variances = noise_variances(state, width)
+                omega = np.full(c, 1.0 / c)
+                value = B.objective(state, before, lam, omega)
+                w, _ = B.BasisStep(solver, lam / c, np.array([1.0 / c]), hyper, inner_iter).solve(
+                    state.cross, state.gram, w
+                )
+            elif pooled:
                 state, omega = pooled_state(stats, width, rank, noise_aware=noise_aware, max_cells=BASIS_CELLS)
-                model.variances = noise_variances(state, width) if weights == "simplex" else model.variances
+                model.variances = noise_variances(state, width)
                 value = B.objective(state, before, lam, omega)
                 update = B.BasisStep(solver, lam / c, np.ones(1), hyper, inner_iter)
                 w, _ = update.solve(state.cross, state.gram, w)

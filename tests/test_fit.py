@@ -54,7 +54,7 @@ def test_one_group_may_hold_most_rows(spark):
 
 def test_driver_and_spark_updates_agree(planted):
     for solver in ("agd", "admm", "cease"):
-        options = dict(solver=solver, hyper=5.0, lam=0.5, max_iter=2, seed=4)
+        options = dict(solver=solver, hyper=5.0, lam=0.5, max_iter=2, seed=4, noise_aware=True)
         local = fy.factorize(planted, 3, **options)
         wide = fy.factorize(planted, 3, driver_cells=10, **options)
         np.testing.assert_allclose(wide.basis, local.basis, atol=1e-8)
@@ -72,6 +72,24 @@ def test_pooled_groups_agree(planted):
         fy.factorize(planted, 3, solver="admm", pool_groups=True, max_iter=1)
 
 
+def test_early_pooling_agrees_with_group_statistics(planted):
+    from facetry.operators import basis as B
+    from facetry.operators import group_stats as G
+
+    basis = fy.normal_basis(13, 3, seed=1)
+    groups = np.arange(4)
+    own = G.read_state(G.solved_statistics(planted, basis), groups, 13, 3)
+    pooled = G.read_pooled(G.solved_statistics(planted, basis, pool=True), groups, 13, 3)
+    np.testing.assert_allclose(pooled.gram[0], own.gram.sum(axis=0))
+    np.testing.assert_allclose(pooled.cross[:, 0], own.cross.sum(axis=1), atol=1e-9)
+    np.testing.assert_allclose(pooled.sum_h, own.sum_h)
+    np.testing.assert_allclose(pooled.sse, own.sse)
+    equal = np.full(4, 0.25)
+    want, _ = B.BasisStep("agd", 0.5, equal).solve(own.cross, own.gram, basis)
+    model = fy.factorize(planted, 3, solver="agd", lam=0.5, noise_aware=False, init=basis, max_iter=1)
+    np.testing.assert_allclose(model.basis, want, atol=1e-10)
+
+
 def test_group_basis(planted):
     model = fy.factorize(planted, 3, solver="admm", hyper=50.0, h_basis="group", lam=0.5, max_iter=3, seed=1)
     assert sorted(model.copies) == [0, 1, 2, 3]
