@@ -10,7 +10,7 @@ from facetry.operators import basis as B
 from facetry.operators import group_stats as G
 from facetry.operators import matrix as M
 from facetry.operators import scoring
-from facetry.operators.blocks import map_blocks
+from facetry.operators.blocks import map_blocks, small_table
 from facetry.plans.factorize import known_weights_state
 from facetry.sources.planted import grouped_keys
 
@@ -151,7 +151,7 @@ def mean_pair_gram(spark, sf):
 @query("a9_top_eigenvalue", with_([ORDERS, PAIR_GRAM], f"SELECT {r6(f'(a + d + {ROOT}) / 2')} AS value FROM g"))
 def top_eigenvalue(spark, sf):
     value = float(B.top_eigenvalue(mean_pair_gram(spark, sf)))
-    return spark.createDataFrame([(value,)], "value double").select(rounded("value").alias("value"))
+    return small_table(spark, [(value,)], "value double").select(rounded("value").alias("value"))
 
 
 @query(
@@ -164,7 +164,7 @@ def top_eigenvalue(spark, sf):
 )
 def weight_spectrum(spark, sf):
     state, _, _ = known_weights_state(fx.emb_h(spark, sf))
-    found = spark.createDataFrame([B.weight_spectrum(state.gram)], "smallest double, largest double, condition double")
+    found = small_table(spark, [B.weight_spectrum(state.gram)], "smallest double, largest double, condition double")
     return found.select(*[rounded(c).alias(c) for c in found.columns])
 
 
@@ -201,7 +201,7 @@ def state_at_parity(spark, sf):
 def precision_weights(spark, sf):
     state, _ = state_at_parity(spark, sf)
     rows = list(zip(state.groups.tolist(), B.precision_weights(state.variances).tolist()))
-    return spark.createDataFrame(rows, "group_id int, omega double").withColumn("omega", rounded("omega"))
+    return small_table(spark, rows, "group_id int, omega double").withColumn("omega", rounded("omega"))
 
 
 @query(

@@ -10,6 +10,7 @@ from facetry.functions import arrays as A
 from facetry.operators import basis as B
 from facetry.operators import group_stats as G
 from facetry.operators import matrix as M
+from facetry.operators.blocks import small_table
 from facetry.operators.weights import row_weights
 from facetry.plans import factorize as fit
 
@@ -166,7 +167,7 @@ def rescaled_groups(spark, sf):
 def noise_variance(spark, sf):
     state, _ = state_at_parity(spark, sf)
     rows = list(zip(state.groups.tolist(), state.variances.tolist()))
-    return spark.createDataFrame(rows, "group_id int, variance double").withColumn("variance", rounded("variance", 9))
+    return small_table(spark, rows, "group_id int, variance double").withColumn("variance", rounded("variance", 9))
 
 
 @query(
@@ -378,7 +379,7 @@ def objective(spark, sf):
     state, basis = state_at_parity(spark, sf)
     omega = B.precision_weights(state.variances)
     row = (B.objective(state, basis, LAM, omega), B.fit_error(state, basis.shape[0]))
-    found = spark.createDataFrame([row], "objective double, fit_error double")
+    found = small_table(spark, [row], "objective double, fit_error double")
     return found.select(*[rounded(c).alias(c) for c in found.columns])
 
 
@@ -415,7 +416,7 @@ def history(spark, sf):
     df = fx.emb_h(spark, sf)
     _, _, steps = fit.fit_basis(df, basis, solver="admm", lam=LAM, hyper=RHO, inner_iter=6, truth=basis)
     rows = [(k, loss, gap, far) for _, k, loss, gap, far in steps]
-    found = spark.createDataFrame(rows, "step int, loss double, violation double, distance double")
+    found = small_table(spark, rows, "step int, loss double, violation double, distance double")
     return found.select("step", *[rounded(c).alias(c) for c in found.columns[1:]])
 
 
@@ -458,7 +459,7 @@ def estimate_variance(spark, sf):
     state, _, _ = fit.known_weights_state(fx.emb_h(spark, sf))
     plain, aware = B.estimate_variance(state.gram, np.array([1.0, 1.0, 1.0, 1.0, 2.0]), 100.0)
     rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(plain, aware))]
-    found = spark.createDataFrame(rows, "k int, plain double, aware double")
+    found = small_table(spark, rows, "k int, plain double, aware double")
     return found.select("k", rounded("plain", 9).alias("plain"), rounded("aware", 9).alias("aware"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import facetry as fy
+from facetry.operators.blocks import small_table
 
 GROUPS = 5
 # Event types in the order of their feature positions.
@@ -93,9 +94,9 @@ def cells(df: DataFrame, column: str = "features", *keep: str, key: str = "row_i
 def matrix_rows(spark: SparkSession, block: np.ndarray, *names: str) -> DataFrame:
     """A small result matrix as rows ``names..., value`` (one name per axis)."""
     axes = np.indices(block.shape).reshape(block.ndim, -1)
-    rows = [(*map(int, at), float(v)) for at, v in zip(axes.T, block.ravel())]
+    rows = list(zip(*[a.tolist() for a in axes], block.ravel().tolist()))
     schema = ", ".join(f"{n} int" for n in names) + ", value double"
-    return spark.createDataFrame(rows, schema).withColumn("value", rounded("value"))
+    return small_table(spark, rows, schema).withColumn("value", rounded("value"))
 
 
 # --- SQL counterparts -------------------------------------------------------------------------

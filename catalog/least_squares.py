@@ -11,6 +11,7 @@ from facetry.operators import extreme_columns as X
 from facetry.operators import group_stats as G
 from facetry.operators import least_squares as L
 from facetry.operators import tsqr as Q
+from facetry.operators.blocks import small_table
 from facetry.operators.weights import nonnegative_least_squares
 from facetry.plans import separable_nmf as S
 
@@ -148,7 +149,7 @@ def extreme_columns(spark, sf):
     none = X.column_scores(c, np.diagonal(c), [], np.zeros((len(c), 0)))
     one = X.column_scores(c, np.diagonal(c), columns[:1], X.column_weights(c, columns[:1]).T)
     rows = [(0, columns[0], float(none[columns[0]])), (1, columns[1], float(one[columns[1]]))]
-    found = spark.createDataFrame(rows, "pick int, column_index int, score double")
+    found = small_table(spark, rows, "pick int, column_index int, score double")
     return found.withColumn("score", rounded("score"))
 
 
@@ -163,7 +164,7 @@ def extreme_columns_wide(spark, sf):
         columns, _ = X.choose_columns_wide(rows, 5, 2)
     finally:
         rows.unpersist()
-    return spark.createDataFrame(list(enumerate(columns)), "pick int, column_index int")
+    return small_table(spark, list(enumerate(columns)), "pick int, column_index int")
 
 
 @query(

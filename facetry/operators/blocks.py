@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 PACKED = "n int, width int, groups binary, ids binary, cells binary"
@@ -149,6 +151,15 @@ def grouped_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray
         )
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A result of driver size as a local relation (through Arrow, so that reading it starts no Python worker)."""
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+    columns = zip(*rows) if rows else [()] * len(arrow)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
+
+
 def map_blocks(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str = "features") -> DataFrame:
     """Apply a numpy function to each (n, m) block of rows.
 

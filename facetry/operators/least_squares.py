@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .blocks import small_table
 from .group_stats import gram_matrix
 from .tsqr import augmented
 
@@ -32,4 +33,4 @@ def coefficients(spark, solutions: dict[float, np.ndarray], targets: Sequence[st
         for i in range(b.shape[0])
         for k, t in enumerate(targets)
     ]
-    return spark.createDataFrame(rows, "lambda double, feature_id int, target string, coefficient double")
+    return small_table(spark, rows, "lambda double, feature_id int, target string, coefficient double")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import check_cells
+from .blocks import check_cells, small_table
 
 
 def label_pairs(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -119,8 +119,8 @@ def match_classes(table: DataFrame, max_classes: int = 2000) -> DataFrame:
         )
         for i, (label, j) in enumerate(zip(true_labels, partner))
     ]
-    return spark.createDataFrame(
-        rows, "true_label int, pred_label int, n bigint, n_true bigint, n_pred bigint, total bigint"
+    return small_table(
+        spark, rows, "true_label int, pred_label int, n bigint, n_true bigint, n_pred bigint, total bigint"
     )
 
 

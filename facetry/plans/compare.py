@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import basis as B
+from ..operators.blocks import small_table
 from ..operators.group_stats import GRAM, read_state, state_from_cells, weighted_statistics
 from ..operators.scoring import accuracy, f_measure, joint_counts, label_pairs, match_classes
 from ..sources.noise import add_gaussian
@@ -65,8 +66,8 @@ def compare(df: DataFrame, methods: Mapping[str, Method]) -> DataFrame:
         began = time.monotonic()
         scores = evaluate(df, method(df))
         rows.append((name, *scores, time.monotonic() - began))
-    return df.sparkSession.createDataFrame(
-        rows, "method string, accuracy double, f1 double, f1_of_means double, seconds double"
+    return small_table(
+        df.sparkSession, rows, "method string, accuracy double, f1 double, f1_of_means double, seconds double"
     )
 
 

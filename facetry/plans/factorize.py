@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import counter
 from ..functions.arrays import argmax
 from ..operators import basis as B
-from ..operators.blocks import block_facts, check_cells, dense, pack_blocks, unpack_drawn
+from ..operators.blocks import block_facts, check_cells, dense, pack_blocks, small_table, unpack_drawn
 from ..operators.group_stats import (
     GroupState,
     group_ids,
@@ -129,10 +129,10 @@ class Factorization:
 
     def variance_table(self, spark: SparkSession) -> DataFrame:
         rows = [(int(g), float(v)) for g, v in zip(self.groups, self.variances)]
-        return spark.createDataFrame(rows, "group_id int, variance double")
+        return small_table(spark, rows, "group_id int, variance double")
 
     def history_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.history, HISTORY)
+        return small_table(spark, self.history, HISTORY)
 
 
 def factorize(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import small_table
+
 
 def _key(key: str | Column) -> Column:
     return (F.col(key) if isinstance(key, str) else key).cast("bigint").alias("row_id")
@@ -102,4 +104,4 @@ def check_width(df: DataFrame, width: int, column: str = "features") -> DataFram
 def basis_table(spark, basis) -> DataFrame:
     """A basis matrix (features x rank) as ``feature_id INT, w ARRAY<DOUBLE>``."""
     rows = [(i, [float(v) for v in w]) for i, w in enumerate(basis)]
-    return spark.createDataFrame(rows, "feature_id int, w array<double>")
+    return small_table(spark, rows, "feature_id int, w array<double>")
