@@ -8,6 +8,7 @@ aggregate adds the tasks. A group of any size is therefore summed by all tasks t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import check_cells, dense, grouped_rows, vector
+from .blocks import TooLarge, check_cells, dense, grouped_rows, vector
 from .weights import Bases, weight_kernel
 
 LONG = "group_id int, kind tinyint, i int, j int, value double"
@@ -169,11 +170,14 @@ def weighted_statistics(df: DataFrame, bases: Bases | None = None) -> DataFrame:
     return _summed(df.select("group_id", "features", "h").mapInArrow(run, LONG))
 
 
-def upper_gram(df: DataFrame, column: str = "features") -> DataFrame:
+def upper_gram(
+    df: DataFrame, column: str = "features", *, norms: bool = False, max_width: int | None = None
+) -> DataFrame:
     """``group_id, i, j, value``: per group sum of x_i x_j for i <= j.
 
     Tasks emit the upper triangle of their partial sums, and a hash aggregate adds the tasks. A task holds
-    width x width cells for up to eight groups; for wide tables use few, large partitions.
+    width x width cells for up to eight groups; for wide tables use few, large partitions. With ``norms`` the sums
+    of |x_i| come along as j = width. Rows wider than ``max_width`` raise in the first task that sees one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +185,10 @@ def upper_gram(df: DataFrame, column: str = "features") -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for g, total in held.items():
-                slab = max(1, SLAB_ROWS // total.shape[0])
+                slab = max(1, SLAB_ROWS // total.shape[1])
                 for first in range(0, total.shape[0], slab):
                     some = total[first : first + slab]
-                    i, j = np.nonzero(np.arange(total.shape[0])[None, :] >= np.arange(first, first + len(some))[:, None])
+                    i, j = np.nonzero(np.arange(total.shape[1])[None, :] >= np.arange(first, first + len(some))[:, None])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(i.size, g, dtype=np.int32)),
@@ -200,9 +204,13 @@ def upper_gram(df: DataFrame, column: str = "features") -> DataFrame:
             if not batch.num_rows:
                 continue
             groups, x = vector(batch, "group_id"), dense(batch, column)
+            if max_width is not None and x.shape[1] > max_width:
+                raise TooLarge(f"{x.shape[1]} columns, at most {max_width} allowed for a Gram matrix in one process")
             for g in np.unique(groups):
                 mine = x if (groups == g).all() else x[groups == g]
                 part = mine.T @ mine
+                if norms:
+                    part = np.column_stack([part, np.abs(mine).sum(axis=0)])
                 held[int(g)] = held[int(g)] + part if int(g) in held else part
             if len(held) > 8 and len(held) * x.shape[1] ** 2 > FLUSH_CELLS:
                 yield from flush()
@@ -231,15 +239,24 @@ def gram(df: DataFrame, column: str = "features") -> DataFrame:
 
 
 def gram_matrix(df: DataFrame, column: str = "features", max_cells: int = 20_000_000) -> np.ndarray:
-    """X'X on the driver; only for widths whose square stays under ``max_cells``."""
-    width = df.select(F.size(column)).first()[0]
-    check_cells(width * width, max_cells, "the Gram matrix")
-    cells = upper_gram(df.select(F.lit(0).alias("group_id"), column), column).toArrow()
-    out = np.zeros((width, width))
+    """X'X on the driver, from one pass; only for widths whose square stays under ``max_cells``."""
+    return gram_and_norms(df, column, max_cells, norms=False)[0]
+
+
+def gram_and_norms(
+    df: DataFrame, column: str = "features", max_cells: int = 20_000_000, norms: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """(X'X, column L1 norms) on the driver, from one pass over the rows."""
+    whole = df.select(F.lit(0).alias("group_id"), column)
+    cells = upper_gram(whole, column, norms=norms, max_width=math.isqrt(max_cells)).toArrow()
     i, j, v = (cells.column(c).to_numpy() for c in ("i", "j", "value"))
-    out[i, j] = v
-    out[j, i] = v
-    return out
+    width = int(i.max()) + 1 if len(i) else 0
+    out, l1 = np.zeros((width, width)), np.zeros(width)
+    inside = j < width
+    out[i[inside], j[inside]] = v[inside]
+    out[j[inside], i[inside]] = v[inside]
+    l1[i[~inside]] = v[~inside]
+    return out, l1
 
 
 @dataclass
@@ -279,6 +296,16 @@ def read_state(
     return state_from_cells(*cells, groups, width, rank, with_cross)
 
 
+def read_whole_state(stats: DataFrame, max_cells: int = 20_000_000) -> tuple[GroupState, int, int]:
+    """(state, width, rank) where groups and sizes are not known beforehand; more than ``max_cells`` rows raise."""
+    table = stats.limit(max_cells + 1).toArrow()
+    check_cells(table.num_rows, max_cells, "the group statistics")
+    gid, kind, i, j, v = (table.column(k).to_numpy() for k in ("group_id", "kind", "i", "j", "value"))
+    cross = kind == CROSS
+    width, rank = int(i[cross].max()) + 1, int(j[cross].max()) + 1
+    return state_from_cells(gid, kind, i, j, v, np.unique(gid), width, rank), width, rank
+
+
 def state_from_cells(
     gid: np.ndarray,
     kind: np.ndarray,

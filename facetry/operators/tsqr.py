@@ -11,17 +11,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import check_cells, dense, lists, replace_column
+from .blocks import TooLarge, dense, lists, replace_column
 
 _R_ROWS = "block bigint, i int, features array<double>"
 
 
+MAX_WIDTH = 4472  # columns; R has at most 20 million cells
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce a task's rows to its R, batch by batch: memory is one batch plus one R."""
     r = None
     for batch in batches:
         if batch.num_rows:
             x = dense(batch)
+            if x.shape[1] > MAX_WIDTH:
+                raise TooLarge(f"{x.shape[1]} columns; QR here is for tall-skinny tables of at most {MAX_WIDTH}")
             r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
     if r is not None:
         block = TaskContext.get().partitionId()
@@ -58,10 +63,8 @@ def tsqr_r(df: DataFrame) -> DataFrame:
     return level.repartition(1).mapInArrow(_upright, _R_ROWS).select("i", "features")
 
 
-def r_matrix(df: DataFrame, max_cells: int = 20_000_000) -> np.ndarray:
-    """R on the driver (width x width, checked)."""
-    width = df.select(F.size("features")).first()[0]
-    check_cells(width * width, max_cells, "R")
+def r_matrix(df: DataFrame) -> np.ndarray:
+    """R on the driver; its width is checked in the tasks."""
     table = tsqr_r(df).toArrow().combine_chunks()
     return dense(table.to_batches()[0])[np.argsort(table.column("i").to_numpy())]
 

@@ -129,7 +129,7 @@ def nonnegative_minimiser(b: np.ndarray, q: np.ndarray, max_iter: int = 200) ->
     return np.maximum(h, 0.0)
 
 
-Bases = np.ndarray | Mapping[int, np.ndarray]
+Bases = np.ndarray | Mapping[int | None, np.ndarray]
 
 
 def weight_kernel(
@@ -152,11 +152,11 @@ def weight_kernel(
         return lambda groups, x: solve(x, bases)
 
     def by_group(groups: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.empty((x.shape[0], next(iter(bases.values())).shape[1]))
+        h = np.empty((x.shape[0], next(iter(bases.values())).shape[1]))  # a basis under None serves all other groups
         sse = np.empty(x.shape[0])
         for g in np.unique(groups):
             mine = groups == g
-            h[mine], sse[mine] = solve(x[mine], bases[int(g)])
+            h[mine], sse[mine] = solve(x[mine], bases[int(g)] if int(g) in bases else bases[None])
         return h, sse
 
     return by_group

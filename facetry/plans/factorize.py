@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import counter
 from ..functions.arrays import argmax
@@ -28,6 +27,7 @@ from ..operators.group_stats import (
     pooled_state,
     read_pooled,
     read_state,
+    read_whole_state,
     rescale_groups,
     solved_statistics,
     weighted_statistics,
@@ -117,8 +117,9 @@ class Factorization:
     history: list[tuple] = field(default_factory=list)
 
     def weights(self, df: DataFrame) -> DataFrame:
-        """``row_id, group_id, h`` for any feature table of the same width."""
-        return row_weights(df, self.copies or self.basis, self.mode, self.alpha, self.eps)
+        """``row_id, group_id, h`` for any feature table of the same width; unseen groups use the shared basis."""
+        bases = {**self.copies, None: self.basis} if self.copies else self.basis
+        return row_weights(df, bases, self.mode, self.alpha, self.eps)
 
     def labels(self, df: DataFrame) -> DataFrame:
         """``row_id, pred_label``: 1-based position of the largest weight."""
@@ -298,10 +299,8 @@ def best_of(models: Sequence[Factorization]) -> Factorization:
 
 
 def known_weights_state(df: DataFrame) -> tuple[GroupState, int, int]:
-    """Statistics of a table whose weights are given in ``h``; (state, width, rank)."""
-    first = df.select(F.size("features").alias("m"), F.size("h").alias("r")).first()
-    width, rank = int(first["m"]), int(first["r"])
-    return read_state(weighted_statistics(df), group_ids(df), width, rank), width, rank
+    """Statistics of a table whose weights are given in ``h``, from one pass; (state, width, rank)."""
+    return read_whole_state(weighted_statistics(df))
 
 
 def fit_basis(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax, pick
 from ..operators.extreme_columns import choose_columns, choose_columns_wide, gram_rows
-from ..operators.group_stats import gram_matrix
+from ..operators.group_stats import gram_and_norms
 from ..operators.matrix import column_l1_norms
 from ..operators.tsqr import r_matrix
 from ..sources.tables import feature_width
@@ -62,22 +63,23 @@ def separable_nmf(
     multiplied by its L1 norm, unless ``normalize`` divided the columns first. Beyond ``driver_cells`` cells C
     stays in Spark.
     """
+    if via not in ("gram", "qr"):
+        raise ValueError(f"unknown route {via!r}")
     width = feature_width(df)
-    norms = column_norms(df, width)
     if width * width > driver_cells:
-        rows = gram_rows(normalize_columns(df, norms) if normalize else df).persist()
+        norms = column_norms(df, width)
+        rows = gram_rows(normalize_columns(df, norms) if normalize else df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             columns, h = choose_columns_wide(rows, width, rank)
         finally:
             rows.unpersist()
     else:
         if via == "qr":
-            r = r_matrix(df, driver_cells)
+            norms = column_norms(df, width)
+            r = r_matrix(df)
             c = r.T @ r
-        elif via == "gram":
-            c = gram_matrix(df, max_cells=driver_cells)
         else:
-            raise ValueError(f"unknown route {via!r}")
+            c, norms = gram_and_norms(df, max_cells=driver_cells)
         if normalize:
             scale = np.where(norms > 0, 1.0 / np.where(norms > 0, norms, 1.0), 0.0)
             c = c * scale[:, None] * scale[None, :]

@@ -94,6 +94,7 @@ def test_group_basis(planted):
     model = fy.factorize(planted, 3, solver="admm", hyper=50.0, h_basis="group", lam=0.5, max_iter=3, seed=1)
     assert sorted(model.copies) == [0, 1, 2, 3]
     assert model.labels(planted).count() == 600
+    assert model.labels(planted.withColumn("group_id", F.lit(99))).count() == 600
 
 
 @pytest.mark.parametrize("normalize", ["group", "global"])

@@ -81,6 +81,14 @@ def test_group_gram(block, table):
         np.testing.assert_allclose(got[g], part.T @ part, atol=1e-10)
 
 
+def test_gram_and_norms_in_one_pass(block, table):
+    c, norms = G.gram_and_norms(table)
+    np.testing.assert_allclose(c, block.T @ block, atol=1e-10)
+    np.testing.assert_allclose(norms, np.abs(block).sum(axis=0), atol=1e-10)
+    with pytest.raises(Exception, match="at most 3"):
+        G.gram_matrix(table, max_cells=15)
+
+
 def test_qr(block, table):
     r = Q.r_matrix(table)
     np.testing.assert_allclose(r.T @ r, block.T @ block, atol=1e-10)
