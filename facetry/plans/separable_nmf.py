@@ -30,7 +30,7 @@ class SeparableNMF:
         """``row_id, h``: the chosen columns of every row (not collected)."""
         w = pick("features", self.columns)
         if self.normalized:
-            scales = F.array(*[F.lit(float(self.norms[j])) for j in self.columns])
+            scales = F.lit(np.asarray([self.norms[j] for j in self.columns], dtype=float))
             w = F.zip_with(w, scales, lambda x, s: F.when(s > 0, x / s).otherwise(0.0))
         return df.select("row_id", w.alias("h"))
 
@@ -41,7 +41,7 @@ class SeparableNMF:
 
 def normalize_columns(df: DataFrame, norms: np.ndarray) -> DataFrame:
     """Divide every column by its L1 norm; all-zero columns stay zero."""
-    scales = F.array(*[F.lit(float(v)) for v in norms])
+    scales = F.lit(np.asarray(norms, dtype=float))
     return df.withColumn(
         "features", F.zip_with("features", scales, lambda x, s: F.when(s > 0, x / s).otherwise(0.0))
     )

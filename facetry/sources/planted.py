@@ -34,10 +34,9 @@ def group_sizes(groups: int, per_group: int, proportion: float | None = None) ->
 def grouped_keys(spark: SparkSession, sizes: Sequence[int]) -> DataFrame:
     """``row_id, group_id`` for groups of the given sizes, numbered consecutively."""
     ends = np.cumsum(sizes)
-    group = F.lit(len(sizes) - 1)
-    for g in range(len(sizes) - 2, -1, -1):
-        group = F.when(F.col("row_id") < int(ends[g]), F.lit(g)).otherwise(group)
-    return spark.range(int(ends[-1])).select(F.col("id").alias("row_id")).withColumn("group_id", group.cast("int"))
+    keys = spark.range(int(ends[-1])).select(F.col("id").alias("row_id"))
+    passed = F.filter(F.lit(ends.astype(np.int64)), lambda end: end <= F.col("row_id"))
+    return keys.withColumn("group_id", F.size(passed).cast("int"))
 
 
 def normal_basis(width: int, rank: int, scale: float = 2.0, seed: int = 0) -> np.ndarray:

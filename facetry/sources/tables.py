@@ -66,19 +66,17 @@ def spread_groups(df: DataFrame, partitions: int | None = None) -> DataFrame:
     The passes of this package are right on any layout. With thousands of groups a task that sees
     all of them emits a partial sum for each; clustering first makes those partials fewer. Groups are counted
     first; one larger than a quarter of an even partition is salted by row key into as many parts as
-    it takes, so a group with a third of the table fills many partitions. Only the sizes of such large groups (at
-    most four per partition) come to the driver.
+    it takes, so a group with a third of the table fills many partitions. The list of large groups has at most four
+    entries per partition, which is what makes its broadcast safe.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    sizes = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
     part = max(1, total // (4 * n))
-    large = sizes.filter(F.col("n") > part).collect()
-    salts = F.lit(1)
-    if large:
-        pairs = [F.lit(v) for row in large for v in (int(row["group_id"]), -(-int(row["n"]) // part))]
-        salts = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("group_id")), F.lit(1))
-    return df.repartition(n, F.col("group_id"), F.pmod(F.hash("row_id"), salts))
+    large = sizes.filter(F.col("_n") > part).select("group_id", F.ceil(F.col("_n") / part).cast("int").alias("_salts"))
+    marked = df.join(F.broadcast(large), "group_id", "left")
+    salt = F.pmod(F.hash("row_id"), F.coalesce("_salts", F.lit(1)))
+    return marked.repartition(n, F.col("group_id"), salt).select(*df.columns)
 
 
 def feature_width(df: DataFrame, column: str = "features") -> int:
