@@ -100,7 +100,8 @@ def block_facts(blocks: DataFrame, max_groups: int = 1_000_000) -> tuple[int, in
                 names=["group_id", "width", "n"],
             )
 
-    facts = blocks.select("width", "groups").mapInArrow(run, "group_id int, width int, n bigint")
+    tasks = 3 * blocks.sparkSession.sparkContext.defaultParallelism
+    facts = blocks.select("width", "groups").coalesce(tasks).mapInArrow(run, "group_id int, width int, n bigint")
     table = facts.groupBy("group_id", "width").agg(F.sum("n").alias("n")).limit(max_groups + 1).toArrow()
     if not table.num_rows:
         raise ValueError("the feature table is empty")
@@ -111,6 +112,15 @@ def block_facts(blocks: DataFrame, max_groups: int = 1_000_000) -> tuple[int, in
     return int(table.column("n").to_numpy().sum()), int(widths[0]), np.unique(table.column("group_id").to_numpy())
 
 
+def gather_small(blocks: DataFrame, total_bytes: int, partition_bytes: int = 32_000_000) -> DataFrame:
+    """Read several small partitions in one task, without a shuffle; large ones are left alone.
+
+    A table that came out of a shuffle into many tiny partitions would otherwise pay for a task each in every pass.
+    """
+    wanted = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-total_bytes // partition_bytes))
+    return blocks.coalesce(wanted)
+
+
 def unpack_drawn(blocks: DataFrame, seed: int, share: float = 1.0, per_block: int | None = None) -> DataFrame:
     """``draw, row_id, features`` of the rows whose ``row_uniform`` lies below ``share``.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import counter
 from ..functions.arrays import argmax
 from ..operators import basis as B
-from ..operators.blocks import block_facts, check_cells, dense, pack_blocks, small_table, unpack_drawn
+from ..operators.blocks import block_facts, check_cells, dense, gather_small, pack_blocks, small_table, unpack_drawn
 from ..operators.group_stats import (
     GroupState,
     group_ids,
@@ -192,16 +192,17 @@ def factorize(
     try:
         if packed:
             rows, width, groups = block_facts(table)
+            reads = gather_small(table, 8 * rows * width)
         else:
             width, groups = feature_width(df), group_ids(table)
-            table = check_width(table, width)
+            reads = check_width(table, width)
         check_cells(width * rank, BASIS_CELLS, "the basis")
         if not isinstance(init, str):
             w = np.array(init, dtype=float)
         elif packed:
-            w = _initial_basis_of_blocks(table, rows, width, rank, init, seed)
+            w = _initial_basis_of_blocks(reads, rows, width, rank, init, seed)
         else:
-            w = initial_basis(table, rank, init, seed)
+            w = initial_basis(reads, rank, init, seed)
         if w.shape != (width, rank):
             raise ValueError(f"the starting basis has shape {w.shape}, expected {(width, rank)}")
         local = len(groups) * (width * rank + rank * rank + rank + 4) <= driver_cells
@@ -217,7 +218,7 @@ def factorize(
         previous = math.inf
         for step in range(1, max_iter + 1):
             began = time.monotonic()
-            stats = solved_statistics(table, model.copies or w, weights, alpha, eps, pool_early)
+            stats = solved_statistics(reads, model.copies or w, weights, alpha, eps, pool_early)
             if not local:
                 stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
             c = len(groups)
