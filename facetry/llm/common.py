@@ -145,26 +145,29 @@ def local_forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b), root the smallest node of its component; ``a`` and ``b`` of one comparable type.
 
-    Rounds of min-hooking: each node points to its smallest neighbour, links move up to what their ends point to, until every
-    link joins a node with a root. A round costs one aggregate and two joins of the links. Each round is written to the scratch folder.
-    Node lists are never gathered: a hub with a third of all links is summed by partial aggregates, and its joins are split by skew handling.
+    Alternates two steps until the links are stars: every larger neighbour of a node is linked to the smallest of the neighbourhood, then
+    every node and its smaller neighbours to the smallest of those. Both keep components, and neither makes more links than nodes and links
+    together. A step costs an aggregate and a join of the links, and is written to the scratch folder. Neighbour lists are never gathered: the
+    links of a hub are reduced by partial aggregates, and its joins are split by skew handling.
     """
-    links = settle(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    small, large = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+
+    def tidy(df: DataFrame) -> DataFrame:
+        return settle(df.where(F.col("a") != F.col("b")).select(small, large).distinct(), "links")
+
+    links = tidy(links)
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
-        # Every neighbour of a node is linked to the smallest of the neighbourhood; that keeps components and shortens paths.
-        star = both.join(low, both["a"] == low["node"]).select(F.col("low").alias("a"), F.col("b"))
-        stars = star.unionByName(low.select(F.col("low").alias("a"), F.col("node").alias("b"))).where(F.col("a") != F.col("b"))
-        links = settle(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        ends = links.groupBy("b").agg(F.count("*").alias("n"))
-        tops = links.select("a").distinct()
-        unfinished = ends.where(F.col("n") > 1).limit(1).count() or tops.join(ends, tops["a"] == ends["b"], "left_semi").limit(1).count()
-        if not unfinished:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
-                links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-            )
+        links = tidy(links.join(low, F.col("a") == F.col("node")).select(F.col("low").alias("a"), "b"))
+        low = links.groupBy("b").agg(F.min("a").alias("low")).select(F.col("b").alias("node"), "low")
+        links = tidy(links.join(low, F.col("b") == F.col("node")).select("a", F.col("low").alias("b")).unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b"))))
+        several = links.groupBy("b").count().where("count > 1").isEmpty()
+        chained = links.select(F.col("a").alias("b")).distinct().join(links.select("b"), "b", "left_semi").isEmpty()
+        if several and chained:
+            roots = links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+            return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
     raise RuntimeError(f"links have not settled after {rounds} rounds")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import mixing, sharding
+from . import decontaminate, mixing, near_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +73,50 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM {docs}
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), bp AS (
+  SELECT item, words, least(10, len(words)) AS n, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS i FROM b WHERE len(words) > 0
+), bw AS (
+  SELECT DISTINCT item, n, list_aggregate(words[i:i + n - 1], 'string_agg', ' ') AS win FROM bp
+), lens AS (
+  SELECT DISTINCT n FROM bw
+), dp AS (
+  SELECT rid, words, n, unnest(generate_series(1, len(words) - n + 1)) AS i FROM d, lens WHERE len(words) >= n
+), dw AS (
+  SELECT rid, n, i, list_aggregate(words[i:i + n - 1], 'string_agg', ' ') AS win FROM dp
+), hits AS (
+  SELECT rid, dw.n, i, item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win
+), places AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+), decon AS (
+  SELECT d.rid, doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
+)
+"""
+
+
+@query("op2_decontamination", DECONTAMINATION_SQL.format(docs="documents") + "SELECT * EXCLUDE rid FROM decon")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words of every document against every benchmark item, windows of ten words."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    fields = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", *(F.col(f"contamination.{f}").alias(f) for f in fields))
+
+
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
