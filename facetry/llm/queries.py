@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, mixing, near_dedup, sharding
+from . import decontaminate, mixing, near_dedup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, and whether it is kept (1/2 or more)."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.with_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("keep"))
