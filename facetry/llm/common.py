@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SCRATCH = "spark.checkpoint.dir"
 #: Bytes of text that a task turns into numpy arrays at a time.
 CHUNK_BYTES = 2 << 20
+#: Bytes of ASCII letters (lower-cased), digits and all beyond ASCII stand; others become spaces.
+FOLD = bytes(b if chr(b).isascii() and chr(b).isalnum() or b >= 128 else 32 for b in range(256)).lower()
 
 
 def scratch_dir(spark: SparkSession) -> str:

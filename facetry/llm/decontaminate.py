@@ -12,14 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, text_chunks
+from .common import FOLD, binary, text_chunks
 
 #: Words of all benchmark items together that are broadcast; a larger benchmark has to come in parts.
 MAX_WORDS = 20_000_000
 WINDOW = 10
 # Fixed value: bytes of words after lower-casing A-Z; all others separate.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_FOLD = bytes(b if chr(b).isascii() and chr(b).isalnum() or b >= 128 else 32 for b in range(256)).lower()
 
 RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:bigint,end:bigint>>, cleaned string"
 
@@ -52,7 +51,7 @@ class WindowIndex:
         self.vocabulary: dict[bytes, int] = {}
         found: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
         for name, raw in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in raw.translate(_FOLD).split()]
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in raw.translate(FOLD).split()]
             n = min(width, len(ids))
             for at in range(len(ids) - n + 1 if n else 0):
                 found[n][tuple(ids[at : at + n])].add(name)
@@ -80,7 +79,7 @@ class WindowIndex:
         get = self.vocabulary.get
         ids, ends = [], []
         for raw in chunk:
-            ids += [get(w, 0) for w in raw.translate(_FOLD).split()]
+            ids += [get(w, 0) for w in raw.translate(FOLD).split()]
             ends.append(len(ids))
             ids.append(0)
         ids, ends = np.array(ids, np.int32), np.array(ends)

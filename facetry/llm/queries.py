@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_id, mixing, near_dedup, quality, sharding, vector_search
+from . import decontaminate, language_id, license_scan, mixing, near_dedup, quality, sharding, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,3 +157,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest integer inner products of every hundredth vector with all others."""
     vectors = vector_search.integer_vectors(table(spark, sf_dir, "embeddings"))
     return vector_search.top_inner_products(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document: how many places, the best covered license, its coverage and the places."""
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license_scan.*")
