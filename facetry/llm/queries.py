@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_id, license_scan, mixing, near_dedup, quality, sharding, vector_search
+from . import decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, quality, sharding, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document: how many places, the best covered license, its coverage and the places."""
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "license_scan.*")
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every line of every document: lines within two edits."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
