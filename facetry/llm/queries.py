@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, quality, sharding, vector_search
+from . import decontaminate, language_id, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +170,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every line of every document: lines within two edits."""
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm_scores")
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learned from those whose remainder is not 0."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), held_out)
