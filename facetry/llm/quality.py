@@ -208,13 +208,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     Labels that are null are left out; a key with several labels has their mean, from 1/2 on as 1. Of several documents with one key the
     largest text counts. Only keys are looked at to draw the sample, and only sampled texts to fit.
     """
-    told = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("key")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    told = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("key")).agg((F.avg(F.col(f"`{label}`")) >= 0.5).cast("int").alias("y"))
     told = told.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(max_labelled)
     plain = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.lit(-1).alias("y"))
     plain = plain.orderBy(F.xxhash64(F.lit("pool"), F.col("key").cast("string")), "key").limit(max_unlabelled)
-    ids = settle(told.unionByName(plain).groupBy("key").agg(F.max("y").alias("y")), "sample")
+    ids = settle(told.unionByName(plain).groupBy("key").agg(F.max("y").alias("__y")).withColumnRenamed("key", "__key"), "sample")
     columns = [F.col(f"`{c}`").alias(c) for c in ("text", "lang", "source", "n_chars")]
-    rows = docs.join(F.broadcast(ids), F.col(f"`{key}`") == F.col("key")).select(F.col("key").alias("__key"), F.col("y").alias("__y"), *columns)
+    rows = docs.join(F.broadcast(ids), F.col(f"`{key}`") == F.col("__key")).select("__key", "__y", *columns)
     one = rows.groupBy("__key", "__y").agg(F.max(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("__key", "__y", "d.*")
 
     @F.arrow_udf("array<double>")
