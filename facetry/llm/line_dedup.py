@@ -308,7 +308,8 @@ class LineJoin:
     def rows(self) -> DataFrame:
         """One row per key of every distinct line; a line's rows do not grow with its copies."""
         packed = self.docs.mapInArrow(_emit(self.make, True), "id bigint, packed binary")
-        distinct = packed.groupBy("id").agg(F.first("packed").alias("packed"))
+        # Written once: the rows are read to find hot keys, to make pairs, and again where a forest fails.
+        distinct = settle(packed.groupBy("id").agg(F.first("packed").alias("packed")), "distinct-lines")
         return distinct.mapInArrow(_unpack(self.edits), "k bigint, id bigint, sketch bigint, indexed boolean")
 
     def pairs(self, rows: DataFrame, reduce: bool) -> DataFrame:
