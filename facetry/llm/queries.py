@@ -69,7 +69,58 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-@query("op10_shards")
+def edit_sql(before: str, after: str, shards: int) -> str:
+    """One edit of a slot map: CTEs that end in ``after`` (virtual_slot, shard)."""
+    return f"""{after}_held AS (
+  SELECT virtual_slot, shard, bytes, sum(bytes) OVER () / {shards} AS mean,
+    sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) AS held FROM {before} JOIN loads USING (virtual_slot)
+), {after}_marked AS (
+  SELECT *, held - bytes / 2 <= mean OR bytes = 0 AS stays FROM {after}_held
+), {after}_gaps AS (
+  SELECT shard, sum(gap) OVER (ORDER BY shard) - gap AS place, sum(gap) OVER () AS total FROM (
+    SELECT s AS shard, greatest(0.0::DOUBLE, (SELECT max(mean) FROM {after}_held) - coalesce(sum(bytes) FILTER (stays), 0)) AS gap
+    FROM range({shards}) AS r(s) LEFT JOIN {after}_marked ON shard = s GROUP BY s) WHERE gap > 0
+), {after}_line AS (
+  SELECT virtual_slot, NULL::INT AS new_shard, (sum(bytes) OVER (ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) - bytes / 2) / sum(bytes) OVER () AS share
+  FROM {after}_marked WHERE NOT stays
+  UNION ALL SELECT NULL, shard, place / total FROM {after}_gaps
+), {after}_dealt AS (
+  SELECT virtual_slot, last_value(new_shard IGNORE NULLS) OVER (ORDER BY share, new_shard NULLS LAST) AS new_shard FROM {after}_line
+), {after} AS (
+  SELECT m.virtual_slot, coalesce(new_shard, shard)::INT AS shard FROM {after}_marked m LEFT JOIN {after}_dealt d ON m.virtual_slot = d.virtual_slot
+)"""
+
+
+SHARDS_SQL = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS r, 0 AS k FROM range(256) AS x(i)
+  UNION ALL SELECT i, CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(r ORDER BY i) AS tab FROM bits WHERE k = 8
+), coded AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size, text IS NULL AS no_text,
+    string_split(regexp_replace(hex(encode(text)), '(..)', '\\1,', 'g'), ',')[:octet_length(encode(text))] AS codes FROM documents
+), records AS (
+  SELECT doc_id, size, CASE WHEN NOT no_text THEN xor(list_reduce(list_prepend(4294967295, list_transform(codes, lambda h: ('0x' || h)::BIGINT)),
+      lambda acc, b: xor(acc >> 8, tab[(xor(acc, b) & 255) + 1])), 4294967295) END::BIGINT AS text_crc32,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT % 4096)::INT AS virtual_slot FROM coded, crc
+), loads AS (
+  SELECT s::INT AS virtual_slot, coalesce(sum(size), 0)::BIGINT AS bytes, count(size) AS rows FROM range(4096) AS r(s) LEFT JOIN records ON virtual_slot = s GROUP BY s
+), map1 AS (
+  SELECT s::INT AS virtual_slot, (s % 24)::INT AS shard FROM range(4096) AS r(s)
+), {edit_sql('map1', 'map2', 24)}, {edit_sql('map2', 'map3', 24)},
+places AS (
+  SELECT virtual_slot, shard, coalesce(sum(rows) OVER (PARTITION BY shard ORDER BY virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM map3 JOIN loads USING (virtual_slot) WHERE rows > 0
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  (before + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1)::BIGINT AS slot,
+  NULL::INT AS grown_shard, virtual_slot, 3::INT AS map_version
+FROM records JOIN places USING (virtual_slot)
+"""
+
+
+@query("op10_shards", SHARDS_SQL)
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)

@@ -28,7 +28,8 @@ def same(ours, theirs):
     assert list(ours.columns) == list(theirs.columns) and len(ours) == len(theirs) > 0
     for c in ours.columns:
         if ours[c].dtype.kind == "f":
-            assert abs(ours[c] - theirs[c]).max() < 1e-6
+            assert (ours[c].isna() == theirs[c].isna()).all()
+            assert not (abs(ours[c] - theirs[c]) > 1e-6).any()
         else:
             assert (ours[c].astype(str) == theirs[c].astype(str)).all(), c
 
