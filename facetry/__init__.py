@@ -13,6 +13,6 @@ from .session import ship_package
 from .sources.delimited import parse_lines, read_delimited, write_basis
 from .sources.noise import add_gaussian, add_group_mixture, add_row_mixture
 from .sources.planted import banded_basis, normal_basis, planted, random_matrix
-from .sources.tables import assign_groups, check_width, from_array, from_columns, from_dense_rows, spread_groups
+from .sources.tables import assign_groups, check_width, from_array, from_columns, from_dense_rows, number_rows, spread_groups
 
 __all__ = [name for name in dir() if not name.startswith("_")]

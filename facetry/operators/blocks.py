@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import counter
 
 PACKED = "n int, width int, groups binary, ids binary, cells binary"
 
@@ -100,8 +100,7 @@ def block_facts(blocks: DataFrame, max_groups: int = 1_000_000) -> tuple[int, in
                 names=["group_id", "width", "n"],
             )
 
-    tasks = 3 * blocks.sparkSession.sparkContext.defaultParallelism
-    facts = blocks.select("width", "groups").coalesce(tasks).mapInArrow(run, "group_id int, width int, n bigint")
+    facts = blocks.select("width", "groups").mapInArrow(run, "group_id int, width int, n bigint")
     table = facts.groupBy("group_id", "width").agg(F.sum("n").alias("n")).limit(max_groups + 1).toArrow()
     if not table.num_rows:
         raise ValueError("the feature table is empty")
@@ -112,30 +111,27 @@ def block_facts(blocks: DataFrame, max_groups: int = 1_000_000) -> tuple[int, in
     return int(table.column("n").to_numpy().sum()), int(widths[0]), np.unique(table.column("group_id").to_numpy())
 
 
-def gather_small(blocks: DataFrame, total_bytes: int, partition_bytes: int = 32_000_000) -> DataFrame:
+def gather_small(blocks: DataFrame, total_bytes: int, partition_bytes: int = 512_000_000) -> DataFrame:
     """Read several small partitions in one task, without a shuffle; large ones are left alone.
 
-    A table that came out of a shuffle into many tiny partitions would otherwise pay for a task each in every pass.
+    Every task of a pass sends one set of statistics, so a pass over few large partitions exchanges less. A task reads block by
+    block, so its memory does not grow with its partition. No fewer tasks than cores.
     """
     wanted = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-total_bytes // partition_bytes))
     return blocks.coalesce(wanted)
 
 
 def unpack_drawn(blocks: DataFrame, seed: int, share: float = 1.0, per_block: int | None = None) -> DataFrame:
-    """``draw, row_id, features`` of the rows whose ``row_uniform`` lies below ``share``.
+    """``draw, row_id, features`` of the rows whose ``counter.uniform`` (slot 0) lies below ``share``.
 
     With ``per_block`` only the lowest draws of each block, enough to find the lowest overall.
     """
 
-    def draws(keys: np.ndarray) -> np.ndarray:
-        hashed = (int(hashlib.md5(f"{k}:{seed}".encode()).hexdigest()[:13], 16) for k in keys.tolist())
-        return np.fromiter(hashed, dtype=np.float64, count=keys.size) / 2.0**52
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for width, ids, cells in zip(*(batch.column(c) for c in ("width", "ids", "cells"))):
                 keys = np.frombuffer(ids.as_buffer(), dtype=np.int64)
-                u = draws(keys)
+                u = counter.uniform(keys, 0, seed)
                 chosen = np.flatnonzero(u < share)
                 if per_block is not None:
                     chosen = chosen[np.lexsort((keys[chosen], u[chosen]))[:per_block]]

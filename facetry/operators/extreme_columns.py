@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import check_cells, dense, vector
-from .group_stats import gram
+from .group_stats import TILE, gram
 from .weights import nonnegative_minimiser
 
 
@@ -46,10 +46,10 @@ def choose_columns(c: np.ndarray, rank: int) -> tuple[list[int], np.ndarray]:
     return chosen, h
 
 
-def gram_rows(df: DataFrame) -> DataFrame:
-    """C as ``i, features`` rows, for widths whose square is too large for the driver."""
+def gram_rows(df: DataFrame, tile: int = TILE) -> DataFrame:
+    """C as ``i, features`` rows, for widths whose square is too large for the driver; made from tiles."""
     cells = F.array_sort(F.collect_list(F.struct("j", "value")))
-    return gram(df).groupBy("i").agg(F.transform(cells, lambda s: s["value"]).alias("features"))
+    return gram(df, tile=tile).groupBy("i").agg(F.transform(cells, lambda s: s["value"]).alias("features"))
 
 
 def choose_columns_wide(c_rows: DataFrame, width: int, rank: int) -> tuple[list[int], np.ndarray]:

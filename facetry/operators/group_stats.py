@@ -1,9 +1,13 @@
 """Sufficient statistics per group: one pass over the rows, one keyed sum.
 
 The statistics of a group are its row count, squared error, summed log weights, summed squares of the
-features, summed weights, G = sum h h' (rank x rank) and P = sum x h' (features x rank). They travel as long rows
-``group_id, kind, i, j, value``: every task adds up its own rows first, and an ordinary hash
-aggregate adds the tasks. A group of any size is therefore summed by all tasks that hold its rows.
+features, rows whose weights have not converged, summed weights and logs of weights per component,
+G = sum h h' (rank x rank) and P = sum x h' (features x rank).
+
+Every task adds up its own rows first and sends each matrix as a few rows with an array of cells, one for each
+(group, kind, block of cells). These are added in two levels: tasks that share a bucket in numpy, then the few buckets by an ordinary
+hash aggregate of long rows ``group_id, kind, i, j, value``, whose number does not depend on the number of tasks. A group of any size
+is therefore summed by all tasks that hold its rows, and no task adds up all partial sums of a group.
 """
 
 from __future__ import annotations
@@ -14,17 +18,23 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import TooLarge, check_cells, dense, grouped_rows, vector
+from .blocks import TooLarge, check_cells, dense, grouped_rows, lists, vector
 from .weights import Bases, weight_kernel
 
 LONG = "group_id int, kind tinyint, i int, j int, value double"
 SCALAR, SUM_H, GRAM, CROSS = 0, 1, 2, 3
+SCALARS = 5
 POOLED = 2  # added to GRAM and CROSS where they are summed over all groups (under group 0)
 FLUSH_CELLS = 4_000_000
 SLAB_ROWS = 1_000_000
+PARTIAL = "group_id int, kind tinyint, row int, width int, bucket int, cells array<double>"
+PARTIAL_CELLS = 65_536  # cells of one row of partial sums
+BUCKETS = 16  # that the tasks of a pass are dealt to
+TILE, HELD_BYTES = 512, 64_000_000  # columns of a Gram tile, and rows a task holds to make its tiles from
 
 
 class _Sums:
@@ -39,7 +49,9 @@ class _Sums:
         self.slots: dict[int, int] = {}
         self.parts: list[np.ndarray] = []
 
-    def add(self, groups: np.ndarray, x: np.ndarray, h: np.ndarray, sse: np.ndarray | None) -> None:
+    def add(
+        self, groups: np.ndarray, x: np.ndarray, h: np.ndarray, sse: np.ndarray | None, open_rows: np.ndarray | None = None
+    ) -> None:
         order = np.argsort(groups, kind="stable")
         ids, starts = np.unique(groups[order], return_index=True)
         at = self._slots_of(ids, x.shape[1], h.shape[1])
@@ -47,19 +59,22 @@ class _Sums:
         if self.pool:
             gram[0] += h.T @ h
             cross[0] += x.T @ h
+        logs, none = np.log(np.maximum(h, 1e-300)), np.zeros(len(x))
         rows = np.stack(
             [
                 np.ones(len(x)),
-                np.zeros(len(x)) if sse is None else sse,
-                np.log(np.maximum(h, 1e-300)).sum(axis=1),
+                none if sse is None else sse,
+                logs.sum(axis=1),
                 np.einsum("ij,ij->i", x, x),
+                none if open_rows is None else open_rows,
             ],
             axis=1,
         )
+        both = np.stack([h, logs], axis=2)
         if len(ids) > 1:
-            rows, h = rows[order], h[order]
+            rows, h, both = rows[order], h[order], both[order]
         scalars[at] += np.add.reduceat(rows, starts, axis=0)
-        sum_h[at] += np.add.reduceat(h, starts, axis=0)
+        sum_h[at] += np.add.reduceat(both, starts, axis=0)
         if not self.pool:
             x = x[order] if len(ids) > 1 else x
             for slot, first, last in zip(at, starts, np.append(starts[1:], len(x))):
@@ -72,7 +87,7 @@ class _Sums:
             self.slots.setdefault(g, len(self.slots))
         if not self.parts:
             matrices = int(self.pool)
-            self.parts = [np.zeros((0, 4)), np.zeros((0, rank))]
+            self.parts = [np.zeros((0, SCALARS)), np.zeros((0, rank, 2))]
             self.parts += [np.zeros((matrices, rank, rank)), np.zeros((matrices, width, rank))]
         have, need = len(self.parts[0]), len(self.slots)
         if need > have:
@@ -93,26 +108,80 @@ class _Sums:
                 ids, kind = np.zeros(1, dtype=np.int32), kind + POOLED
             cells = part[: len(ids)].reshape(len(ids), part.shape[1], -1)
             per_row = cells.shape[2]
-            flat = cells.reshape(-1, per_row)
-            slab = max(1, SLAB_ROWS // per_row)
-            for first in range(0, len(flat), slab):
-                some = flat[first : first + slab]
-                owner, i = np.divmod(np.arange(first, first + len(some)), part.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids[owner], per_row)),
-                        pa.array(np.full(some.size, kind, dtype=np.int8)),
-                        pa.array(np.repeat(i.astype(np.int32), per_row)),
-                        pa.array(np.tile(np.arange(per_row, dtype=np.int32), len(some))),
-                        pa.array(some.ravel()),
-                    ],
-                    names=["group_id", "kind", "i", "j", "value"],
-                )
+            step = max(1, PARTIAL_CELLS // per_row)
+            for row in range(0, part.shape[1], step):
+                block = cells[:, row : row + step]
+                slab = max(1, SLAB_ROWS // max(1, block[0].size))
+                for first in range(0, len(ids), slab):
+                    yield _partial_rows(ids[first : first + slab], kind, row, per_row, block[first : first + slab])
         self.slots, self.parts = {}, []
 
 
+def _partial_rows(ids: np.ndarray, kind: int, row: int, width: int, block: np.ndarray) -> pa.RecordBatch:
+    n = len(ids)
+    columns = [pa.array(np.full(n, v), t) for v, t in ((kind, pa.int8()), (row, pa.int32()), (width, pa.int32()))]
+    task = TaskContext.get()
+    bucket = pa.array(np.full(n, task.partitionId() % BUCKETS if task else 0), pa.int32())
+    cells = lists(block.reshape(n, -1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids), *columns, bucket, cells], names=["group_id", "kind", "row", "width", "bucket", "cells"]
+    )
+
+
+def _add_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long rows of the sums of partial rows with equal (group, kind, first row); what is held is let go once it is large."""
+    held: dict[tuple[int, int, int, int], np.ndarray] = {}
+    size = 0
+
+    def let_go() -> Iterator[pa.RecordBatch]:
+        some, cells = [], 0
+        for key, total in held.items():
+            some.append((key, total))
+            cells += total.size
+            if cells >= SLAB_ROWS:
+                yield _long_rows(some)
+                some, cells = [], 0
+        if some:
+            yield _long_rows(some)
+        held.clear()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = zip(*(vector(batch, c).tolist() for c in ("group_id", "kind", "row", "width")), strict=True)
+        column = batch.column("cells")
+        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        for key, first, last in zip(keys, offsets, offsets[1:], strict=False):
+            if key in held:
+                held[key] += flat[first:last]
+            else:
+                held[key] = flat[first:last].copy()
+                size += int(last - first)
+        if size > 2 * FLUSH_CELLS:
+            yield from let_go()
+            size = 0
+    yield from let_go()
+
+
+def _long_rows(sums: list[tuple[tuple[int, int, int, int], np.ndarray]]) -> pa.RecordBatch:
+    sizes = np.array([total.size for _, total in sums])
+    group, kind, row, width = np.array([key for key, _ in sums]).T
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    per_row = np.repeat(width, sizes)
+    columns = [
+        pa.array(np.repeat(group, sizes).astype(np.int32)),
+        pa.array(np.repeat(kind, sizes).astype(np.int8)),
+        pa.array((np.repeat(row, sizes) + place // per_row).astype(np.int32)),
+        pa.array((place % per_row).astype(np.int32)),
+        pa.array(np.concatenate([total for _, total in sums])),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["group_id", "kind", "i", "j", "value"])
+
+
 def _summed(partials: DataFrame) -> DataFrame:
-    return partials.groupBy("group_id", "kind", "i", "j").agg(F.sum("value").alias("value"))
+    """Both levels of the sum: buckets of tasks for each block of cells, then the buckets."""
+    dealt = partials.repartition("group_id", "kind", "row", "bucket")
+    return dealt.mapInArrow(_add_partials, LONG).groupBy("group_id", "kind", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def solved_statistics(
@@ -133,18 +202,17 @@ def solved_statistics(
         sums = _Sums(pool)
         for batch in batches:
             for groups, x in grouped_rows(batch):
-                h, sse = kernel(groups, x)
-                sums.add(groups, x, h, sse)
+                sums.add(groups, x, *kernel(groups, x))
             if sums.full():
                 yield from sums.flush()
         yield from sums.flush()
 
     rows = df.select("width", "groups", "cells") if "cells" in df.columns else df.select("group_id", "features")
-    return _summed(rows.mapInArrow(run, LONG))
+    return _summed(rows.mapInArrow(run, PARTIAL))
 
 
-def weighted_statistics(df: DataFrame, bases: Bases | None = None) -> DataFrame:
-    """The same statistics for weights given in column ``h`` (squared error only with a basis)."""
+def weighted_statistics(df: DataFrame, bases: Bases | None = None, centre: np.ndarray | None = None) -> DataFrame:
+    """The same statistics for weights given in column ``h`` (squared error only with a basis); with ``centre`` of X - centre H in place of X."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
@@ -152,14 +220,17 @@ def weighted_statistics(df: DataFrame, bases: Bases | None = None) -> DataFrame:
             if not batch.num_rows:
                 continue
             groups, x, h = vector(batch, "group_id"), dense(batch), dense(batch, "h")
+            if centre is not None:
+                x = x - h @ centre.T
             sse = None
             if isinstance(bases, np.ndarray):
                 gap = x - h @ bases.T
                 sse = np.einsum("ij,ij->i", gap, gap)
             elif bases is not None:
                 sse = np.empty(x.shape[0])
-                for g in np.unique(groups):
-                    mine = groups == g
+                order = np.argsort(groups, kind="stable")
+                ids, starts = np.unique(groups[order], return_index=True)
+                for g, mine in zip(ids, np.split(order, starts[1:]), strict=True):
                     gap = x[mine] - h[mine] @ bases[int(g)].T
                     sse[mine] = np.einsum("ij,ij->i", gap, gap)
             sums.add(groups, x, h, sse)
@@ -167,62 +238,111 @@ def weighted_statistics(df: DataFrame, bases: Bases | None = None) -> DataFrame:
                 yield from sums.flush()
         yield from sums.flush()
 
-    return _summed(df.select("group_id", "features", "h").mapInArrow(run, LONG))
+    return _summed(df.select("group_id", "features", "h").mapInArrow(run, PARTIAL))
 
 
 def upper_gram(
-    df: DataFrame, column: str = "features", *, norms: bool = False, max_width: int | None = None
+    df: DataFrame,
+    column: str = "features",
+    *,
+    norms: bool = False,
+    max_width: int | None = None,
+    tile: int = TILE,
+    held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """``group_id, i, j, value``: per group sum of x_i x_j for i <= j.
 
-    Tasks emit the upper triangle of their partial sums, and a hash aggregate adds the tasks. A task holds
-    width x width cells for up to eight groups; for wide tables use few, large partitions. With ``norms`` the sums
-    of |x_i| come along as j = width. Rows wider than ``max_width`` raise in the first task that sees one.
+    A task holds rows of about ``held_bytes`` and sends, group by group, their products as tiles of ``tile`` x ``tile`` cells; tiles with equal
+    (group, i-block, j-block) are added one after the other, first by bucket of tasks, then over buckets. So no process ever holds
+    more than its rows and one tile, whatever the width. With ``norms`` the sums of |x_i| come along as j = width. Rows wider than
+    ``max_width`` raise in the first task that sees one.
     """
+    names = ["group_id", "a", "b", "width", "bucket", "cells"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for g, total in held.items():
-                slab = max(1, SLAB_ROWS // total.shape[1])
-                for first in range(0, total.shape[0], slab):
-                    some = total[first : first + slab]
-                    i, j = np.nonzero(np.arange(total.shape[1])[None, :] >= np.arange(first, first + len(some))[:, None])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(i.size, g, dtype=np.int32)),
-                            pa.array((i + first).astype(np.int32)),
-                            pa.array(j.astype(np.int32)),
-                            pa.array(some[i, j]),
-                        ],
-                        names=["group_id", "i", "j", "value"],
-                    )
-            held.clear()
+    def products(groups: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        bucket, width = task.partitionId() % BUCKETS if task else 0, x.shape[1]
+        order = np.argsort(groups, kind="stable")
+        ids, starts = np.unique(groups[order], return_index=True)
+        rows: list[tuple] = []
+        for g, members in zip(ids.tolist(), np.split(order, starts[1:]), strict=True):
+            mine = x if len(ids) == 1 else x[members]
+            for a in range(0, width, tile):
+                if norms:
+                    rows.append((g, a, width, width, bucket, np.abs(mine[:, a : a + tile]).sum(axis=0)))
+                for b in range(a, width, tile):
+                    rows.append((g, a, b, width, bucket, (mine[:, a : a + tile].T @ mine[:, b : b + tile]).ravel()))
+                    if sum(r[5].size for r in rows[-64:]) > SLAB_ROWS or len(rows) >= 512:
+                        yield _tile_rows(rows, names)
+                        rows = []
+        if rows:
+            yield _tile_rows(rows, names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             groups, x = vector(batch, "group_id"), dense(batch, column)
             if max_width is not None and x.shape[1] > max_width:
                 raise TooLarge(f"{x.shape[1]} columns, at most {max_width} allowed for a Gram matrix in one process")
-            for g in np.unique(groups):
-                mine = x if (groups == g).all() else x[groups == g]
-                part = mine.T @ mine
-                if norms:
-                    part = np.column_stack([part, np.abs(mine).sum(axis=0)])
-                held[int(g)] = held[int(g)] + part if int(g) in held else part
-            if len(held) > 8 and len(held) * x.shape[1] ** 2 > FLUSH_CELLS:
-                yield from flush()
-        yield from flush()
-
-    partials = df.select("group_id", column).mapInArrow(run, "group_id int, i int, j int, value double")
-    return partials.groupBy("group_id", "i", "j").agg(F.sum("value").alias("value"))
-
-
-def group_gram(df: DataFrame, column: str = "features") -> DataFrame:
+            if held and held[0][1].shape[1] != x.shape[1]:
+                raise ValueError(f"{column} has rows of {held[0][1].shape[1]} and of {x.shape[1]} cells")
+            held.append((groups, x))
+            size += x.nbytes
+            if size > held_bytes:
+                yield from products(*(np.concatenate(part) for part in zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield from products(*(np.concatenate(part) for part in zip(*held, strict=True)))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch in batches:
+            keys = zip(*(vector(batch, c).tolist() for c in names[:5]), strict=True)
+            for here, cells in zip(keys, batch.column("cells"), strict=True):
+                values = cells.values.to_numpy(zero_copy_only=False)
+                if here == key:
+                    total += values
+                    continue
+                if key is not None:
+                    yield _tile_rows([(*key, total)], names)
+                key, total = here, values.copy()
+        if key is not None:
+            yield _tile_rows([(*key, total)], names)
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in added(batches):
+            group, a, b, width = (int(vector(batch, c)[0]) for c in names[:4])
+            cells = batch.column("cells").values.to_numpy(zero_copy_only=False)
+            if b == width:  # sums of absolute values
+                i, j = np.arange(a, a + len(cells)), np.full(len(cells), width)
+            else:
+                block = cells.reshape(min(tile, width - a), -1)
+                i, j = np.nonzero(np.arange(a, a + block.shape[0])[:, None] <= np.arange(b, b + block.shape[1])[None, :])
+                i, j, cells = i + a, j + b, block[i, j]
+            columns = [pa.array(np.full(len(cells), group), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(cells)]
+            yield pa.RecordBatch.from_arrays(columns, names=["group_id", "i", "j", "value"])
+
+    tiles = "group_id int, a int, b int, width int, bucket int, cells array<double>"
+    keys = ["group_id", "a", "b"]
+    partials = df.select("group_id", column).mapInArrow(run, tiles)
+    first = partials.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket").mapInArrow(added, tiles)
+    second = first.withColumn("bucket", F.lit(0)).repartition(*keys).sortWithinPartitions(*keys)
+    return second.mapInArrow(cells_of, "group_id int, i int, j int, value double")
+
+
+def _tile_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    *keys, cells = zip(*rows, strict=True)
+    offsets = np.concatenate([[0], np.cumsum([c.size for c in cells])]).astype(np.int32)
+    payload = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cells)))
+    return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int32()) for k in keys), payload], names=names)
+
+
+def group_gram(df: DataFrame, column: str = "features", tile: int = TILE) -> DataFrame:
     """``group_id, i, j, value``: per group sum of x_i x_j, both triangles (mirrored after the shuffle)."""
-    upper = upper_gram(df, column)
+    upper = upper_gram(df, column, tile=tile)
     both = F.when(
         F.col("i") < F.col("j"),
         F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))),
@@ -232,9 +352,9 @@ def group_gram(df: DataFrame, column: str = "features") -> DataFrame:
     )
 
 
-def gram(df: DataFrame, column: str = "features") -> DataFrame:
+def gram(df: DataFrame, column: str = "features", tile: int = TILE) -> DataFrame:
     """``i, j, value`` of X'X over the whole table."""
-    whole = group_gram(df.select(F.lit(0).alias("group_id"), column), column)
+    whole = group_gram(df.select(F.lit(0).alias("group_id"), column), column, tile)
     return whole.select("i", "j", "value")
 
 
@@ -271,6 +391,8 @@ class GroupState:
     sum_h: np.ndarray  # (C, r)
     gram: np.ndarray  # (C, r, r)
     cross: np.ndarray | None  # (m, C, r)
+    logs: np.ndarray | None = None  # (r,), over all groups
+    unconverged: int = 0
 
     @property
     def variances(self) -> np.ndarray:
@@ -290,7 +412,7 @@ def read_state(
 ) -> GroupState:
     """Bring statistics to the driver, after checking how large they are."""
     c = len(groups)
-    check_cells(c * (rank * rank + rank + 4 + (width * rank if with_cross else 0)), max_cells, "the group statistics")
+    check_cells(c * (rank * rank + 2 * rank + SCALARS + (width * rank if with_cross else 0)), max_cells, "the group statistics")
     table = (stats if with_cross else stats.filter(F.col("kind") != CROSS)).toArrow()
     cells = (table.column(k).to_numpy() for k in ("group_id", "kind", "i", "j", "value"))
     return state_from_cells(*cells, groups, width, rank, with_cross)
@@ -320,18 +442,19 @@ def state_from_cells(
     """Dense statistics from their long rows."""
     c = len(groups)
     at = np.searchsorted(groups, gid)
-    scalars, sum_h = np.zeros((c, 4)), np.zeros((c, rank))
+    scalars, sum_h = np.zeros((c, SCALARS)), np.zeros((c, rank, 2))
     g, p = np.zeros((c, rank, rank)), np.zeros((width, c, rank)) if with_cross else None
     pick = kind == SCALAR
     scalars[at[pick], i[pick]] = v[pick]
     pick = kind == SUM_H
-    sum_h[at[pick], i[pick]] = v[pick]
+    sum_h[at[pick], i[pick], j[pick]] = v[pick]
     pick = kind == GRAM
     g[at[pick], i[pick], j[pick]] = v[pick]
     if p is not None:
         pick = kind == CROSS
         p[i[pick], at[pick], j[pick]] = v[pick]
-    return GroupState(groups, scalars[:, 0], scalars[:, 1], scalars[:, 2], scalars[:, 3], sum_h, g, p)
+    logs, unconverged = sum_h[:, :, 1].sum(axis=0), int(scalars[:, 4].sum())
+    return GroupState(groups, *scalars[:, :4].T, sum_h[:, :, 0], g, p, logs, unconverged)
 
 
 def read_pooled(
@@ -339,7 +462,7 @@ def read_pooled(
 ) -> GroupState:
     """State of a pass with ``pool``: counts and errors per group, one G and one P (summed over groups)."""
     c = len(groups)
-    check_cells(c * (rank + 4) + width * rank + rank * rank, max_cells, "the pooled statistics")
+    check_cells(c * (2 * rank + SCALARS) + width * rank + rank * rank, max_cells, "the pooled statistics")
     table = stats.toArrow()
     gid, kind, i, j, v = (table.column(k).to_numpy() for k in ("group_id", "kind", "i", "j", "value"))
     own = kind < GRAM
@@ -364,13 +487,15 @@ def pooled_state(
     scalars = (
         stats.filter(F.col("kind") == SCALAR)
         .groupBy("group_id")
-        .agg(*[F.sum(F.when(F.col("i") == k, F.col("value"))).alias(c) for k, c in enumerate("neos")])
-        .withColumn("variance", (F.col("e") + 1.0) / (4.0 + width * F.col("n")))
+        .agg(*[F.sum(F.when(F.col("i") == k, F.col("value"))).alias(c) for k, c in enumerate(("n", "sse", "log_h", "squares", "open"))])
+        .withColumn("variance", (F.col("sse") + 1.0) / (4.0 + width * F.col("n")))
     )
     table = scalars.orderBy("group_id").toArrow()
-    groups, n, sse, logs, squares, variances = (
-        table.column(c).to_numpy() for c in ("group_id", "n", "e", "o", "s", "variance")
+    groups, n, sse, log_h, squares, unconverged, variances = (
+        table.column(c).to_numpy() for c in ("group_id", "n", "sse", "log_h", "squares", "open", "variance")
     )
+    per_component = stats.filter((F.col("kind") == SUM_H) & (F.col("j") == 1)).groupBy("i").agg(F.sum("value").alias("value")).orderBy("i")
+    logs = per_component.toArrow().column("value").to_numpy()
     share = (1.0 / variances) / (1.0 / variances).sum() if noise_aware else np.full(len(groups), 1.0 / len(groups))
     if noise_aware:
         total = float((1.0 / variances).sum())
@@ -385,7 +510,7 @@ def pooled_state(
     g[0, i[at], j[at]] = v[at]
     at = kind == CROSS
     p[i[at], 0, j[at]] = v[at]
-    state = GroupState(groups, n, sse, logs, squares, np.zeros((len(groups), 0)), g, p)
+    state = GroupState(groups, n, sse, log_h, squares, np.zeros((len(groups), 0)), g, p, logs, int(unconverged.sum()))
     return state, share
 
 
@@ -414,6 +539,6 @@ def rescale_groups(state: GroupState, mode: str = "group") -> tuple[GroupState,
     cross = None if state.cross is None else state.cross / s[None, :, :]
     scaled = GroupState(
         state.groups, state.n, state.sse, state.log_h, state.squares, state.sum_h / s,
-        state.gram / s[:, :, None] / s[:, None, :], cross,
+        state.gram / s[:, :, None] / s[:, None, :], cross, state.logs, state.unconverged,
     )
     return scaled, s

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -18,7 +19,7 @@ _REDUCERS = {
 
 
 def row_slice(df: DataFrame, start: int, stop: int) -> DataFrame:
-    """Rows with start <= row_id < stop; the filter is pushed to the scan."""
+    """Rows with start <= row_id < stop; the filter is pushed to the scan. ``number_rows`` makes keys 0, 1, ... for slices by place."""
     return df.filter((F.col("row_id") >= int(start)) & (F.col("row_id") < int(stop)))
 
 
@@ -39,16 +40,31 @@ def sample_exact(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def combine(left: DataFrame, right: DataFrame, op: str) -> DataFrame:
     """Cell by cell ``left op right`` for tables with the same keys and width.
 
-    A key missing on one side, or a pair of different width, raises while the join runs.
+    A key missing on one side or there more than once, or a pair of different width, raises while the join runs.
     """
-    a = left.select("row_id", F.col("features").alias("_a"))
-    b = right.select("row_id", F.col("features").alias("_b"))
-    paired = a.join(b, "row_id", "full_outer")
+    return paired(left, right, "features").select("row_id", A.zip_op(F.col("_a"), F.col("_b"), op).alias("features"))
+
+
+def keyed_once(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """The table, raising where a key is null or occurs twice as soon as one of its other columns is read.
+
+    The key itself stays as it is, so that the count's exchange serves a join by this key as well.
+    """
+    times = F.count(F.lit(1)).over(W.partitionBy(key))
+    message = F.concat(F.lit(f"{key} is null or occurs more than once: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = df.withColumn("_times", times)
+    fine = F.col(key).isNotNull() & (F.col("_times") == 1)
+    others = [F.when(fine, F.col(c)).otherwise(F.raise_error(message).cast(df.schema[c].dataType)).alias(c) for c in df.columns if c != key]
+    return checked.select(key, *others)
+
+
+def paired(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """``row_id, _a, _b``: the arrays of two tables by key, which must be the same and unique, and of one length."""
+    a = keyed_once(left.select("row_id", F.col(column).alias("_a")))
+    b = keyed_once(right.select("row_id", F.col(column).alias("_b")))
     fits = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.size("_a") == F.size("_b"))
     broken = F.raise_error(F.concat(F.lit("tables do not line up at row_id "), F.col("row_id").cast("string")))
-    return paired.select(
-        "row_id", F.when(fits, A.zip_op(F.col("_a"), F.col("_b"), op)).otherwise(broken).alias("features")
-    )
+    return a.join(b, "row_id", "full_outer").withColumn("_a", F.when(fits, F.col("_a")).otherwise(broken))
 
 
 def about_equal(left: DataFrame, right: DataFrame, tol: float = 1e-8) -> DataFrame:
@@ -134,11 +150,8 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def relative_change(old: DataFrame, new: DataFrame) -> DataFrame:
-    """||old - new|| / ||old|| of two weight tables with the same keys."""
-    a = old.select("row_id", F.col("h").alias("_a"))
-    b = new.select("row_id", F.col("h").alias("_b"))
+    """||old - new|| / ||old|| of two weight tables; keys that are not the same and unique raise."""
     gap = F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y))
-    paired = a.join(b, "row_id")
-    return paired.agg(
+    return paired(old, new, "h").agg(
         (F.sqrt(F.sum(A.row_sum(gap))) / F.sqrt(F.sum(A.row_sumsq("_a")))).alias("relative_change")
     )

@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import check_cells, small_table
+from .blocks import TooLarge, check_cells, small_table
+from .matrix import keyed_once
 
 
 def label_pairs(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """``row_id, true_label, pred_label`` by key; a key on one side only raises."""
-    paired = truth.select("row_id", "true_label").join(
-        predicted.select("row_id", "pred_label"), "row_id", "full_outer"
+    """``row_id, true_label, pred_label`` by key; a key on one side only, or twice on a side, raises."""
+    paired = keyed_once(truth.select("row_id", "true_label")).join(
+        keyed_once(predicted.select("row_id", "pred_label")), "row_id", "full_outer"
     )
     lost = F.raise_error(F.concat(F.lit("labels do not line up at row_id "), F.col("row_id").cast("string")))
     both = F.col("true_label").isNotNull() & F.col("pred_label").isNotNull()
@@ -31,19 +32,28 @@ def joint_counts(pairs: DataFrame) -> DataFrame:
 def contingency(pairs: DataFrame, max_cells: int = 4_000_000) -> DataFrame:
     """``true_label, pred_label, n`` with zeros for pairs that never occur.
 
-    Rows are counted before anything else; the zero filling works on the counted table and raises
-    where true classes times predicted classes exceed ``max_cells`` (``joint_counts`` has no such limit).
+    Rows are joined and counted once, by one aggregate; the counted table is fetched after a check of its size and filled here. More
+    than ``max_cells`` true times predicted classes raise (``joint_counts`` has no such limit).
     """
-    counts = joint_counts(pairs)
-    classes = counts.agg(F.collect_set("true_label").alias("t"), F.collect_set("pred_label").alias("p"))
-    fits = F.size("t").cast("bigint") * F.size("p") <= max_cells
-    t = F.when(fits, F.col("t")).otherwise(F.raise_error(F.lit("too many classes for a full table")))
-    grid = classes.select(F.explode(t).alias("true_label"), "p").select(
-        "true_label", F.explode("p").alias("pred_label")
-    )
-    return grid.join(counts, ["true_label", "pred_label"], "left").select(
-        "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
-    )
+    true_labels, pred_labels, counts = count_matrix(joint_counts(pairs), max_cells)
+    rows = [(int(t), int(p), int(counts[i, j])) for i, t in enumerate(true_labels) for j, p in enumerate(pred_labels)]
+    return small_table(pairs.sparkSession, rows, "true_label int, pred_label int, n bigint")
+
+
+def count_matrix(table: DataFrame, max_cells: int, max_classes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(true labels, predicted labels, matrix of counts) of a counted table, checked before the transfer and before the matrix is made."""
+    if table.limit(max_cells + 1).count() > max_cells:
+        raise TooLarge(f"the contingency table has more than {max_cells} pairs of classes that occur")
+    cells = table.toArrow()
+    t, p, n = (cells.column(c).to_numpy() for c in ("true_label", "pred_label", "n"))
+    true_labels, ti = np.unique(t, return_inverse=True)
+    pred_labels, pi = np.unique(p, return_inverse=True)
+    check_cells(len(true_labels) * len(pred_labels), max_cells, "the contingency table")
+    if max_classes is not None and max(len(true_labels), len(pred_labels)) > max_classes:
+        raise TooLarge(f"{max(len(true_labels), len(pred_labels))} classes are more than the {max_classes} that are matched")
+    counts = np.zeros((len(true_labels), len(pred_labels)))
+    counts[ti, pi] = n
+    return true_labels, pred_labels, counts
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
@@ -95,17 +105,11 @@ def match_classes(table: DataFrame, max_classes: int = 2000) -> DataFrame:
     """One-to-one matching of classes: ``true_label, pred_label, n, n_true, n_pred, total``.
 
     Minimises the sum of 1 / (1 + n_ij / total), which is not the matching of highest accuracy.
-    ``table`` is a contingency table, zeros filled or not; it is small and checked. A true class without a partner has a
-    null ``pred_label`` and n = 0. Equal rows of cost are resolved by label order.
+    ``table`` is a contingency table, zeros filled or not; it is small and checked: at most ``max_classes`` classes on either side.
+    A true class without a partner has a null ``pred_label`` and n = 0. Equal rows of cost are resolved by label order.
     """
     spark = table.sparkSession
-    cells = table.limit(max_classes**2 + 1).toArrow()
-    check_cells(cells.num_rows, max_classes**2, "the contingency table")
-    t, p, n = (cells.column(c).to_numpy() for c in ("true_label", "pred_label", "n"))
-    true_labels, ti = np.unique(t, return_inverse=True)
-    pred_labels, pi = np.unique(p, return_inverse=True)
-    counts = np.zeros((len(true_labels), len(pred_labels)))
-    counts[ti, pi] = n
+    true_labels, pred_labels, counts = count_matrix(table, max_classes**2, max_classes)
     total = counts.sum()
     partner = assignment(1.0 / (1.0 + counts / total))
     rows = [

@@ -6,40 +6,58 @@ between passes and any task may recompute them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .blocks import dense, lists, vector
 
-WEIGHTS = "row_id bigint, group_id int, h array<double>"
 # Where the barrier starts, its factor per step, the share of the way to the boundary, the clamp.
 BARRIER_START = 2.0
 BARRIER_FACTOR = 0.3
 STEP_SHARE = 0.995
 CLAMP = 1e-5
 SYSTEM_CELLS = 1_000_000  # cells of the stacked Newton systems solved at once
+NEAR_ENOUGH = 1e-6  # relative residual that a row may be left with when the steps run out
+
+
+class NotConverged(ArithmeticError):
+    """Rows whose weights are no minimiser after all steps."""
+
+
+def _all_converged(h: np.ndarray, open_rows: np.ndarray) -> np.ndarray:
+    if open_rows.any():
+        raise NotConverged(f"weights of {int(open_rows.sum())} of {len(h)} rows have not converged, first at row {int(np.argmax(open_rows))}")
+    return h
 
 
 def simplex_minimiser(
     b: np.ndarray, q: np.ndarray, alpha: np.ndarray, eps: float = CLAMP, tol: float = 1e-11, max_iter: int = 100
 ) -> np.ndarray:
-    """Rows h minimising h'qh/2 - b'h - sum alpha log h on sum(h) = 1.
+    """Rows h minimising h'qh/2 - b'h - sum alpha log h on sum(h) = 1; raises NotConverged if the steps do not suffice.
 
     Interior-point Newton for a whole block: the slacks are eliminated, leaving one r x r system
     per row. The step stays inside the positive orthant for weights and slacks alike, so the result
     does not depend on the start. The solution is clamped to ``eps`` without renormalising.
     """
+    return _all_converged(*simplex_rows(b, q, alpha, eps, tol, max_iter))
+
+
+def simplex_rows(
+    b: np.ndarray, q: np.ndarray, alpha: np.ndarray, eps: float = CLAMP, tol: float = 1e-11, max_iter: int = 100
+) -> tuple[np.ndarray, np.ndarray]:
+    """``simplex_minimiser``'s rows, and which of them have not converged."""
     n, r = b.shape
     if r == 1:
-        return np.ones((n, 1))
+        return np.ones((n, 1)), np.zeros(n, dtype=bool)
     chunk = max(1, SYSTEM_CELLS // (r * r))
     if n > chunk:
-        parts = [simplex_minimiser(b[k : k + chunk], q, alpha, eps, tol, max_iter) for k in range(0, n, chunk)]
-        return np.concatenate(parts)
-    out = np.empty((n, r))
+        parts = [simplex_rows(b[k : k + chunk], q, alpha, eps, tol, max_iter) for k in range(0, n, chunk)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    out, open_rows = np.empty((n, r)), np.zeros(n, dtype=bool)
     rows = np.arange(n)
     h = np.full((n, r), 1.0 / r)
     slope = h @ q - b
@@ -80,11 +98,18 @@ def simplex_minimiser(
         barrier *= BARRIER_FACTOR
     if rows.size:
         out[rows] = h
-    return np.maximum(out, eps)
+        left = np.abs(np.stack([h @ q - mu[:, None] - s - b, h * s - np.maximum(barrier, alpha)], axis=2)).max(axis=(1, 2))
+        open_rows[rows] = np.maximum(left, np.abs(h.sum(axis=1) - 1.0)) > NEAR_ENOUGH * scale
+    return np.maximum(out, eps), open_rows
 
 
 def nonnegative_minimiser(b: np.ndarray, q: np.ndarray, max_iter: int = 200) -> np.ndarray:
-    """Rows h >= 0 minimising h'qh/2 - b'h, by block principal pivoting (Kim and Park 2011).
+    """Rows h >= 0 minimising h'qh/2 - b'h, by block principal pivoting; raises NotConverged if the steps do not suffice."""
+    return _all_converged(*nonnegative_rows(b, q, max_iter))
+
+
+def nonnegative_rows(b: np.ndarray, q: np.ndarray, max_iter: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """``nonnegative_minimiser``'s rows, and which of them have not converged (Kim and Park 2011).
 
     Rows that share a set of free variables share one factorisation. A rank-deficient ``q`` gets a
     tiny ridge, which makes the minimiser unique.
@@ -126,7 +151,8 @@ def nonnegative_minimiser(b: np.ndarray, q: np.ndarray, max_iter: int = 200) ->
                 h[np.ix_(members, on)] = np.linalg.solve(q[np.ix_(on, on)], b[np.ix_(members, on)].T).T
         grad[rows] = h[rows] @ q - b[rows]
         grad[free] = 0.0
-    return np.maximum(h, 0.0)
+    loose = NEAR_ENOUGH * (1.0 + np.abs(b).max(axis=1, keepdims=True))
+    return np.maximum(h, 0.0), ((free & (h < -loose)) | (~free & (grad < -loose))).any(axis=1)
 
 
 Bases = np.ndarray | Mapping[int | None, np.ndarray]
@@ -134,49 +160,63 @@ Bases = np.ndarray | Mapping[int | None, np.ndarray]
 
 def weight_kernel(
     bases: Bases, mode: str, alpha: float | np.ndarray, eps: float
-) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(groups, X) -> (H, squared residual per row), for one shared basis or one per group."""
+) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(groups, X) -> (H, squared residual per row, rows not converged), for one shared basis or one per group."""
     if mode not in ("simplex", "nonnegative"):
         raise ValueError(f"unknown weights {mode!r}")
 
-    def solve(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def solve(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, b = w.T @ w, x @ w
         if mode == "simplex":
-            h = simplex_minimiser(b, q, np.broadcast_to(np.asarray(alpha, dtype=float), (w.shape[1],)), eps)
+            h, open_rows = simplex_rows(b, q, np.broadcast_to(np.asarray(alpha, dtype=float), (w.shape[1],)), eps)
         else:
-            h = nonnegative_minimiser(b, q)
+            h, open_rows = nonnegative_rows(b, q)
         gap = x - h @ w.T
-        return h, np.einsum("ij,ij->i", gap, gap)
+        return h, np.einsum("ij,ij->i", gap, gap), open_rows
 
     if isinstance(bases, np.ndarray):
         return lambda groups, x: solve(x, bases)
 
-    def by_group(groups: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def by_group(groups: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = np.empty((x.shape[0], next(iter(bases.values())).shape[1]))  # a basis under None serves all other groups
-        sse = np.empty(x.shape[0])
-        for g in np.unique(groups):
-            mine = groups == g
-            h[mine], sse[mine] = solve(x[mine], bases[int(g)] if int(g) in bases else bases[None])
-        return h, sse
+        sse, open_rows = np.empty(x.shape[0]), np.empty(x.shape[0], dtype=bool)
+        order = np.argsort(groups, kind="stable")
+        ids, starts = np.unique(groups[order], return_index=True)
+        for g, mine in zip(ids.tolist(), np.split(order, starts[1:]), strict=True):
+            h[mine], sse[mine], open_rows[mine] = solve(x[mine], bases[g] if g in bases else bases[None])
+        return h, sse, open_rows
 
     return by_group
 
 
 def row_weights(
-    df: DataFrame, bases: Bases, mode: str = "simplex", alpha: float | np.ndarray = 0.1, eps: float = CLAMP
+    df: DataFrame,
+    bases: Bases,
+    mode: str = "simplex",
+    alpha: float | np.ndarray = 0.1,
+    eps: float = CLAMP,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The weight table of a feature table for a given basis; a map without a shuffle."""
+    """The weight table of a feature table for a given basis; a map without a shuffle.
+
+    The columns named in ``keep`` pass through, so that nothing has to be joined back by key. A row whose weights have
+    not converged raises.
+    """
     kernel = weight_kernel(bases, mode, alpha, eps)
+    carried = [c for c in keep if c not in ("row_id", "group_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                h, _ = kernel(vector(batch, "group_id"), dense(batch))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id"), batch.column("group_id"), lists(h)], names=["row_id", "group_id", "h"]
-                )
-
-    return df.select("row_id", "group_id", "features").mapInArrow(run, WEIGHTS)
+                h, _, open_rows = kernel(vector(batch, "group_id"), dense(batch))
+                if open_rows.any():
+                    raise NotConverged(f"weights have not converged at row_id {batch.column('row_id')[int(np.argmax(open_rows))]}")
+                columns = [batch.column(c) for c in ("row_id", "group_id", *carried)]
+                yield pa.RecordBatch.from_arrays([*columns, lists(h)], names=["row_id", "group_id", *carried, "h"])
+
+    rows = df.select("row_id", "group_id", *carried, *([] if "features" in carried else ["features"]))
+    fields = [f for c in ("row_id", "group_id", *carried) for f in rows.select(c).schema]
+    return rows.mapInArrow(run, StructType([*fields, StructField("h", ArrayType(DoubleType()))]))
 
 
 def nonnegative_least_squares(rhs: DataFrame, ata: np.ndarray, column: str = "atb") -> DataFrame:

@@ -23,38 +23,39 @@ from .separable_nmf import separable_nmf
 Method = Callable[[DataFrame], DataFrame]
 
 
-def kmeans_labels(df: DataFrame, classes: int, seed: int = 0, max_iter: int = 100) -> DataFrame:
-    """``row_id, pred_label`` from the built-in K-Means (k-means|| start)."""
+def kmeans_labels(df: DataFrame, classes: int, seed: int = 0, max_iter: int = 100, keep: Sequence[str] = ()) -> DataFrame:
+    """``row_id, pred_label`` from the built-in K-Means (k-means|| start); columns to keep come between."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = df.select("row_id", array_to_vector("features").alias("features")).persist()
-    try:
-        model = KMeans(k=classes, maxIter=max_iter, seed=seed, predictionCol="pred_label").fit(points)
-    finally:
-        points.unpersist()
-    return model.transform(points).select("row_id", "pred_label")
+    points = df.select("row_id", *keep, array_to_vector("features").alias("_points"))
+    model = KMeans(k=classes, maxIter=max_iter, seed=seed, featuresCol="_points", predictionCol="pred_label").fit(points)
+    return model.transform(points).select("row_id", *keep, "pred_label")
 
 
-def nmf_labels(df: DataFrame, classes: int) -> DataFrame:
-    return separable_nmf(df, classes).labels(df)
+def nmf_labels(df: DataFrame, classes: int, keep: Sequence[str] = ()) -> DataFrame:
+    return separable_nmf(df, classes).labels(df, keep)
 
 
 def default_methods(classes: int, seed: int = 0, **fit_options) -> dict[str, Method]:
-    """K-Means, separable NMF and the three solvers of the factorisation."""
+    """K-Means, separable NMF and the three solvers of the factorisation; each keeps the true label beside its own."""
+    keep = ("label",)
     methods: dict[str, Method] = {
-        "kmeans": lambda df: kmeans_labels(df, classes, seed),
-        "nmf": lambda df: nmf_labels(df, classes),
+        "kmeans": lambda df: kmeans_labels(df, classes, seed, keep=keep),
+        "nmf": lambda df: nmf_labels(df, classes, keep),
     }
     for solver in ("agd", "admm", "cease"):
-        methods[solver] = lambda df, s=solver: factorize(df, classes, solver=s, seed=seed, **fit_options).labels(df)
+        methods[solver] = lambda df, s=solver: factorize(df, classes, solver=s, seed=seed, **fit_options).labels(df, keep)
     return methods
 
 
 def evaluate(df: DataFrame, predicted: DataFrame) -> tuple[float, float, float]:
-    """(accuracy, mean F1, F1 of means) of predicted labels against column ``label``."""
-    truth = df.select("row_id", F.col("label").alias("true_label"))
-    matching = match_classes(joint_counts(label_pairs(truth, predicted)))
+    """(accuracy, mean F1, F1 of means) of predicted labels against column ``label``: of ``predicted`` if it has one, else of ``df`` by key."""
+    if "label" in predicted.columns:
+        pairs = predicted.select(F.col("label").alias("true_label"), "pred_label")
+    else:
+        pairs = label_pairs(df.select("row_id", F.col("label").alias("true_label")), predicted)
+    matching = match_classes(joint_counts(pairs))
     score, f1 = accuracy(matching).first()[0], f_measure(matching).first()
     return float(score), float(f1["f1"] or 0.0), float(f1["f1_of_means"] or 0.0)
 
@@ -108,7 +109,8 @@ def variance_experiment(
     """Repeat the noise, not the weights, and estimate the basis plainly and noise-aware each time.
 
     All repeats are one Spark pass: a repeat is a set of extra groups, and its noise is keyed by it. Each
-    repeat's estimates are then made from its own summed statistics, in parallel.
+    repeat's estimates are then made from its own summed statistics, in parallel. The Gram matrices that theory needs do not depend on noise
+    and come from the clean table.
     """
     basis = np.asarray(basis, dtype=float)
     width, rank = basis.shape
@@ -125,8 +127,8 @@ def variance_experiment(
     )
     noisy = add_gaussian(copies, F.col("_sd"), seed + 1).drop("_sd")
     stats = weighted_statistics(noisy)
-    one_run = stats.filter((F.col("kind") == GRAM) & (F.col("group_id") < c))
-    grams = read_state(one_run, np.arange(c), width, rank, with_cross=False).gram
+    clean_grams = weighted_statistics(clean).filter(F.col("kind") == GRAM)
+    grams = read_state(clean_grams, np.arange(c), width, rank, with_cross=False).gram
 
     def estimate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         run = int(key[0])

@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import counter
 from ..functions.arrays import argmax
@@ -32,46 +34,50 @@ from ..operators.group_stats import (
     solved_statistics,
     weighted_statistics,
 )
-from ..operators.matrix import sample_exact, sample_rows
 from ..operators.weights import row_weights
 from ..sources.tables import basis_table, check_width, feature_width
 
 HISTORY = (
     "run int, step int, objective double, penalised double, fit_error double, mean_loss double, "
-    "violation double, seconds double"
+    "violation double, unconverged bigint, seconds double"
 )
 BASIS_CELLS = 20_000_000
 DRIVER_CELLS = 4_000_000
 
 
 def initial_basis(
-    df: DataFrame, rank: int, method: str = "random_rows", seed: int = 0, fraction: float = 0.02
+    df: DataFrame, rank: int, method: str = "random_rows", seed: int = 0, fraction: float = 0.02, rows_per_centre: int = 15
 ) -> np.ndarray:
     """Starting basis (width x rank).
 
-    random_rows: ``rank`` rows drawn without replacement. kmeans: centres of K-Means (100
-    iterations) on a ``fraction`` sample, enlarged to about ten rows per centre where it would be smaller.
-    normal: independent N(0,1) cells.
+    random_rows: ``rank`` rows drawn without replacement. kmeans: centres of K-Means (100 iterations) on a sample: the rows that draw less
+    than ``fraction``, or the ``rows_per_centre`` x rank lowest draws where those are expected to be more.
+    normal: independent N(0,1) cells. Draws are ``counter.uniform`` of the row key.
     """
     if method == "random_rows":
-        return _columns_of(sample_exact(df.select("row_id", "features"), rank, seed), rank)
+        return _columns_of(_drawn(df, seed).orderBy("draw", "row_id").limit(rank), rank)
     if method == "kmeans":
-        share = _sample_share(df.count(), rank, fraction)
-        return _centres(sample_rows(df.select("row_id", "features"), share, seed), rank, seed)
+        drawn, rows = _drawn(df, seed), df.count()
+        if fraction * rows > rows_per_centre * rank:
+            return _centres(drawn.filter(F.col("draw") < fraction), rank, seed)
+        return _centres(drawn.orderBy("draw", "row_id").limit(rows_per_centre * rank), rank, seed)
     if method == "normal":
         return _normal_start(feature_width(df), rank, seed)
     raise ValueError(f"unknown initial basis {method!r}")
 
 
 def _initial_basis_of_blocks(
-    blocks: DataFrame, rows: int, width: int, rank: int, method: str, seed: int, fraction: float = 0.02
+    blocks: DataFrame, rows: int, width: int, rank: int, method: str, seed: int, fraction: float = 0.02, rows_per_centre: int = 15
 ) -> np.ndarray:
     """``initial_basis`` from packed blocks, without another look at the source; the same rows are drawn."""
     if method == "random_rows":
         lowest = unpack_drawn(blocks, seed, per_block=rank).orderBy("draw", "row_id").limit(rank)
         return _columns_of(lowest, rank)
     if method == "kmeans":
-        return _centres(unpack_drawn(blocks, seed, _sample_share(rows, rank, fraction)), rank, seed)
+        few = rows_per_centre * rank
+        if fraction * rows > few:
+            return _centres(unpack_drawn(blocks, seed, fraction), rank, seed)
+        return _centres(unpack_drawn(blocks, seed, per_block=few).orderBy("draw", "row_id").limit(few), rank, seed)
     if method == "normal":
         return _normal_start(width, rank, seed)
     raise ValueError(f"unknown initial basis {method!r}")
@@ -84,8 +90,14 @@ def _columns_of(rows: DataFrame, rank: int) -> np.ndarray:
     return dense(found.to_batches()[0]).T.copy()
 
 
-def _sample_share(rows: int, rank: int, fraction: float) -> float:
-    return min(1.0, max(fraction, 15.0 * rank / max(rows, 1)))
+def _drawn(df: DataFrame, seed: int) -> DataFrame:
+    """``draw, row_id, features``, the same draws as of packed blocks."""
+
+    @F.arrow_udf("double")
+    def draw(keys: pa.Array) -> pa.Array:
+        return pa.array(counter.uniform(keys.to_numpy(zero_copy_only=False), 0, seed))
+
+    return df.select(draw("row_id").alias("draw"), "row_id", "features")
 
 
 def _centres(sample: DataFrame, rank: int, seed: int) -> np.ndarray:
@@ -116,14 +128,14 @@ class Factorization:
     copies: dict[int, np.ndarray] | None = None
     history: list[tuple] = field(default_factory=list)
 
-    def weights(self, df: DataFrame) -> DataFrame:
-        """``row_id, group_id, h`` for any feature table of the same width; unseen groups use the shared basis."""
+    def weights(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``row_id, group_id, h`` for any feature table of the same width, with columns to keep; unseen groups use the shared basis."""
         bases = {**self.copies, None: self.basis} if self.copies else self.basis
-        return row_weights(df, bases, self.mode, self.alpha, self.eps)
+        return row_weights(df, bases, self.mode, self.alpha, self.eps, keep)
 
-    def labels(self, df: DataFrame) -> DataFrame:
-        """``row_id, pred_label``: 1-based position of the largest weight."""
-        return self.weights(df).select("row_id", argmax("h").alias("pred_label"))
+    def labels(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``row_id, pred_label``: 1-based position of the largest weight; columns to keep come between."""
+        return self.weights(df, keep).select("row_id", *keep, argmax("h").alias("pred_label"))
 
     def basis_table(self, spark: SparkSession) -> DataFrame:
         return basis_table(spark, self.basis)
@@ -151,6 +163,7 @@ def factorize(
     normalize: str = "group",
     max_iter: int = 20,
     inner_iter: int | None = None,
+    inner_tol: float = 1e-4,
     tol: float = 0.0,
     eps: float = 1e-5,
     seed: int = 0,
@@ -167,16 +180,22 @@ def factorize(
     noise_aware   weigh groups by their precision; by default on for admm and cease with simplex weights
     h_basis       which basis the weights see: "shared", or the "group"'s own copy
     tol           stop once the objective changes by less than this share; 0 runs all steps
-    cache         keep the input as packed blocks, in executor memory and on their disks, for the passes
-    driver_cells  statistics up to this size are updated on the driver, larger ones as a Spark job
-
+    inner_tol     admm's inner steps end once the basis moves by less than this share of the norm it had; 0 runs all steps
+    cache         keep the input as packed blocks for the passes: a second copy of the table in executor memory or on executor
+                  disks; without it every pass reads the source again
+    driver_cells  statistics up to this size are updated on the driver, larger ones as a Spark job, with the same result
     pool_groups   add the groups up in Spark; by default where their rank x rank matrices are too many
 
+    Limits, which raise: 1M groups; 20M cells of the basis; 20M / (r (r + 1)) groups for admm, cease and non-negative weights (agd with
+    simplex weights pools beyond that); ``driver_cells`` for h_basis="group". History counts rows whose weights have not converged.
+
     Pooling serves agd with simplex weights, which needs sums over groups alone and has the same
     optimum as the other two solvers. Without noise_aware it is summed over groups within the tasks already.
     """
     if noise_aware is None:
         noise_aware = weights == "simplex" and solver in ("admm", "cease")
+    if inner_tol < 0:
+        raise ValueError("inner_tol must not be negative")
     if h_basis not in ("shared", "group"):
         raise ValueError(f"unknown h_basis {h_basis!r}")
     if weights == "nonnegative" and h_basis == "group":
@@ -222,7 +241,7 @@ def factorize(
             if not local:
                 stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
             c = len(groups)
-            before, scale, copies = w, None, None
+            before, scale, copies, gap = w, None, None, None
             if pool_early:
                 state = read_pooled(stats, groups, width, rank, BASIS_CELLS)
                 model.variances = noise_variances(state, width)
@@ -243,22 +262,22 @@ def factorize(
                     model.variances = noise_variances(state, width)
                 else:
                     state, scale = rescale_groups(state, normalize)
-                    w = before = w * scale.mean(axis=0)[None, :]
+                    w = w * scale.mean(axis=0)[None, :]
                 omega = B.precision_weights(model.variances) if noise_aware else np.full(c, 1.0 / c)
                 value = B.objective(state, before, lam, omega)
-                update = B.BasisStep(solver, lam, omega, hyper, inner_iter)
+                update = B.BasisStep(solver, lam, omega, hyper, inner_iter, inner_tol=inner_tol)
                 if local:
                     w, copies = update.solve(state.cross, state.gram, w)
                 else:
-                    w = B.update_wide_basis(stats, state, update, w, scale)
+                    w, gap = B.update_wide_basis(stats, state, update, w, scale)
             if not local:
                 stats.unpersist()
             if h_basis == "group" and copies is not None:
                 model.copies = {int(g): copies[:, k, :] for k, g in enumerate(groups)}
             prior = np.broadcast_to(np.asarray(alpha, dtype=float), (rank,))
             penalised = 0.5 * state.sse.sum() + lam * np.abs(before).sum()
-            if weights == "simplex" and np.all(prior == prior[0]):
-                penalised -= prior[0] * state.log_h.sum()
+            if weights == "simplex":
+                penalised -= float(prior @ state.logs)
             model.history.append(
                 (
                     run,
@@ -267,7 +286,8 @@ def factorize(
                     float(penalised),
                     B.fit_error(state, width),
                     B.mean_loss(state, before, lam),
-                    B.violation(copies, w),
+                    B.violation(copies, w) if gap is None else gap,
+                    state.unconverged,
                     time.monotonic() - began,
                 )
             )
@@ -316,23 +336,29 @@ def fit_basis(
     inner_iter: int | None = None,
     truth: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """The basis for known weights: one pass over the rows in all, then steps on the statistics.
+    """The basis for known weights: two passes over the rows in all, then steps on the statistics.
 
     Returns (W, group variances, history), the history holding after each inner step
     ``(round, step, mean_loss, violation, distance to truth or None)``. With ``noise_aware`` the
-    variances are re-estimated between rounds.
+    variances are re-estimated between rounds. The second pass adds up residuals about the least-squares basis of the
+    first, so that errors of nearby bases do not cancel where the data have little noise.
     """
     state, width, _ = known_weights_state(df)
+    centre = B.pooled_least_squares(state)
+    residual, _, _ = read_whole_state(weighted_statistics(df, centre=centre))
     history: list[tuple] = []
     c = len(state.groups)
 
+    def errors(point: np.ndarray) -> np.ndarray:
+        return B.squared_errors(residual, point, centre)
+
     def note(turn: int, step: B.BasisStep, begin: np.ndarray) -> None:
-        for k, (point, copies) in enumerate(step.path(state.cross, state.gram, begin), start=1):
-            loss = (B.squared_errors(state, point).sum() + lam * np.abs(point).sum()) / c
+        for k, (point, copies) in enumerate(step.iterates(state.cross, state.gram, begin), start=1):
+            loss = (errors(point).sum() + lam * np.abs(point).sum()) / c
             gap = None if truth is None else B.distance(point, truth)
             history.append((turn, k, float(loss), B.violation(copies, point), gap))
 
-    w, variances = alternate(state, width, start, solver, hyper, noise_aware, rounds, inner_iter, lam, note)
+    w, variances = alternate(state, width, start, solver, hyper, noise_aware, rounds, inner_iter, lam, note, errors)
     return w, variances, history
 
 
@@ -347,8 +373,13 @@ def alternate(
     inner_iter: int | None,
     lam: float = 0.0,
     note: Callable[[int, B.BasisStep, np.ndarray], None] | None = None,
+    errors: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Basis steps on fixed statistics, with the variances re-estimated after each round if noise-aware."""
+    """Basis steps on fixed statistics, with the variances re-estimated after each round if noise-aware.
+
+    ``errors`` gives each group's squared error of a basis; the moments of ``state`` if not given.
+    """
+    errors = errors or (lambda basis: B.squared_errors(state, basis))
     variances = np.ones(len(state.groups))
     w = np.asarray(start, dtype=float)
     for turn in range(1, rounds + 1):
@@ -357,5 +388,5 @@ def alternate(
             note(turn, step, w)
         w, _ = step.solve(state.cross, state.gram, w)
         if noise_aware:
-            variances = (B.squared_errors(state, w) + 1.0) / (4.0 + width * state.n)
+            variances = (errors(w) + 1.0) / (4.0 + width * state.n)
     return w, variances

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax, pick
+from ..operators.blocks import TooLarge
 from ..operators.extreme_columns import choose_columns, choose_columns_wide, gram_rows
 from ..operators.group_stats import gram_and_norms
 from ..operators.matrix import column_l1_norms
@@ -26,17 +28,17 @@ class SeparableNMF:
     norms: np.ndarray
     normalized: bool
 
-    def loadings(self, df: DataFrame) -> DataFrame:
-        """``row_id, h``: the chosen columns of every row (not collected)."""
+    def loadings(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``row_id, h``: the chosen columns of every row (not collected), with columns to keep."""
         w = pick("features", self.columns)
         if self.normalized:
             scales = F.lit(np.asarray([self.norms[j] for j in self.columns], dtype=float))
             w = F.zip_with(w, scales, lambda x, s: F.when(s > 0, x / s).otherwise(0.0))
-        return df.select("row_id", w.alias("h"))
+        return df.select("row_id", *keep, w.alias("h"))
 
-    def labels(self, df: DataFrame) -> DataFrame:
-        """``row_id, pred_label``: 0-based position of the largest loading."""
-        return self.loadings(df).select("row_id", argmax("h", base=0).alias("pred_label"))
+    def labels(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``row_id, pred_label``: 0-based position of the largest loading; columns to keep come between."""
+        return self.loadings(df, keep).select("row_id", *keep, argmax("h", base=0).alias("pred_label"))
 
 
 def normalize_columns(df: DataFrame, norms: np.ndarray) -> DataFrame:
@@ -61,12 +63,14 @@ def separable_nmf(
 
     ``via`` "gram" takes C = X'X, "qr" takes C = R'R from a tall-skinny QR. The weights of each column are
     multiplied by its L1 norm, unless ``normalize`` divided the columns first. Beyond ``driver_cells`` cells C
-    stays in Spark.
+    stays in Spark as tiles and rows; R would be as large as C, so this size has no "qr" route and asking for it raises.
     """
     if via not in ("gram", "qr"):
         raise ValueError(f"unknown route {via!r}")
     width = feature_width(df)
     if width * width > driver_cells:
+        if via == "qr":
+            raise TooLarge(f"R of {width} columns has more than {driver_cells} cells; use via='gram'")
         norms = column_norms(df, width)
         rows = gram_rows(normalize_columns(df, norms) if normalize else df).persist(StorageLevel.MEMORY_AND_DISK)
         try:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,19 @@ def ship_package(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         _shipped.add(app)
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); a temporary folder only where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="facetry-scratch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/facetry-{name}-{uuid.uuid4().hex}"
+
+
+def write_scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, and a lost executor does not lose it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

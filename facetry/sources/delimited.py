@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,9 +29,22 @@ def parse_lines(
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", has_label: bool = False) -> DataFrame:
-    """Read delimited text files. Text has no key, so rows are numbered at the scan."""
-    lines = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id())
-    return parse_lines(lines, delimiter, has_label)
+    """Read delimited text files. Text has no key: ``row_id`` is a line's number, from 0, files in order of path.
+
+    Lines are numbered within each split of a file, and splits get their first number from prefix sums over their counts, one small row
+    each. The numbers do not depend on how files are split. The lines are scanned once more to count them.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    splits = lines.groupBy("_path", "_start").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = splits.select("_path", "_start", (before - F.col("_first")).alias("_shift"))
+    numbered = lines.join(first, ["_path", "_start"]).withColumn("row_id", F.col("_place") + F.col("_shift"))
+    return parse_lines(numbered, delimiter, has_label)
 
 
 def basis_lines(basis: DataFrame, separator: str = " ", pattern: str | None = None) -> DataFrame:

@@ -26,8 +26,12 @@ def group_sizes(groups: int, per_group: int, proportion: float | None = None) ->
         return [per_group] * groups
     if not 0 < proportion < 1:
         raise ValueError("proportion must lie between 0 and 1")
+    if groups < 2:
+        raise ValueError("a proportion needs two groups or more")
     total = per_group * groups
     rest = math.ceil(total * (1 - proportion) / (groups - 1))
+    if rest * (groups - 1) > total:
+        raise ValueError(f"{total} rows are too few to give group 0 a share of {proportion} and the other {groups - 1} groups one size")
     return [total - rest * (groups - 1)] + [rest] * (groups - 1)
 
 
@@ -85,6 +89,8 @@ def planted(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, groups = vector(batch, "row_id"), vector(batch, "group_id")
+            if sds is not None and len(groups) and not 0 <= int(groups.min()) <= int(groups.max()) < len(sds):
+                raise ValueError(f"group_id must lie in 0..{len(sds) - 1}, one for each sigma")
             if weights == "dirichlet":
                 h = counter.dirichlet(ids, shape, seed)
             else:

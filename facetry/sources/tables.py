@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.blocks import small_table
+from ..session import write_scratch
+
+
+NARROW = 128
 
 
 def _key(key: str | Column) -> Column:
@@ -39,13 +44,21 @@ def _label(label: str | Column | None) -> Column:
 def from_dense_rows(df: DataFrame, key: str, position: str, value: str, width: int) -> DataFrame:
     """Gather long rows ``(key, position 0..width-1, value)`` into feature rows; gaps become 0.
 
-    ``width`` conditional sums per key: partial aggregation runs before the shuffle, so one hot
-    key is combined in every task that sees it.
+    A position that is null or not in 0..width-1 raises, with its key. Partial aggregation runs before the shuffle, so one hot
+    key is combined in every task that sees it: by one conditional sum per feature where these fit generated code, else by
+    sums per (key, position), of which each key then has at most ``width``.
     """
-    cells = [F.sum(F.when(F.col(position) == i, F.col(value)).otherwise(0.0)) for i in range(width)]
-    return df.groupBy(F.col(key).cast("bigint").alias("row_id")).agg(
-        F.array(*cells).alias("features"), F.lit(-1).cast("int").alias("label")
-    )
+    at, k = F.col(position), F.col(key).cast("bigint")
+    where = F.concat(F.lit("position "), F.coalesce(at.cast("string"), F.lit("null")), F.lit(f" is not in 0..{width - 1} at key "), k.cast("string"))
+    inside = F.coalesce((at >= 0) & (at < width), F.lit(False))
+    rows = df.select(k.alias("row_id"), F.when(inside, at).otherwise(F.raise_error(where).cast("int")).alias("at"), F.col(value).cast("double").alias("v"))
+    if width <= NARROW:
+        cells = [F.sum(F.when(F.col("at") == i, F.col("v")).otherwise(0.0)) for i in range(width)]
+        return rows.groupBy("row_id").agg(F.array(*cells).alias("features"), F.lit(-1).cast("int").alias("label"))
+    sums = rows.groupBy("row_id", "at").agg(F.sum("v").alias("v"))
+    held = sums.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("held"))
+    features = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0)))
+    return held.select("row_id", features.alias("features"), F.lit(-1).cast("int").alias("label"))
 
 
 def assign_groups(df: DataFrame, groups: int, by: str | Column | None = None) -> DataFrame:
@@ -79,6 +92,24 @@ def spread_groups(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return marked.repartition(n, F.col("group_id"), salt).select(*df.columns)
 
 
+def number_rows(df: DataFrame, order_by: str | Sequence[str], name: str = "row_id") -> DataFrame:
+    """Rows numbered 0, 1, ... in an order, without a window over all rows; the numbered table lies in the scratch folder.
+
+    A range sort deals the rows to partitions in order; each gets its first number from prefix sums over the partitions' counts. Rows and
+    their places are written once, to the session's checkpoint folder, so that counts and rows come from the same sort. Ties have no
+    particular order. An existing column of this name is replaced.
+    """
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    ordered = df.orderBy(*keys).withColumn("_place", F.monotonically_increasing_id())
+    placed = write_scratch(ordered, "numbered")
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("_part", before.alias("_before"))
+    joined = placed.withColumn("_part", part).join(first, "_part")
+    return joined.withColumn(name, F.col("_before") + within).drop("_part", "_place", "_before")
+
+
 def feature_width(df: DataFrame, column: str = "features") -> int:
     """Number of features, taken from one row (fetches a single row)."""
     row = df.select(F.size(column)).first()

@@ -1,5 +1,7 @@
 """Basis updates: one optimum for all solvers, and the same result on the driver and in Spark."""
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -94,8 +96,17 @@ def test_blocks_of_features_give_the_same_basis(spark, solver, hyper):
     start = np.random.default_rng(1).normal(size=(30, 4))
     step = B.BasisStep(solver, 1.0, OMEGAS["uneven"], hyper)
     want = step.solve(state.cross, state.gram, start)[0]
-    got = B.update_wide_basis(stats, state, step, start, block_cells=7 * 5 * 4)
+    got, gap = B.update_wide_basis(stats, state, step, start, block_cells=7 * 5 * 4)
     np.testing.assert_allclose(got, want, atol=1e-10)
+    copies = step.solve(state.cross, state.gram, start)[1]
+    assert gap == pytest.approx(B.violation(copies, want), abs=1e-9)
+    if solver == "admm":
+        early = replace(step, max_iter=60, inner_tol=1e-2)
+        iterates = step.__class__.path(early, state.cross, state.gram, start)
+        assert 5 <= len(iterates) < 60
+        got, gap = B.update_wide_basis(stats, state, early, start, block_cells=7 * 5 * 4)
+        np.testing.assert_allclose(got, iterates[-1][0], atol=1e-10)
+        assert gap == pytest.approx(B.violation(iterates[-1][1], got), abs=1e-9)
     stats.unpersist()
 
 
@@ -113,7 +124,7 @@ def test_partial_sums_survive_flushing(monkeypatch, every):
         if k % every == 0:
             batches += list(sums.flush())
     batches += list(sums.flush())
-    cells = pa.Table.from_batches(batches).to_pandas().groupby(["group_id", "kind", "i", "j"], as_index=False)["value"].sum()
+    cells = pa.Table.from_batches(list(G._add_partials(iter(batches)))).to_pandas().groupby(["group_id", "kind", "i", "j"], as_index=False)["value"].sum()
     state = G.state_from_cells(*(cells[c].to_numpy() for c in ("group_id", "kind", "i", "j", "value")), np.arange(5), 30, 4)
     np.testing.assert_allclose(state.cross, cross, atol=1e-10)
     np.testing.assert_allclose(state.gram, grams, atol=1e-10)

@@ -138,10 +138,10 @@ def test_cached_blocks_and_plain_rows_agree(planted, init):
 def test_blocks_and_rows_draw_the_same_sample(planted):
     """The built-in K-Means depends on the layout of its input, so its start is compared by its sample."""
     from facetry.operators.blocks import unpack_drawn
-    from facetry.operators.matrix import sample_rows
+    from facetry.plans.factorize import _drawn
 
     drawn = unpack_drawn(fy.pack_blocks(planted), 4, 0.1).select("row_id", "features").orderBy("row_id").collect()
-    want = sample_rows(planted, 0.1, 4).select("row_id", "features").orderBy("row_id").collect()
+    want = _drawn(planted, 4).filter("draw < 0.1").select("row_id", "features").orderBy("row_id").collect()
     assert drawn == want and len(want) > 30
     model = fy.factorize(planted, 3, solver="agd", lam=0.5, max_iter=2, seed=4, init="kmeans")
     assert np.isfinite(model.basis).all()
