@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
+import facetry as fy
 from facetry.functions import arrays as A
 from facetry.operators import basis as B
 from facetry.operators import group_stats as G
@@ -12,7 +12,6 @@ from facetry.operators import matrix as M
 from facetry.operators import scoring
 from facetry.operators.blocks import map_blocks, small_table
 from facetry.plans.factorize import known_weights_state
-from facetry.sources.planted import grouped_keys
 
 from . import fixtures as fx
 from .fixtures import EMB, EMB_CELLS, EMB_H, ORDER_CELLS, ORDERS, PARITY, cells, r6, rounded, with_
@@ -136,21 +135,33 @@ def cross_gram(spark, sf):
     return stats.select(part.alias("part"), "group_id", "i", "j", rounded("value").alias("value"))
 
 
-PAIR_GRAM = "g AS (SELECT sum(x0 * x0) / count(*) AS a, sum(x0 * x1) / count(*) AS b, sum(x1 * x1) / count(*) AS d FROM os)"
 ROOT = "sqrt((a - d) * (a - d) + 4 * b * b)"
 
 
-def mean_pair_gram(spark, sf):
-    pair = fx.order_pair(spark, sf).persist()
-    try:
-        return G.gram_matrix(pair) / pair.count()
-    finally:
-        pair.unpersist()
+def mean_order_gram(spark, sf):
+    """X'X / n of all four features from one pass: a fifth feature of ones carries the count."""
+    sales = fx.order_sales(spark, sf).withColumn("features", F.concat("features", F.array(F.lit(1.0))))
+    gram = G.gram_matrix(sales)
+    return gram[:4, :4] / gram[4, 4]
 
 
-@query("a9_top_eigenvalue", with_([ORDERS, PAIR_GRAM], f"SELECT {r6(f'(a + d + {ROOT}) / 2')} AS value FROM g"))
+def power_sql(width: int, steps: int) -> str:
+    """The largest eigenvalue of X'X / n by power iteration. -- recursive"""
+    cell = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    rows = [" + ".join(f"{cell(i, j)} * v{j}" for j in range(width)) for i in range(width)]
+    gram = ", ".join(f"sum(x{i} * x{j}) / count(*) AS g{i}{j}" for i in range(width) for j in range(i, width))
+    size = "sqrt(" + " + ".join(f"y{i} * y{i}" for i in range(width)) + ")"
+    return f"""g AS (SELECT {gram} FROM os),
+  it AS ( -- recursive
+    SELECT 0 AS k, {', '.join(f'1.0::DOUBLE AS v{i}' for i in range(width))}, 0.0::DOUBLE AS top
+    UNION ALL
+    SELECT k + 1, {', '.join(f'y{i} / {size}' for i in range(width))}, {size}
+    FROM (SELECT k, {', '.join(f'{r} AS y{i}' for i, r in enumerate(rows))} FROM it, g WHERE k < {steps}))"""
+
+
+@query("a9_top_eigenvalue", with_([ORDERS, power_sql(4, 200)], f"SELECT {r6('top')} AS value FROM it WHERE k = 200"))
 def top_eigenvalue(spark, sf):
-    value = float(B.top_eigenvalue(mean_pair_gram(spark, sf)))
+    value = float(B.top_eigenvalue(mean_order_gram(spark, sf)))
     return small_table(spark, [(value,)], "value double").select(rounded("value").alias("value"))
 
 
@@ -252,8 +263,19 @@ def shared_basis(spark, sf):
     return cells(map_blocks(fx.emb(spark, sf), lambda x: x @ basis))
 
 
-@query("j4_row_numbers", "SELECT r AS row_id, (r * 4 // (SELECT count(*) FROM orders))::INT AS group_id FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS r)")
+@query("j4_row_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders")
 def row_numbers(spark, sf):
-    n = fx.table(spark, sf, "orders").count()
-    ends = [-(-n * k // 4) for k in range(5)]
-    return grouped_keys(spark, np.diff(ends).tolist())
+    """The orders numbered by key, without a window over the table."""
+    return fy.number_rows(fx.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(
+    "p2_row_slice_by_number",
+    """SELECT o_orderkey, row_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, count(*) OVER () AS n FROM orders)
+      WHERE row_id >= n // 4 AND row_id < n // 2""",
+)
+def row_slice_by_number(spark, sf):
+    """The second quarter of the orders by place."""
+    orders = fx.table(spark, sf, "orders").select("o_orderkey")
+    n = orders.count()
+    return M.row_slice(fy.number_rows(orders, "o_orderkey"), n // 4, n // 2)

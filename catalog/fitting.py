@@ -26,30 +26,34 @@ def flagship(spark, sf):
     """Fit the embeddings at rank 4 and label every row: ``vec_id, label, pred_label``."""
     df = fx.emb(spark, sf)
     model = fy.factorize(df, 4, solver="agd", lam=0.1, alpha=0.1, max_iter=2, seed=1)
-    named = df.select(F.col("row_id").alias("vec_id"), "group_id", "features", "label")
-    return named.select("vec_id", "label").join(
-        model.labels(df).withColumnRenamed("row_id", "vec_id"), "vec_id"
-    )
+    return model.labels(df, keep=("label",)).withColumnRenamed("row_id", "vec_id")
 
 
 # --- starts -----------------------------------------------------------------------------------
 
 
-@query(
-    "f1_random_rows",
-    with_(
-        [
-            EMB,
-            f"""picked AS (SELECT row_id, x, row_number() OVER (ORDER BY {fx.row_uniform_sql('row_id', 3)}, row_id) AS k
-              FROM emb QUALIFY k <= 4)""",
-        ],
-        f"SELECT unnest(range(len(x)))::INT AS i, (k - 1)::INT AS k, {r6('unnest(x)')} AS value FROM picked",
-    ),
+RANDOM_ROWS = with_(
+    [
+        EMB,
+        f"""picked AS (SELECT row_id, x, row_number() OVER (ORDER BY {fx.uniform_sql('row_id', '0', 3)}, row_id) AS k
+          FROM emb QUALIFY k <= 4)""",
+    ],
+    f"SELECT unnest(range(len(x)))::INT AS i, (k - 1)::INT AS k, {r6('unnest(x)')} AS value FROM picked",
 )
+
+
+@query("f1_random_rows", RANDOM_ROWS)
 def random_rows(spark, sf):
     return matrix_rows(spark, fit.initial_basis(fx.emb(spark, sf), 4, "random_rows", seed=3), "i", "k")
 
 
+@query("f1_random_rows_packed", RANDOM_ROWS)
+def random_rows_packed(spark, sf):
+    """The same rows from packed blocks, which a fit draws from."""
+    blocks = fy.pack_blocks(fx.emb(spark, sf), block_bytes=64 * 8 * 50)
+    return matrix_rows(spark, fit._initial_basis_of_blocks(blocks, 0, 64, 4, "random_rows", 3), "i", "k")
+
+
 @query("f2_kmeans_start")
 def kmeans_start(spark, sf):
     return matrix_rows(spark, fit.initial_basis(fx.emb(spark, sf), 4, "kmeans", seed=3), "i", "k")
@@ -174,13 +178,14 @@ def noise_variance(spark, sf):
     "f9_relative_change",
     with_(
         [EMB],
-        f"""SELECT {r6('sqrt(sum(2 * pow((x[1] - x[2]) / 2, 2))) / sqrt(sum(pow((x[1] + 1) / 2, 2) + pow((1 - x[1]) / 2, 2)))')}
-          AS relative_change FROM emb""",
+        f"""SELECT {r6('sqrt(sum(2 * pow((a - b) / 16, 2))) / sqrt(sum(pow((a / 8 + 1) / 2, 2) + pow((1 - a / 8) / 2, 2)))')}
+          AS relative_change FROM (SELECT list_sum(x) AS a, list_sum(list_transform(x, lambda v, i: CASE WHEN i % 2 = 1 THEN v ELSE -v END)) AS b FROM emb)""",
     ),
 )
 def relative_change(spark, sf):
     old = fx.emb_h(spark, sf)
-    t = (F.get("features", F.lit(1)) + 1) / 2
+    signed = F.transform("features", lambda x, i: F.when(i % 2 == 0, x).otherwise(-x))
+    t = (F.aggregate(signed, F.lit(0.0), lambda a, x: a + x) / 8 + 1) / 2
     new = old.withColumn("h", F.array(t, 1 - t))
     return M.relative_change(old, new).select(rounded("relative_change").alias("relative_change"))
 
@@ -220,11 +225,34 @@ def step_at_parity(spark, sf, solver: str, *, aware: bool, lam: float = LAM, hyp
     return B.BasisStep(solver, lam, omega, hyper, **options).solve(state.cross, state.gram, start)
 
 
-@query("f10_agd_step", with_([*STATS, OMEGA, TOTALS, descent_sql("w", "parity", LAM, 35, "damped")], basis_out("w")))
+def wide_step_at_parity(spark, sf, solver: str, *, aware: bool = True, **options):
+    """(W, violation) of the same step as ``step_at_parity``, made in Spark from statistics that stay there, three features to a block."""
+    df, start = fx.emb_h(spark, sf), fx.parity_means(spark, sf)
+    stats = G.weighted_statistics(df, start)
+    state = G.read_state(stats, G.group_ids(df), 64, 2, with_cross=False)
+    c = len(state.groups)
+    omega = B.precision_weights(G.noise_variances(state, 64)) if aware else np.full(c, 1.0 / c)
+    return B.update_wide_basis(stats, state, B.BasisStep(solver, LAM, omega, **options), start, block_cells=3 * 2 * c)
+
+
+AGD_STEP = with_([*STATS, OMEGA, TOTALS, descent_sql("w", "parity", LAM, 35, "damped")], basis_out("w"))
+
+
+@query("f10_agd_step", AGD_STEP)
 def agd_step(spark, sf):
     return matrix_rows(spark, step_at_parity(spark, sf, "agd", aware=True)[0], "i", "k")
 
 
+@query("f10_agd_pooled", AGD_STEP)
+def agd_pooled(spark, sf):
+    """The same step with the groups added up in Spark."""
+    start = fx.parity_means(spark, sf)
+    stats = G.weighted_statistics(fx.emb_h(spark, sf), start)
+    state, share = G.pooled_state(stats, 64, 2, noise_aware=True)
+    w, _ = B.BasisStep("agd", LAM / len(share), np.ones(1)).solve(state.cross, state.gram, start)
+    return matrix_rows(spark, w, "i", "k")
+
+
 ADMM_INVERSE = f"""inv AS (SELECT c, a, b, d, a * d - b * b AS det FROM (
     SELECT c, 1 + g11 / {RHO} AS a, g12 / {RHO} AS b, 1 + g22 / {RHO} AS d FROM gs)),
   w0 AS (SELECT i, w1, w2 FROM parity),
@@ -246,11 +274,19 @@ def admm_sql(steps: int, lam: float) -> str:
     return ",\n  ".join(parts)
 
 
-@query("f11_admm_step", with_([*STATS, OMEGA, admm_sql(10, LAM)], basis_out("w10")))
+ADMM_STEP = with_([*STATS, OMEGA, admm_sql(10, LAM)], basis_out("w10"))
+
+
+@query("f11_admm_step", ADMM_STEP)
 def admm_step(spark, sf):
     return matrix_rows(spark, step_at_parity(spark, sf, "admm", aware=True, hyper=RHO)[0], "i", "k")
 
 
+@query("f11_admm_step_wide", ADMM_STEP)
+def admm_step_wide(spark, sf):
+    return matrix_rows(spark, wide_step_at_parity(spark, sf, "admm", hyper=RHO)[0], "i", "k")
+
+
 REGULAR = f"""reg AS (SELECT *, g11 * g22 - g12 * g12 AS det, {TOP} AS top FROM (
     SELECT c, g11 + {GAMMA} AS g11, g12, g22 + {GAMMA} AS g22 FROM gs)),
   w0 AS (SELECT i, w1, w2 FROM parity)"""
@@ -300,11 +336,19 @@ def cease_sql(steps: int, inner: int, lam: float) -> str:
     return ",\n  ".join(parts)
 
 
-@query("f13_cease_l1", with_([*STATS, OMEGA, cease_sql(5, 20, LAM)], basis_out("w5")))
+CEASE_L1 = with_([*STATS, OMEGA, cease_sql(5, 20, LAM)], basis_out("w5"))
+
+
+@query("f13_cease_l1", CEASE_L1)
 def cease_l1(spark, sf):
     return matrix_rows(spark, step_at_parity(spark, sf, "cease", aware=True, hyper=GAMMA)[0], "i", "k")
 
 
+@query("f13_cease_l1_wide", CEASE_L1)
+def cease_l1_wide(spark, sf):
+    return matrix_rows(spark, wide_step_at_parity(spark, sf, "cease", hyper=GAMMA)[0], "i", "k")
+
+
 @query(
     "f14_central_descent",
     with_(
@@ -399,18 +443,26 @@ def history_sql(steps: int) -> str:
       FROM ({' UNION ALL '.join(rows)})"""
 
 
-@query(
-    "f18_history",
-    with_(
-        [
-            *STATS,
-            EQUAL,
-            "qs AS (SELECT group_id AS c, sum(v * v) AS q FROM emb_cells GROUP BY group_id)",
-            admm_sql(6, LAM),
-        ],
-        history_sql(6),
-    ),
+HISTORY = with_(
+    [*STATS, EQUAL, "qs AS (SELECT group_id AS c, sum(v * v) AS q FROM emb_cells GROUP BY group_id)", admm_sql(6, LAM)], history_sql(6)
 )
+
+
+@query("f18_history_wide", HISTORY)
+def history_wide(spark, sf):
+    """The same history with every step made in Spark: its violation is that of copies the driver never sees."""
+    basis, df = fx.parity_means(spark, sf), fx.emb_h(spark, sf)
+    state, _, _ = fit.known_weights_state(df)
+    rows = []
+    for k in range(1, 7):
+        w, gap = wide_step_at_parity(spark, sf, "admm", aware=False, hyper=RHO, max_iter=k)
+        loss = (B.squared_errors(state, w).sum() + LAM * np.abs(w).sum()) / len(state.groups)
+        rows.append((k, float(loss), gap, B.distance(w, basis)))
+    found = small_table(spark, rows, "step int, loss double, violation double, distance double")
+    return found.select("step", *[rounded(c).alias(c) for c in found.columns[1:]])
+
+
+@query("f18_history", HISTORY)
 def history(spark, sf):
     basis = fx.parity_means(spark, sf)
     df = fx.emb_h(spark, sf)
@@ -470,7 +522,7 @@ def rank1_sql(steps: int, lam: float) -> str:
     parts = [
         "sums AS (SELECT group_id AS c, i, count(*) AS n, sum(v) AS p FROM emb_cells GROUP BY ALL)",
         f"""r0 AS (SELECT i, v AS w FROM emb_cells JOIN (SELECT row_id FROM emb
-          ORDER BY {fx.row_uniform_sql('row_id', 3)}, row_id LIMIT 1) USING (row_id))""",
+          ORDER BY {fx.uniform_sql('row_id', '0', 3)}, row_id LIMIT 1) USING (row_id))""",
     ]
     for k in range(1, steps + 1):
         parts.append(
@@ -547,7 +599,7 @@ def labels_rank2(spark, sf):
 def nonnegative1_sql(steps: int, lam: float) -> str:
     parts = [
         f"""r0 AS (SELECT i, v AS w FROM os_cells JOIN (SELECT row_id FROM os
-          ORDER BY {fx.row_uniform_sql('row_id', 3)}, row_id LIMIT 1) USING (row_id))"""
+          ORDER BY {fx.uniform_sql('row_id', '0', 3)}, row_id LIMIT 1) USING (row_id))"""
     ]
     for k in range(1, steps + 1):
         parts.append(
@@ -578,6 +630,33 @@ def fit_labels(spark, sf):
     return flagship(spark, sf)
 
 
+@query("f21_fit_labels_optimal", "SELECT vec_id, 1.0::DOUBLE AS total, true AS optimal, true AS first_largest FROM embeddings")
+def fit_labels_optimal(spark, sf):
+    """What the flagship's rows must satisfy: weights sum to one with equal slopes for the fitted basis, and the label is the first largest."""
+    df = fx.emb(spark, sf)
+    model = fy.factorize(df, 4, solver="agd", lam=0.1, alpha=0.1, max_iter=2, seed=1)
+    q = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in model.basis.T @ model.basis])
+    w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in model.basis.T])
+    dot = lambda a, b: A.row_sum(F.zip_with(a, b, lambda x, y: x * y))
+    rows = model.weights(df, keep=("features",)).withColumn("slope", F.transform(q, lambda row, k: dot(row, F.col("h")) - dot(F.get(w, k), F.col("features")) - 0.1 / F.get("h", k)))
+    spread = F.array_max("slope") - F.array_min("slope")
+    label = F.array_position("h", F.array_max("h"))
+    labels = model.labels(df).withColumnRenamed("row_id", "_id")
+    joined = rows.join(labels, F.col("row_id") == F.col("_id"))
+    return joined.select(
+        F.col("row_id").alias("vec_id"), rounded(A.row_sum("h"), 4).alias("total"), (spread < 1e-4).alias("optimal"), (label == F.col("pred_label")).alias("first_largest")
+    )
+
+
+@query("f21_history_falls", "SELECT unnest([1, 2, 3, 4, 5])::INT AS step, true AS falls, 0::BIGINT AS unconverged")
+def history_falls(spark, sf):
+    """With equal weights of groups a fit never raises its penalised objective, and all rows' weights converge."""
+    model = fy.factorize(fx.emb(spark, sf), 4, solver="agd", lam=0.1, noise_aware=False, max_iter=6, seed=1)
+    values = [row[3] for row in model.history]
+    rows = [(k, b <= a + 1e-9 * abs(a), model.history[k][7]) for k, (a, b) in enumerate(zip(values, values[1:]), start=1)]
+    return small_table(spark, [(k, bool(f), int(n)) for k, f, n in rows], "step int, falls boolean, unconverged bigint")
+
+
 @query("f21_fit_history")
 def fit_history(spark, sf):
     model = fy.factorize(fx.emb(spark, sf), 4, solver="admm", lam=0.1, max_iter=4, seed=1)
@@ -592,6 +671,20 @@ def nonnegative_fit(spark, sf):
     return cells(model.weights(fx.order_sales(spark, sf)), "h", "group_id")
 
 
+@query("f21_nonnegative_optimal", with_([fx.ORDERS], "SELECT row_id, true AS nonnegative, true AS optimal FROM os"))
+def nonnegative_optimal(spark, sf):
+    """The weights of a non-negative fit: none below zero, no slope below zero, and never both above."""
+    df = fx.order_sales(spark, sf)
+    model = fy.factorize(df, 2, solver="cease", lam=0.1, hyper=1e-4, weights="nonnegative", max_iter=3, seed=1)
+    q = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in model.basis.T @ model.basis])
+    w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in model.basis.T])
+    dot = lambda a, b: A.row_sum(F.zip_with(a, b, lambda x, y: x * y))
+    rows = model.weights(df, keep=("features",)).withColumn("slope", F.transform(q, lambda row, k: dot(row, F.col("h")) - dot(F.get(w, k), F.col("features"))))
+    size = 1 + F.array_max(F.transform("slope", F.abs))
+    worst = F.array_max(F.zip_with("h", "slope", lambda h, s: F.greatest(-s, F.least(h, F.abs(s)))))
+    return rows.select("row_id", (F.array_min("h") >= 0).alias("nonnegative"), (worst < 1e-6 * size).alias("optimal"))
+
+
 @query(
     "f22_repeats",
     with_(

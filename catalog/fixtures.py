@@ -25,8 +25,8 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emb_h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with rank-2 weights (t, 1 - t), t = (x_0 + 1) / 2."""
-    t = (F.get("features", F.lit(0)) + 1) / 2
+    """Embeddings with rank-2 weights (t, 1 - t), t = (s / 8 + 1) / 2 for the sum s of all cells (at most 8 in size for unit vectors)."""
+    t = (F.aggregate("features", F.lit(0.0), lambda a, x: a + x) / 8 + 1) / 2
     return emb(spark, sf_dir).withColumn("h", F.array(t, 1 - t))
 
 
@@ -88,7 +88,8 @@ def rounded(c: str | Column, digits: int = 6) -> Column:
 
 def cells(df: DataFrame, column: str = "features", *keep: str, key: str = "row_id") -> DataFrame:
     """Long, rounded rows ``key, ..., i, value``."""
-    return df.select(key, *keep, F.posexplode(column).alias("i", "value")).withColumn("value", rounded("value"))
+    # The outer variant keeps the optimiser from adding a filter that evaluates the array a second time; arrays are not empty here.
+    return df.select(key, *keep, F.posexplode_outer(column).alias("i", "value")).withColumn("value", rounded("value"))
 
 
 def matrix_rows(spark: SparkSession, block: np.ndarray, *names: str) -> DataFrame:
@@ -104,7 +105,7 @@ def matrix_rows(spark: SparkSession, block: np.ndarray, *names: str) -> DataFram
 EMB = "emb AS (SELECT vec_id AS row_id, (vec_id % 5)::INT AS group_id, embedding::DOUBLE[] AS x, label FROM embeddings)"
 EMB_CELLS = """emb_cells AS (
   SELECT row_id, group_id, label, unnest(range(len(x)))::INT AS i, unnest(x) AS v FROM emb)"""
-EMB_H = "emb_h AS (SELECT row_id, group_id, x, (x[1] + 1) / 2 AS h1, 1 - (x[1] + 1) / 2 AS h2 FROM emb)"
+EMB_H = "emb_h AS (SELECT row_id, group_id, x, (list_sum(x) / 8 + 1) / 2 AS h1, 1 - (list_sum(x) / 8 + 1) / 2 AS h2 FROM emb)"
 PARITY = """parity AS (
   SELECT i, avg(CASE WHEN label % 2 = 0 THEN v END) AS w1, avg(CASE WHEN label % 2 = 1 THEN v END) AS w2
   FROM emb_cells GROUP BY i)"""

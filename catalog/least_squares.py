@@ -14,6 +14,7 @@ from facetry.operators import tsqr as Q
 from facetry.operators.blocks import small_table
 from facetry.operators.weights import nonnegative_least_squares
 from facetry.plans import separable_nmf as S
+from facetry.session import write_scratch
 
 from . import fixtures as fx
 from .fixtures import EMB, EMB_CELLS, ORDERS, ORDER_CELLS, PARITY, USERS, USER_CELLS, cells, matrix_rows, r6, rounded, with_
@@ -23,8 +24,27 @@ EMB_GRAM = with_(
     [EMB, EMB_CELLS],
     f"SELECT a.i, b.i AS j, {r6('sum(a.v * b.v)')} AS value FROM emb_cells a JOIN emb_cells b ON a.row_id = b.row_id GROUP BY ALL",
 )
-PAIR = "g AS (SELECT sum(x0 * x0) AS a, sum(x0 * x1) AS b, sum(x1 * x1) AS d FROM os)"
-RFACTOR = "r AS (SELECT sqrt(a) AS r11, b / sqrt(a) AS r12, sqrt(d - b * b / a) AS r22 FROM g)"
+ORDER_GRAM = "og AS (SELECT " + ", ".join(f"sum(x{i} * x{j}) AS g{i}{j}" for i in range(4) for j in range(i, 4)) + " FROM os)"
+
+
+def factor_sql(width: int) -> str:
+    """R of a QR as the triangular factor of X'X, row by row: a chain of CTEs, the last one ``r``."""
+    parts = [f"r_0 AS (SELECT * FROM {'og'})"]
+    for i in range(width):
+        own = " - ".join([f"g{i}{i}", *(f"r{k}{i} * r{k}{i}" for k in range(i))])
+        parts.append(f"d_{i} AS (SELECT *, sqrt({own}) AS r{i}{i} FROM r_{i})")
+        row = [f"({' - '.join([f'g{i}{j}', *(f'r{k}{i} * r{k}{j}' for k in range(i))])}) / r{i}{i} AS r{i}{j}" for j in range(i + 1, width)]
+        parts.append(f"r_{i + 1} AS (SELECT {', '.join(['*', *row])} FROM d_{i})")
+    return ",\n  ".join([*parts, f"r AS (SELECT * FROM r_{width})"])
+
+
+def thin_q_sql(width: int) -> str:
+    """Rows of Q by back substitution: CTEs q_1, q_2, ... over the orders."""
+    parts = ["q_0 AS (SELECT * FROM os, r)"]
+    for j in range(width):
+        left = " - ".join([f"x{j}", *(f"q{k} * r{k}{j}" for k in range(j))])
+        parts.append(f"q_{j + 1} AS (SELECT *, ({left}) / r{j}{j} AS q{j} FROM q_{j})")
+    return ",\n  ".join(parts)
 
 
 @query("n1_tsqr_gram", EMB_GRAM)
@@ -37,12 +57,13 @@ def tsqr_gram(spark, sf):
 @query(
     "n1_tsqr_factor",
     with_(
-        [ORDERS, PAIR, RFACTOR],
-        f"SELECT unnest([0, 0, 1, 1])::INT AS i, unnest([0, 1, 0, 1])::INT AS j, {r6('unnest([r11, r12, 0.0, r22])')} AS value FROM r",
+        [ORDERS, ORDER_GRAM, factor_sql(4)],
+        f"""SELECT unnest({[i for i in range(4) for _ in range(4)]})::INT AS i, unnest({list(range(4)) * 4})::INT AS j,
+          {r6(f"unnest([{', '.join(f'r{i}{j}' if i <= j else '0.0' for i in range(4) for j in range(4))}])")} AS value FROM r""",
     ),
 )
 def tsqr_factor(spark, sf):
-    long = Q.tsqr_r(fx.order_pair(spark, sf)).select("i", F.posexplode("features").alias("j", "value"))
+    long = Q.tsqr_r(fx.order_sales(spark, sf)).select("i", F.posexplode("features").alias("j", "value"))
     return long.withColumn("value", rounded("value"))
 
 
@@ -55,17 +76,14 @@ def builtin_r(spark, sf):
 @query(
     "n3_thin_q",
     with_(
-        [ORDERS, PAIR, RFACTOR],
-        f"""SELECT row_id, unnest([0, 1])::INT AS i, {r6('unnest([x0 / r11, (x1 - x0 / r11 * r12) / r22])', 9)} AS value FROM os, r""",
+        [ORDERS, ORDER_GRAM, factor_sql(4), thin_q_sql(4)],
+        f"SELECT row_id, unnest([0, 1, 2, 3])::INT AS i, {r6('unnest([q0, q1, q2, q3])', 9)} AS value FROM q_4",
     ),
 )
 def thin_q(spark, sf):
-    pair = fx.order_pair(spark, sf).persist()
-    try:
-        r = Q.r_matrix(pair)
-    finally:
-        pair.unpersist()
-    q = Q.thin_q(fx.order_pair(spark, sf).select("row_id", "features"), r)
+    """The aggregated orders are written once and read twice: for R, and for Q."""
+    sales = write_scratch(fx.order_sales(spark, sf).select("row_id", "features"), "sales")
+    q = Q.thin_q(sales, Q.r_matrix(sales))
     return q.select("row_id", F.posexplode("features").alias("i", "value")).withColumn("value", rounded("value", 9))
 
 
@@ -94,13 +112,19 @@ def nnls2_sql(b1: str, b2: str, q11: str, q12: str, q22: str) -> str:
 @query(
     "n5_nonnegative_pairs",
     with_(
-        [EMB, EMB_CELLS, PARITY, "g AS (SELECT sum(w1 * w1) AS a, sum(w1 * w2) AS b, sum(w2 * w2) AS d FROM parity)"],
-        f"SELECT row_id, unnest([0, 1])::INT AS i, {r6('unnest(' + nnls2_sql('x[1]', 'x[2]', 'a', 'b', 'd') + ')', 5)} AS value FROM emb, g",
+        [
+            EMB,
+            EMB_CELLS,
+            PARITY,
+            "g AS (SELECT sum(w1 * w1) AS a, sum(w1 * w2) AS b, sum(w2 * w2) AS d FROM parity)",
+            "rhs AS (SELECT row_id, sum(v * w1) AS p1, sum(v * w2) AS p2 FROM emb_cells JOIN parity USING (i) GROUP BY row_id)",
+        ],
+        f"SELECT row_id, unnest([0, 1])::INT AS i, {r6('unnest(' + nnls2_sql('p1', 'p2', 'a', 'b', 'd') + ')', 5)} AS value FROM rhs, g",
     ),
 )
 def nonnegative_pairs(spark, sf):
     basis = fx.parity_means(spark, sf)
-    rhs = fx.emb(spark, sf).select("row_id", F.slice("features", 1, 2).alias("atb"))
+    rhs = fy.map_blocks(fx.emb(spark, sf).select("row_id", "features"), lambda x: x @ basis).withColumnRenamed("features", "atb")
     h = nonnegative_least_squares(rhs, basis.T @ basis)
     return h.select("row_id", F.posexplode("h").alias("i", "value")).withColumn("value", rounded("value", 5))
 
@@ -158,8 +182,8 @@ def extreme_columns(spark, sf):
     with_(CHOSEN, "SELECT 0 AS pick, s AS column_index FROM s1 UNION ALL SELECT 1, s FROM s2"),
 )
 def extreme_columns_wide(spark, sf):
-    """The same picks with C kept as a table."""
-    rows = X.gram_rows(fx.user_events(spark, sf)).persist()
+    """The same picks with C kept as a table, made from tiles of two columns."""
+    rows = X.gram_rows(fx.user_events(spark, sf), tile=2).persist()
     try:
         columns, _ = X.choose_columns_wide(rows, 5, 2)
     finally:

@@ -9,6 +9,7 @@ import facetry as fy
 from facetry.functions import arrays as A
 from facetry.operators import matrix as M
 from facetry.operators.blocks import map_blocks, to_numpy
+from facetry.session import scratch_path, write_scratch
 from facetry.sources import delimited, noise, planted, tables
 
 from . import fixtures as fx
@@ -45,6 +46,21 @@ def unlabelled_lines(spark, sf):
     return cells(delimited.parse_lines(lines, r"\s*;\s*"), "features", "label")
 
 
+@query(
+    "s1_read_text",
+    with_(
+        [EMB, EMB_CELLS],
+        f"SELECT n - 1 AS row_id, i, {r6('v')} AS value FROM emb_cells JOIN (SELECT row_id, row_number() OVER (ORDER BY row_id) AS n FROM emb) USING (row_id)",
+    ),
+)
+def read_text(spark, sf):
+    """Embeddings written as text files in order of key, and read back: lines are numbered by place."""
+    path = scratch_path(spark, "text")
+    line = F.concat_ws(",", F.transform("features", lambda x: x.cast("string")))
+    fx.emb(spark, sf).orderBy("row_id").select(line.alias("value")).write.text(path)
+    return cells(fy.read_delimited(spark, path))
+
+
 @query(
     "s2_from_columns",
     f"""SELECT c_custkey AS row_id, unnest([0, 1])::INT AS i,
@@ -328,7 +344,12 @@ def exact_sample(spark, sf):
 
 @query("p8_persisted", EMB_LONG)
 def persisted(spark, sf):
-    return cells(fx.emb(spark, sf).persist())
+    """Cells of a persisted table; it is let go again, so that other queries scan their files."""
+    df = fx.emb(spark, sf).persist()
+    try:
+        return write_scratch(cells(df), "persisted")
+    finally:
+        df.unpersist()
 
 
 # --- cell functions ---------------------------------------------------------------------------
@@ -379,10 +400,8 @@ def map_cells(spark, sf):
 def add_subtract(spark, sf):
     a = fx.emb(spark, sf)
     b = a.withColumn("features", A.soft_threshold("features", 0.1))
-    plus, minus = M.combine(a, b, "+"), M.combine(a, b, "-")
-    return cells(plus.withColumn("op", F.lit("+")), "features", "op").unionByName(
-        cells(minus.withColumn("op", F.lit("-")), "features", "op")
-    )
+    pairs = M.paired(a, b, "features")
+    return by_op(pairs, *[(op, A.zip_op(F.col("_a"), F.col("_b"), op)) for op in ("+", "-")])
 
 
 @query("x5_soft_threshold", emb_map(soft_sql("v", "0.1")))
