@@ -74,14 +74,19 @@ class LineKeys:
     def ids(self, lines: list[str]) -> np.ndarray:
         return self._ids(*self._sums(lines)[1:])
 
-    def lines(self, chunk: list[bytes]):
-        """(text index, line number, id, length, sketch, index keys, probe keys) of all lines with a character; lines have their outer
-        whitespace cut. Keys of lines below ``min_chars`` are not made (their rows of keys are not to be used)."""
+    @staticmethod
+    def split(chunk: list[bytes]) -> tuple[list[int], list[int], list[str]]:
+        """Text index, line number and text of all lines with a character; their outer whitespace is cut."""
         text, number, lines = [], [], []
         for i, raw in enumerate(chunk):
             for j, line in enumerate(raw.decode("utf-8", "replace").split("\n")):
                 if line := line.strip():
                     text.append(i), number.append(j), lines.append(line)
+        return text, number, lines
+
+    def keys(self, lines: list[str]):
+        """(id, length, sketch, index keys, probe keys) of lines. Keys of lines below ``min_chars`` are not made (their rows of keys are not
+        to be used)."""
         points, length, starts, sums = self._sums(lines)
 
         def piece(at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -107,7 +112,7 @@ class LineKeys:
             cut, size = segments(full - shorter, self.edits)
             at = np.clip(cut[:, i] + shift, 0, full - size[:, i])
             probe[use, n] = key(begin + at, size[:, i], full - shorter, i)
-        return np.array(text, np.int64), np.array(number, np.int64), ids, length, sketch, index, probe
+        return ids, length, sketch, index, probe
 
 
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,15 +189,16 @@ def _emit(make: LineKeys, with_keys: bool):
             for chunk in text_chunks(batch.column(1)):
                 own = keys.slice(at, len(chunk))
                 at += len(chunk)
-                text, number, ids, length, sketch, index, probe = make.lines(chunk)
+                text, number, lines = make.split(chunk)
                 if with_keys:
+                    ids, length, sketch, index, probe = make.keys(lines)
                     first = np.unique(ids, return_index=True)[1]
                     first = first[length[first] >= make.min_chars]
                     packed = np.hstack([sketch[first, None], index[first], probe[first]])
                     rows = [pa.array(ids[first].view(np.int64)), pa.array([r.tobytes() for r in packed], pa.binary())]
                     yield pa.RecordBatch.from_arrays(rows, names=["id", "packed"])
                 else:
-                    rows = [own.take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(ids.view(np.int64))]
+                    rows = [own.take(pa.array(text, pa.int64())), pa.array(number, pa.int32()), pa.array(make.ids(lines).view(np.int64))]
                     yield pa.RecordBatch.from_arrays(rows, names=["key", "line_no", "id"])
 
     return run
@@ -356,7 +362,7 @@ def _texts(make: LineKeys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
-                lines = [x for raw in chunk for line in raw.decode("utf-8", "replace").split("\n") if (x := line.strip())]
+                lines = make.split(chunk)[2]
                 yield pa.RecordBatch.from_arrays([pa.array(make.ids(lines).view(np.int64)), pa.array(lines, pa.string())], names=["id", "line"])
 
     return run
