@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}  # by application; folders go when the driver ends
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -20,12 +20,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="facetry-")) / "facetry.zip"
+        folder = tempfile.TemporaryDirectory(prefix="facetry-")
+        archive = Path(folder.name) / "facetry.zip"
         with zipfile.ZipFile(archive, "w") as z:
             for source in sorted(root.rglob("*.py")):
                 z.write(source, source.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(archive))
-        _shipped.add(app)
+        _shipped[app] = folder
     return spark
 
 
