@@ -44,14 +44,15 @@ def content_view(chunk: list[bytes], hasher: WordHasher) -> np.ndarray:
         w, t = words[order], text[order]
         first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (t[1:] != t[:-1])]))
         times = np.diff(np.append(first, len(w)))
-        total = np.maximum(_per_text(text, None, n), 1)
+        words_of = _per_text(text, None, n)
+        total = np.maximum(words_of, 1)
         top = np.zeros(n)
         np.maximum.at(top, t[first], times)
         same = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
         upper = (buffer[starts] >= 65) & (buffer[starts] <= 90)
         out[:, BYTE_BINS:] = np.stack(
             [
-                np.log1p(total),
+                np.log1p(words_of),
                 _per_text(text, (ends - starts).astype(float), n) / total / 10,
                 _per_text(t[first], None, n) / total,
                 top / total,
