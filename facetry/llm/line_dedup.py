@@ -19,6 +19,7 @@ STEP_PAIRS = 2_000_000
 #: Line ids that are broadcast to fetch texts; more are joined.
 BROADCAST_IDS = 2_000_000
 BINS = 32  # of two bits each in a line's sketch
+KEY_BYTES = 6  # kept of a key: equal keys of different segments only add candidates, which sketches and texts refuse
 
 
 def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +195,9 @@ def _emit(make: LineKeys, with_keys: bool):
                     ids, length, sketch, index, probe = make.keys(lines)
                     first = np.unique(ids, return_index=True)[1]
                     first = first[length[first] >= make.min_chars]
-                    packed = np.hstack([sketch[first, None], index[first], probe[first]])
+                    both = np.hstack([index[first], probe[first]])
+                    short = both.view(np.uint8).reshape(*both.shape, 8)[:, :, :KEY_BYTES].reshape(len(first), both.shape[1] * KEY_BYTES)
+                    packed = np.hstack([sketch[first, None].view(np.uint8), short])
                     rows = [pa.array(ids[first].view(np.int64)), pa.array([r.tobytes() for r in packed], pa.binary())]
                     yield pa.RecordBatch.from_arrays(rows, names=["id", "packed"])
                 else:
@@ -205,20 +208,21 @@ def _emit(make: LineKeys, with_keys: bool):
 
 
 def _unpack(edits: int):
-    width = 1 + edits + 1 + len(probes(edits))
+    width = edits + 1 + len(probes(edits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                rows = np.frombuffer(b"".join(v.as_py() for v in part.column(1)), np.uint64).reshape(-1, width)
-                keys = rows[:, 1:]
-                indexed = np.broadcast_to(np.arange(width - 1) <= edits, keys.shape)
+                raw = np.frombuffer(b"".join(v.as_py() for v in part.column(1)), np.uint8).reshape(len(ids), 8 + width * KEY_BYTES)
+                keys = np.zeros((len(ids), width, 8), np.uint8)
+                keys[:, :, :KEY_BYTES] = raw[:, 8:].reshape(len(ids), width, KEY_BYTES)
+                indexed = np.broadcast_to(np.arange(width) <= edits, (len(ids), width))
                 columns = [
-                    pa.array(keys.ravel().view(np.int64)),
-                    pa.array(np.repeat(ids, width - 1)),
-                    pa.array(np.repeat(rows[:, 0], width - 1).view(np.int64)),
+                    pa.array(keys.view(np.int64).ravel()),
+                    pa.array(np.repeat(ids, width)),
+                    pa.array(np.repeat(np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel(), width)),
                     pa.array(indexed.ravel()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "id", "sketch", "indexed"])
