@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from facetry.llm import language_id, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, vector_search
-from facetry.llm.common import components
+from facetry.llm.common import components, text_chunks
 from facetry.llm.queries import QUERIES
 
 from .helpers import words
@@ -98,6 +99,19 @@ def test_line_classes(spark, monkeypatch, hot):
     assert len(set(expected.values())) < len(distinct)
 
 
+@pytest.mark.parametrize("with_keys", [True, False])
+def test_rows_do_not_depend_on_chunks(monkeypatch, with_keys):
+    rng = random.Random(9)
+    texts = ["\n".join(words(rng, 8) for _ in range(5)) for _ in range(12)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(14)), pa.array([t and t.encode() for t in texts], pa.binary())], names=["key", "text"])
+
+    def rows(limit):
+        monkeypatch.setattr(line_dedup, "text_chunks", lambda column: text_chunks(column, limit))
+        return sorted(str(r) for b in line_dedup._emit(line_dedup.LineKeys(), with_keys)(iter([batch])) for r in b.to_pylist())
+
+    assert len(rows(1)) == 60 and rows(1) == rows(1 << 20)
+
+
 def test_forest_of_false_candidates(spark):
     """Anagrams share sketches but are far apart: a dense group whose forest fails gives all its pairs instead."""
     rng = random.Random(2)
@@ -385,3 +399,25 @@ def test_map_versions(spark, tmp_path):
     for slot, size in sizes.items():
         sums[new[slot]] += size
     assert all(abs(s - sum(sizes.values()) / 9) <= max(sizes.values()) for s in sums.values())
+
+
+def test_chunks_of_one_text_give_the_same():
+    """Texts are read in chunks; a chunk of nothing but an empty text is one of them."""
+    from facetry.llm import decontaminate
+
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(1, 60)).encode() for _ in range(8)] + [b"", b" \n ", "é Licensed under CC BY-NC 4.0. é".encode(), b"", b"..."]
+    index = decontaminate.WindowIndex([("a", texts[0]), ("b", b"w1")])
+    scanner = license_scan.LicenseScanner([(n, t.encode()) for n, t in license_scan.NOTICES], 0.8)
+    model = language_id.LanguageModel.fit({"x": [texts[1].decode()], "y": [texts[2].decode()]})
+    tokens, hasher = lm_scoring.Tokens(), quality.WordHasher()
+    for run in (
+        lambda c: [str(r) for r in index.scan(c, True)],
+        lambda c: [str(r) for r in scanner.scan(c)],
+        lambda c: [f"{a} {b:.9f}" for a, b in zip(*model.predict(c), strict=True)],
+        lambda c: [str(v) for v in np.bincount(tokens.read(c)[2], minlength=len(c))],
+        lambda c: [str(v) for v in tokens.read(c)[0]],
+        lambda c: [str(r.round(9).tolist()) for r in quality.content_view(c, hasher)],
+        lambda c: [str(r.round(9).tolist()) for r in quality.metadata_view(c, [None] * len(c), ["s"] * len(c), [1] * len(c))],
+    ):
+        assert run(texts) == [v for t in texts for v in run([t])]
