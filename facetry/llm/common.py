@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,30 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCRATCH = "spark.checkpoint.dir"
+from ..session import write_scratch as settle  # noqa: F401  cuts lineage, survives lost executors, computes once
+
 #: Bytes of text that a task turns into numpy arrays at a time.
 CHUNK_BYTES = 2 << 20
 #: Bytes of ASCII letters (lower-cased), digits and all beyond ASCII stand; others become spaces.
 FOLD = bytes(b if chr(b).isascii() and chr(b).isalnum() or b >= 128 else 32 for b in range(256)).lower()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one is set only where the session names none (tests)."""
-    path = spark.conf.get(SCRATCH, None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="facetry-scratch-")
-        spark.conf.set(SCRATCH, path)
-    return path.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the scratch folder and read it back: cuts lineage, survives lost executors, computes once."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/facetry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table carries."""
     return df.select(*(F.col(f"`{n}`") for n in names))
