@@ -41,10 +41,19 @@ def contingency(pairs: DataFrame, max_cells: int = 4_000_000) -> DataFrame:
 
 
 def count_matrix(table: DataFrame, max_cells: int, max_classes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(true labels, predicted labels, matrix of counts) of a counted table, checked before the transfer and before the matrix is made."""
-    if table.limit(max_cells + 1).count() > max_cells:
-        raise TooLarge(f"the contingency table has more than {max_cells} pairs of classes that occur")
-    cells = table.toArrow()
+    """(true labels, predicted labels, matrix of counts) of a counted table, checked before the transfer and before the matrix is made.
+
+    The counted table is kept for both, so that the rows behind it are joined and counted once.
+    """
+    own = not table.storageLevel.useMemory
+    counted = table.persist() if own else table
+    try:
+        if counted.count() > max_cells:
+            raise TooLarge(f"the contingency table has more than {max_cells} pairs of classes that occur")
+        cells = counted.toArrow()
+    finally:
+        if own:
+            counted.unpersist()
     t, p, n = (cells.column(c).to_numpy() for c in ("true_label", "pred_label", "n"))
     true_labels, ti = np.unique(t, return_inverse=True)
     pred_labels, pi = np.unique(p, return_inverse=True)
