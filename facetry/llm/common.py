@@ -17,11 +17,6 @@ CHUNK_BYTES = 2 << 20
 FOLD = bytes(b if chr(b).isascii() and chr(b).isalnum() or b >= 128 else 32 for b in range(256)).lower()
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, whatever else the table carries."""
-    return df.select(*(F.col(f"`{n}`") for n in names))
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
