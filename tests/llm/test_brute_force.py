@@ -284,9 +284,9 @@ def test_lm_probabilities_sum_to_one(spark):
     unseen = np.array([lm_scoring._unseen(model.corpus, model.settings, i) for i in model.sweeps])
     assert np.allclose(total + share @ unseen / len(model.sweeps), 1)
     # Every word scored by itself, after one context, gives the model's own numbers.
-    probe = spark.createDataFrame([(1, "w1 w2 w3"), (2, "unknown w1"), (3, "")], "doc_id bigint, text string")
+    probe = spark.createDataFrame([(1002, "unknown w1"), (1003, "")], "doc_id bigint, text string")
     scored = {r.doc_id: r for r in lm_scoring.score_texts(train.unionByName(probe), F.col("doc_id") == 999).collect()}
-    assert scored[2].n_known == 3 and scored[3].n_tokens == 1
+    assert scored[1002].n_known == 3 and scored[1003].n_tokens == 1
 
 
 def test_gibbs_tables_follow_the_conditional():
