@@ -1,16 +1,18 @@
-"""Near-duplicate documents by SimHash fingerprints, compared at the anchor points of a covering code."""
+"""Near-duplicate documents: by SimHash fingerprints, compared at the anchor points of a covering code, or by the similarity of their word shingles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, components, local_forest, settle, shuffle_width
+from .common import WordHasher, binary, components, local_forest, mix64, settle, shuffle_width, text_chunks, whitespace_words, word_spans
 
 #: Differing bits up to which fingerprints link.
 THRESHOLD = 4
@@ -20,6 +22,13 @@ PART_ROWS = 4096
 STEP_PAIRS = 2_000_000
 #: (first bit, bits after the first 15) of the blocks. Of 4 differing bits in 3 blocks, one block has at most 1.
 BLOCKS = ((0, 6), (21, 6), (42, 7))
+#: Words of a shingle and Jaccard similarity of two documents' shingles from which on they link by similarity.
+WIDTH, SIMILARITY = 5, 0.8
+#: Minima of a band, and the chance that a pair of just the least similarity shares no band.
+BAND_ROWS, MISS = 6, 1e-4
+#: Rounds in which a band's members meet one of them, before all that are still apart meet.
+STAR_ROUNDS = 2
+_WORDS = whitespace_words()
 
 
 def fingerprint(raw: bytes, width: int = 4, seed: int = 42, step: int = 1 << 20) -> int:
@@ -189,11 +198,164 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc
     )
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller key: one document of each group stays, all columns kept.
+def shingle_sets(chunk: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of each text's shingles of ``width`` words, in order, one text after the other, and how many each text has. Words as in
+    ``fingerprint``; fewer words are one shingle, no words none."""
+    buffer, starts, ends, text = word_spans([b" ".join(t.lower().split()) for t in chunk], _WORDS)
+    counts = np.bincount(text, minlength=len(chunk))
+    shingles = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+    first = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(chunk)), shingles)
+    at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
+    last = np.minimum(at + width, (first + counts)[owner]) - 1
+    hashes = WordHasher().hashes(buffer, starts[at], ends[last])
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
+    return hashes[new], np.bincount(owner[new], minlength=len(chunk))
+
+
+def set_ids(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each set of hashes, the same for equal sets."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix64(hashes), out=sums[1:])
+    ends = np.cumsum(sizes)
+    return mix64(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
+
+
+def band_count(least: float) -> int:
+    """Bands of which a pair of similarity ``least`` shares one except with chance ``MISS``."""
+    return 1 if least >= 1 else math.ceil(math.log(MISS) / math.log1p(-(least**BAND_ROWS)))
+
+
+def band_keys(hashes: np.ndarray, sizes: np.ndarray, bands: int) -> np.ndarray:
+    """Sets with members x bands: a hash of the band's number and of ``BAND_ROWS`` minima of the set, each under a hash function of its own."""
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    factors = mix64(np.arange(1, 2 * bands * BAND_ROWS + 1, dtype=np.uint64)).reshape(-1, 2)
+    out = np.empty((len(starts), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for flip, factor in factors[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+            key = mix64(key ^ np.minimum.reduceat((hashes ^ flip) * (factor | np.uint64(1)), starts)) if len(starts) else key
+        out[:, band] = key
+    return out.view(np.int64)
+
+
+def _sketches(bands: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for chunk in text_chunks(batch.column("text")):
+                hashes, sizes = shingle_sets(chunk, width)
+                keys = band_keys(hashes, sizes, bands)
+                bounds = np.append(0, np.cumsum(np.where(sizes > 0, bands, 0))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))
+                columns = [batch.column("key").slice(at, len(chunk)), pa.array(set_ids(hashes, sizes)), pa.array(sizes.astype(np.int64)), lists]
+                at += len(chunk)
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "bands"])
+
+    return run
+
+
+def _packed_texts(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for chunk in text_chunks(batch.column("text")):
+                ids = set_ids(*shingle_sets(chunk, width))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([press.compress(t) for t in chunk], pa.binary())], names=["id", "packed"])
+
+    return run
+
+
+def _similar(least: float, width: int):
+    """Pairs (a, b, packed text of either) that are similar enough; each text of a batch is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            for at in range(0, len(a), 512):
+                part = batch.slice(at, 512)
+                texts: dict[int, int] = {}
+                raw = []
+                for name, packed in (("a", "of_a"), ("b", "of_b")):
+                    for i, value in zip(part.column(name).to_pylist(), part.column(packed), strict=True):
+                        if i not in texts:
+                            texts[i] = len(raw)
+                            raw.append(unpack.decompress(value.as_py()))
+                sets = []
+                for chunk in text_chunks(pa.array(raw, pa.binary())):
+                    hashes, sizes = shingle_sets(chunk, width)
+                    sets += np.split(hashes, np.cumsum(sizes)[:-1])
+                hit = []
+                for x, y in zip(a[at : at + 512].tolist(), b[at : at + 512].tolist(), strict=True):
+                    one, two = sets[texts[x]], sets[texts[y]]
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    hit.append(both / (len(one) + len(two) - both) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 512][hit]), pa.array(b[at : at + 512][hit])], names=["a", "b"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, set_id, component_id) for every row of ``docs``: the smallest key among all rows that links reach, the row itself included. Two rows link
+    if the Jaccard similarity of their distinct shingles of ``width`` words is ``least`` or more.
+
+    Pairs that share a band of minima are compared by all their shingles, so no link is wrong; a pair at ``least`` shares no band with chance ``MISS``, a
+    more similar one with less. Equal sets are one node. Members of a band first meet one of them, and after ``STAR_ROUNDS`` all those of the band that
+    are still in different components meet, so a group of n near copies gives about n comparisons a band and not all pairs. What is
+    compared is the compressed text, of documents that share a band only. Texts without words are alike; keys as in ``near_duplicates``.
+    """
+    body = docs.select(F.col(f"`{key}`").alias("key"), binary(text).alias("text"))
+    kind = body.schema["key"].dataType.simpleString()
+    rows = settle(body.mapInArrow(_sketches(band_count(least), width), f"key {kind}, id bigint, size bigint, bands array<bigint>"), "sketches")
+    held = rows.select(F.explode("bands").alias("band"), "id", "size").distinct()
+    held = settle(held, "bands")
+    shared = held.groupBy("band").count().where("count > 1").select(F.col("band").alias("of"))
+    members = settle(held.join(shared, F.col("band") == F.col("of")).select("band", "id", "size"), "members")
+    met = members.select(F.col("id").alias("of")).distinct()
+    texts = body.select("text").mapInArrow(_packed_texts(width), "id bigint, packed binary").groupBy("id").agg(F.first("packed").alias("packed"))
+    texts = settle(texts.join(met, F.col("id") == F.col("of"), "left_semi"), "texts")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        near = F.least("of_size", "size") >= F.lit(least) * F.greatest("of_size", "size")
+        pairs = pairs.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        for side in ("b", "a"):
+            pairs = pairs.join(texts.select(F.col("id").alias("of"), F.col("packed").alias(f"of_{side}")), F.col(side) == F.col("of")).drop("of")
+        return settle(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_similar(least, width), "a bigint, b bigint"), "similar")
+
+    links, apart = None, members.withColumn("root", F.col("id"))
+    for turn in range(STAR_ROUNDS + 1):
+        if turn < STAR_ROUNDS:
+            # Another member of the band each time; those of its own component need not meet it.
+            hubs = apart.groupBy("band").agg(F.min_by(F.struct("id", "size", "root"), F.xxhash64("id", F.lit(turn))).alias("hub"))
+            hubs = hubs.select(F.col("band").alias("of"), F.col("hub.id").alias("hub"), F.col("hub.size").alias("of_size"), F.col("hub.root").alias("of_root"))
+            pairs = apart.join(hubs, F.col("band") == F.col("of")).where("root != of_root")
+        else:
+            other = apart.select(F.col("band").alias("of"), F.col("id").alias("hub"), F.col("size").alias("of_size"), F.col("root").alias("of_root"))
+            pairs = apart.join(other, (F.col("band") == F.col("of")) & (F.col("hub") < F.col("id")) & (F.col("root") != F.col("of_root")))
+        found = links_of(pairs)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        if turn < STAR_ROUNDS:
+            rooted = members.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "size", F.coalesce("root", "id").alias("root"))
+            rooted = settle(rooted, "rooted-members")
+            open_bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("band").alias("of"))
+            apart = settle(rooted.join(open_bands, F.col("band") == F.col("of")).drop("of"), "apart")
+    nodes = rows.groupBy("id").agg(F.min("key").alias("low")).join(roots, F.col("id") == F.col("node"), "left")
+    nodes = settle(nodes.select("id", "low", F.coalesce("root", "id").alias("root")), "rooted")
+    low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    found = nodes.join(low, "root").select(F.col("id").alias("of"), "component_id")
+    return rows.join(found, F.col("id") == F.col("of")).select(F.col("key").alias(key), F.col("id").alias("set_id"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller key: one document of each group stays, all columns kept. Links are those of
+    ``near_duplicates``, or with ``similarity`` those of ``similar_documents``.
 
     Rows that share a key are one document. Rows without key stay. The rows to go are the smaller side of the join.
     """
-    found = near_duplicates(docs, threshold, key, text)
+    found = near_duplicates(docs, threshold, key, text) if similarity is None else similar_documents(docs, similarity, key=key, text=text)
     gone = settle(found.where(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs[f"`{key}`"] == F.col("__gone"), "left_anti")

@@ -198,6 +198,31 @@ def test_drop_near_duplicates_keeps_one(spark):
     assert sorted(str(r.doc_id) for r in near_dedup.drop_near_duplicates(docs).collect()) == ["1", "2", "None"]
 
 
+def five_word_sets(texts):
+    split = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def test_similar_documents_link_all_near_copies(spark):
+    """Edited copies at five-word similarity 0.8 or more are found, far beyond 4 bits, in a large group too; less similar ones are not linked."""
+    rng = random.Random(5)
+    texts = ["", None, " \n", "short text", "Short  TEXT", "short texts"]
+    for edits in (1, 3, 5, 8, 12, 20):
+        base = [f"v{rng.randrange(3000)}" for _ in range(300)]
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.sample(range(300), edits):
+                copy[at] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+    sets = five_word_sets(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = roots(len(texts), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_documents(docs).collect()} == dict(enumerate(root))
+    kept = sorted(r.doc_id for r in near_dedup.drop_near_duplicates(docs, similarity=0.8).collect())
+    assert kept == [i for i, r in enumerate(root) if r == i] and len(kept) < near_dedup.drop_near_duplicates(docs).count()
+
+
 def test_language_on_held_out_rows(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     got = [r for r in QUERIES["op4_language"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
