@@ -94,6 +94,7 @@ class Template:
     words: list[int]
     pairs: np.ndarray  # codes of neighbouring words, in order of code
     places: np.ndarray  # where each pair stands first
+    once: np.ndarray  # whether it stands there only
 
 
 class LicenseScanner:
@@ -108,12 +109,12 @@ class LicenseScanner:
         self.base = len(self.vocabulary) + 1
         for name, words in found:
             ids = np.array(words, np.int64)
-            pairs, places = np.unique(ids[:-1] * self.base + ids[1:], return_index=True)
-            self.templates.append(Template(name, words, pairs, places))
+            pairs, places, counts = np.unique(ids[:-1] * self.base + ids[1:], return_index=True, return_counts=True)
+            self.templates.append(Template(name, words, pairs, places, counts == 1))
 
     def regions(self, t: Template, codes: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int]]:
         """Texts and word ranges that may hold the template: runs of its pairs in rising template order, close together and of one text, widened by what
-        the template has before and after them."""
+        the template has before and after them. Pairs that the template repeats cut such runs, so where it has any, ``diagonals`` are added."""
         at = np.flatnonzero(np.isin(codes, t.pairs))
         if not len(at):
             return []
@@ -125,6 +126,27 @@ class LicenseScanner:
             if len(part) >= max(1, LEAST_PAIRS * len(t.pairs)):
                 low, high = int(at[part[0]] - place[part[0]]), int(at[part[-1]] + reach - place[part[-1]])
                 out.append((int(owner[at[part[0]]]), low - 2, high + 2))
+        return out if t.once.all() else list(dict.fromkeys(out + self.diagonals(t, codes, at, owner)))
+
+    def diagonals(self, t: Template, codes: np.ndarray, at: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int]]:
+        """As ``regions``, from pairs that the template has once: those of one copy begin the template at about the same word of the text, whatever is
+        repeated between them. Starts are counted in bins of an eighth of the template, and neighbouring full bins are one place."""
+        at = at[np.isin(codes[at], t.pairs[t.once])]
+        place = t.places[np.searchsorted(t.pairs, codes[at])]
+        reach, least = len(t.words), max(1, LEAST_PAIRS * t.once.sum())
+        # Texts lie end to end; starts before their text stay nearer to it than a template's length.
+        bins = (at - place + reach) // max(1, reach // 8) + owner[at] * (2 * reach // max(1, reach // 8) + 2)
+        order = np.argsort(bins, kind="stable")
+        at, place = at[order], place[order]
+        values, first, counts = np.unique(bins[order], return_index=True, return_counts=True)
+        beside = np.where(np.diff(values, append=-1) == 1, np.append(counts[1:], 0), 0)
+        before = np.where(np.diff(values, prepend=-2) == 1, np.append(0, counts[:-1]), 0)
+        full = np.flatnonzero(np.maximum(beside, before) + counts >= least)
+        out = []
+        for run in np.split(full, np.flatnonzero(np.diff(values[full]) > 1) + 1) if len(full) else []:
+            own = slice(first[run[0]], first[run[-1]] + counts[run[-1]])
+            low, high = int((at[own] - place[own]).min()), int((at[own] - place[own]).max()) + reach
+            out.append((int(owner[at[own][0]]), low - 2, high + 2))
         return out
 
     def scan(self, chunk: list[bytes]) -> list[dict]:
@@ -166,8 +188,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, least: fl
     """The table with a struct column: every place of a whole text that covers ``least`` of a template's words, and the best of them.
 
     ``templates`` has (name, text); ``NOTICES`` if not given. Words are compared with A-Z lower-cased, whatever stands between them. A place is found by
-    neighbouring word pairs of the template in rising order, at least a fifth of all, then aligned; repeated notices are places of their
-    own. start and end are bytes of the UTF-8 text. Templates go to every task after a check of their size, so documents are neither
+    neighbouring word pairs of the template in rising order, or of those it has once by the start they imply, at least a fifth, then aligned;
+    repeated notices are places of their own. start and end are bytes of the UTF-8 text. Templates go to every task after a check of their size, so documents are neither
     shuffled nor joined.
 
     Null or empty text: no match, license null, coverage 0. Templates that are null or have fewer than two words match nothing. Ties go to the

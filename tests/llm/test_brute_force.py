@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -279,6 +280,19 @@ def test_licenses_of_the_table(spark):
         assert r.n_matches == sum(texts[r.doc_id].count(t) for _, t in license_scan.NOTICES[:4])
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-3", "MPL-2.0"])
+def test_long_license_texts(name):
+    """Whole licences, which repeat many word pairs, are found word for word, twice in a row, and lightly edited."""
+    rng = random.Random(2)
+    text = Path(f"/usr/share/common-licenses/{name}").read_bytes()
+    edited = [w for w in text.split() if rng.random() > 0.03]
+    scanner = license_scan.LicenseScanner([(name, text)], 0.8)
+    chunk = [words(rng, 500).encode() + b" " + text, text + b"\n" + text, b" ".join(edited), words(rng, 5000).encode()]
+    got = scanner.scan(chunk)
+    assert [r["n_matches"] for r in got] == [1, 2, 1, 0]
+    assert got[0]["coverage"] == 1 and [m["coverage"] > 0.99 for m in got[1]["matches"]] == [True, True] and got[2]["coverage"] > 0.9
+
+
 def test_lm_contract(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     tokens = {d.doc_id: [*(d.text or "").encode().lower().split(), None] for d in docs}
