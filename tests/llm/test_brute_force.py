@@ -293,6 +293,18 @@ def test_long_license_texts(name):
     assert got[0]["coverage"] == 1 and [m["coverage"] > 0.99 for m in got[1]["matches"]] == [True, True] and got[2]["coverage"] > 0.9
 
 
+def test_lm_scores_of_a_table_united_with_itself(spark):
+    """Equal chunks keep all their rows and score like rows of one chunk."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, words(rng, 30)) for i in range(20)], "doc_id bigint, text string")
+    docs = docs.unionByName(docs)
+    score = lambda d: sorted(tuple(r) for r in lm_scoring.score_texts(d, F.col("doc_id") % 5 == 0).collect())
+    apart, together = score(docs), score(docs.coalesce(1))
+    assert len(apart) == len(together) == 40
+    for a, b in zip(apart, together, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
 def test_lm_contract(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     tokens = {d.doc_id: [*(d.text or "").encode().lower().split(), None] for d in docs}
