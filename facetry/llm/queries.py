@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_id, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, vector_search
+from . import collocations, decontaminate, language_id, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality, secret_scan, sharding, spelling, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -228,3 +228,93 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document, learned from those whose remainder is not 0."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
+@query("op11_secrets")
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: patterns, and strings that a compressor primed with the corpus' words cannot shorten."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan_secrets(docs.select("doc_id", "text"), secret_scan.identifier_dictionary(docs))
+    spans = F.col("secret_scan.spans")
+    counts = [secret_scan.count_kind(spans, kind).alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    base = F.sha2(secret_scan.joined_spans(spans, secret_scan.KINDS[:3]).cast("binary"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.joined_spans(spans, secret_scan.KINDS).alias("spans"))
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS r, 0 AS k FROM range(256) AS x(i)
+  UNION ALL SELECT i, CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(r ORDER BY i) AS tab FROM bits WHERE k = 8
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, 'null') AS doc, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), lowered AS (
+  SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), coded AS (
+  SELECT run, c, string_split(regexp_replace(hex(encode(doc || ':' || run)), '(..)', '\1,', 'g'), ',')[:octet_length(encode(doc || ':' || run))] AS codes FROM lowered
+), hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(codes, lambda h: ('0x' || h)::BIGINT)),
+      lambda acc, b: xor(acc >> 8, tab[(xor(acc, b) & 255) + 1])), 4294967295)::BIGINT AS h FROM coded, crc
+), noisy AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), shorter AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), steps AS (
+  SELECT word, form, word AS at FROM forms UNION ALL SELECT s.word, f.form, f.word FROM steps s JOIN forms f ON f.word = s.form
+)
+SELECT f.word, f.n, f.n_near::BIGINT AS n_near, f.form, f.form_n, s.at AS root FROM forms f JOIN steps s ON f.word = s.word WHERE s.form IS NULL
+"""
+
+
+@query("op12_spelling", SPELLING_SQL)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, with the form and the root of each."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM worded, range(1, 6) AS r(k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(generate_series(1, k - 1)) AS cut FROM counts WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM counts c WHERE c.lang = b.lang AND c.k > len(string_split(b.phrase, ' ')) AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of two to five words of each language, from all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
