@@ -19,8 +19,8 @@ DICTIONARY_WORDS, LEAST_TEXTS = 4096, 5
 #: Bytes before and after a candidate that count as the code around it, and bytes after a sensitive word in which a candidate must begin.
 AROUND, REACH = 512, 64
 #: A candidate is novel from this many marginal bytes per byte of it, and this many marginal bytes, on.
-LEAST_RATIO, LEAST_BYTES = 0.75, 8
-LEVEL = 3
+LEAST_RATIO, LEAST_BYTES = 0.7, 8
+LEVEL = 9
 
 # The patterns of the base kinds, least lengths, and words that make a context sensitive.
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
