@@ -11,14 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, binary, mix64, settle, text_chunks, word_spans
+from .common import WordHasher, binary, bit_filter, filter_holds, mix64, settle, text_chunks, word_spans
 
 #: Words of an edge (the longest phrase), occurrences of a phrase, and phrases reported of each language.
 WIDTH, LEAST, TOP = 5, 100, 2000
-#: log2 of the bits of the filter that leaves rare pairs out. Its size does not depend on the data.
+#: log2 of the bits of the filter that leaves rare pairs and triples out. Its size does not depend on the data.
 FILTER_BITS = 27
 #: Doublings of the search for the start of an unary path: paths of up to 2 ** PATH_DOUBLINGS edges are one row, longer ones several.
 PATH_DOUBLINGS = 4
+#: Tasks that the phrases of one language are dealt to where they meet its number of words.
+SPREAD = 64
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +36,7 @@ _WORDS, _ENDS = _tables()
 
 
 class _Pieces:
-    """Words of several texts laid end to end: their bytes, whether the next word follows in the same piece, and keys of words and of pairs."""
+    """Words of several texts laid end to end: their bytes, whether the next word follows in the same piece, and keys of words, pairs and triples."""
 
     def __init__(self, chunk: list[bytes], langs: list[str], hasher: WordHasher) -> None:
         self.buffer, self.starts, self.ends, self.text = word_spans([t.lower() for t in chunk], _WORDS)
@@ -46,6 +48,7 @@ class _Pieces:
         own = salts[self.text] if len(words) else words
         self.words = mix64(words ^ own)
         self.pairs = mix64(self.words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+        self.triples = mix64(self.pairs[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[2:])
 
 
 def _languages(batch: pa.RecordBatch, at: int, n: int) -> list[str]:
@@ -60,42 +63,57 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batch.column("text")):
             p = _Pieces(chunk, _languages(batch, at, len(chunk)), hasher)
             at += len(chunk)
-            keys, n = np.unique(np.concatenate([p.words, p.pairs[p.follows[:-1]]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            yield _counted(np.concatenate([p.words, p.pairs[p.follows[:-1]]]))
 
 
-def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Two bits of a filter for every key."""
-    mask = np.uint64((1 << bits) - 1)
-    return [keys & mask, (keys >> np.uint64(64 - bits)) & mask]
+def _counted(keys: np.ndarray) -> pa.RecordBatch:
+    keys, n = np.unique(keys, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
-def frequent_keys(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of the words and pairs that occur at least ``least`` times, as 64-bit words of ``2 ** bits`` bits.
+def _count_triples(shared, bits: int):
+    """(key, n) of the triples whose pairs the filter lets pass, summed over a chunk of texts."""
 
-    All occurrences are counted. The filter has one size at any number of keys; where it fills up, it lets more rare pairs pass, which costs edges and never
-    a phrase. What reaches the driver are its words that are not zero.
-    """
-    kept = docs.mapInArrow(_count_keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    mask = F.lit((1 << bits) - 1)
-    places = F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 64 - bits).bitwiseAND(mask)))
-    words = kept.select(places.alias("place")).select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
-    words = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
-    filled = np.zeros(1 << (bits - 6), np.uint64)
-    filled[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
-    return filled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            at = 0
+            for chunk in text_chunks(batch.column("text")):
+                p = _Pieces(chunk, _languages(batch, at, len(chunk)), hasher)
+                at += len(chunk)
+                joins = _joins(p, shared.value, bits)
+                yield _counted(p.triples[joins[:-2] & joins[1:-1]])
+
+    return run
+
+
+def _joins(p: _Pieces, filled: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each word and the next are a pair of one piece that the filter lets pass."""
+    where = np.flatnonzero(p.follows)
+    joins = np.zeros(len(p.follows), bool)
+    joins[where] = filter_holds(filled, p.pairs[where], bits)
+    return joins
+
+
+def _filter_of(counted: DataFrame, least: int, bits: int) -> np.ndarray:
+    kept = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return bit_filter(kept.select("key"), bits)
 
 
-def _holds(filled: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for place in _places(keys, bits):
-        out &= (filled[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
-    return out
+def frequent_keys(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of the words, pairs and triples that occur at least ``least`` times, as 64-bit words of ``2 ** bits`` bits.
+
+    All occurrences are counted, of triples those whose pairs passed. The filter has one size at any number of keys; where it fills up, it lets
+    more that is rare pass, which costs edges and never a phrase.
+    """
+    filled = _filter_of(docs.mapInArrow(_count_keys, "key bigint, n bigint"), least, bits)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    return filled | _filter_of(docs.mapInArrow(_count_triples(shared, bits), "key bigint, n bigint"), least, bits)
 
 
 def _edges(filled, bits: int, width: int):
-    """(lang, gram, k, n): for every word the gram of ``width`` words that begins there, or what is left of it before its piece ends or a rare pair; words that
-    stand alone and are rare give none. ``k`` = 0: all words of a language. Summed over a chunk of texts."""
+    """(lang, gram, k, n): for every word the gram of ``width`` words that begins there, or what is left of it before its piece ends or a rare pair or
+    triple; words that stand alone and are rare give none. ``k`` = 0: all words of a language. Summed over a chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -106,20 +124,25 @@ def _edges(filled, bits: int, width: int):
                 at += len(chunk)
                 p = _Pieces(chunk, langs, hasher)
                 n = len(p.starts)
-                joins = np.zeros(n, bool)
-                joins[:-1] = p.follows[:-1]
-                where = np.flatnonzero(joins)
-                joins[where] = _holds(filled.value, p.pairs[where], bits)
-                last = np.flatnonzero(~joins)  # the word where a segment ends, for each word
-                end = last[np.searchsorted(last, np.arange(n))] if n else last
-                length = np.minimum(end - np.arange(n) + 1, width)
-                starting = np.flatnonzero((length > 1) | _holds(filled.value, p.words, bits))
+                joins = _joins(p, filled.value, bits)
+                goes_on = np.zeros(n, bool)
+                two = np.flatnonzero(joins[:-1] & joins[1:])
+                goes_on[two] = filter_holds(filled.value, p.triples[two], bits)
+                halts = np.flatnonzero(~goes_on)
+                steps = halts[np.searchsorted(halts, np.arange(n))] - np.arange(n) if n else halts  # triples in a row
+                length = np.where(joins, 2 + np.minimum(steps, width - 2), 1)
                 raw = p.buffer.tobytes()
-                words = [raw[s:e] for s, e in zip(p.starts.tolist(), p.ends.tolist(), strict=True)]
-                counts: Counter[tuple[str, bytes, int]] = Counter(
-                    (langs[t], words[i] if k == 1 else b" ".join(words[i : i + k]), k)
-                    for t, i, k in zip(p.text[starting].tolist(), starting.tolist(), length[starting].tolist(), strict=True)
-                )
+                single = np.flatnonzero(~joins)
+                _, first, some = np.unique(p.words[single], return_index=True, return_counts=True)  # by hash, within a chunk of texts
+                first = single[first]
+                known = filter_holds(filled.value, p.words[first], bits)
+                counts: Counter[tuple[str, bytes, int]] = Counter()
+                for i, c in zip(first[known].tolist(), some[known].tolist(), strict=True):
+                    counts[langs[p.text[i]], raw[p.starts[i] : p.ends[i]], 1] += c
+                several = np.flatnonzero(joins)
+                starts, ends = p.starts.tolist(), p.ends.tolist()
+                for i, k, t in zip(several.tolist(), length[several].tolist(), p.text[several].tolist(), strict=True):
+                    counts[langs[t], b" ".join([raw[starts[j] : ends[j]] for j in range(i, i + k)]), k] += 1
                 totals: Counter[str] = Counter()
                 for t, some in enumerate(np.bincount(p.text, minlength=len(chunk)).tolist()):
                     totals[langs[t]] += some
@@ -169,8 +192,8 @@ def phrase_graph(docs: DataFrame, lang: str = "lang", text: str = "text", width:
     """The graph of all phrases of up to ``width`` words as three tables: ``paths`` (lang, words, n), the edges with their unary paths compacted;
     ``ends`` (lang, gram, k, n), the shorter grams with which pieces end; ``totals`` (lang, n), the words of each language.
 
-    Every word begins one gram: ``width`` words, or fewer where its piece ends. Pieces are cut at pairs of words that occur fewer than ``least``
-    times, for no phrase that occurs so often holds one; the counts of all phrases without a rare pair stay as they are.
+    Every word begins one gram: ``width`` words, or fewer where its piece ends. Grams end before a pair or triple of words that occurs fewer than ``least``
+    times, for no phrase that occurs so often holds one; the counts of all phrases without a rare pair or triple stay as they are.
     """
     body = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), binary(text).alias("text"))
     filled = frequent_keys(body, least, bits)
@@ -209,8 +232,9 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", width:
     for side, name in (("left", "l"), ("right", "r")):
         parts = counts.select(F.col("lang").alias("of"), F.col("phrase").alias("part"), F.col("a").alias(name))
         cuts = cuts.join(parts, (F.col("lang") == F.col("of")) & (F.col(side) == F.col("part"))).drop("of", "part")
-    totals = totals.select(F.col("lang").alias("of"), "n")
-    cuts = cuts.join(totals, F.col("lang") == F.col("of")).drop("of")
+    spread = F.sequence(F.lit(0), F.lit(SPREAD - 1))  # a language's phrases meet its total in as many tasks
+    totals = totals.select(F.col("lang").alias("of"), "n", F.explode(spread).alias("in"))
+    cuts = cuts.join(totals, (F.col("lang") == F.col("of")) & (F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)) == F.col("in"))).drop("of", "in")
     exact = lambda name: F.col(name).cast("decimal(16,0)")
     cuts = cuts.withColumn("above", exact("a") * F.lit(1000).cast("decimal(4,0)") * exact("n")).withColumn("below", exact("l") * exact("r"))
     cuts = cuts.withColumn("score", F.expr("above div below"))

@@ -104,6 +104,34 @@ def whitespace_words() -> np.ndarray:
     return table
 
 
+def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of a table's column ``key`` (64-bit hashes) as 64-bit words of ``2 ** bits`` bits, one size at any number of keys. The driver gets those
+    of its words that are not zero."""
+    mask = F.lit((1 << bits) - 1)
+    places = F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 64 - bits).bitwiseAND(mask)))
+    words = keys.select(places.alias("place")).select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+    filled = np.zeros(1 << (bits - 6), np.uint64)
+    filled[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    return filled
+
+
+def filter_holds(filled: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which of some unsigned keys a filter lets pass: all that it was made of, and few others while it is sparse."""
+    out = np.ones(len(keys), bool)
+    for place in (keys & np.uint64((1 << bits) - 1), keys >> np.uint64(64 - bits)):
+        out &= (filled[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+    return out
+
+
+def fresh_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores added until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def local_forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``size`` nodes over the links a-b."""
     label = np.arange(size)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, unit_uniform
+from .common import fresh_name, settle, unit_uniform
 
 #: Rows that share a bucket of keys; only one bucket of each source is sorted.
 BUCKET_ROWS = 20_000
@@ -119,8 +119,9 @@ def repeat_documents(docs: DataFrame, mix: DataFrame, key: str = "doc_id", size:
 
     Rows that share a key take that key's copies in turn of no particular order: the copies of a key are dealt to its distinct rows evenly.
     """
-    per_key = mix.groupBy(F.col(f"`{key}`").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    of, copies, rows, take = (fresh_name(docs, name) for name in ("of_key", "copies_of", "rows_of", "take_no"))
+    per_key = mix.groupBy(F.col(f"`{key}`").alias(of)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(per_key, F.col(f"`{key}`").eqNullSafe(F.col("__key"))).where(F.col("__copies") > 0)
-    times = F.ceil(F.col("__copies") / F.col("__rows")).cast("int")
-    return joined.withColumn("__take", F.explode(F.sequence(F.lit(1), times))).select(*names)
+    joined = docs.join(per_key, F.col(f"`{key}`").eqNullSafe(F.col(of))).where(F.col(copies) > 0)
+    times = F.ceil(F.col(copies) / F.col(rows)).cast("int")
+    return joined.withColumn(take, F.explode(F.sequence(F.lit(1), times))).select(*names)

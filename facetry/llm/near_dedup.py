@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, binary, components, local_forest, mix64, settle, shuffle_width, text_chunks, whitespace_words, word_spans
+from .common import WordHasher, binary, bit_filter, components, filter_holds, fresh_name, local_forest, mix64, settle, shuffle_width, text_chunks, whitespace_words, word_spans
 
 #: Differing bits up to which fingerprints link.
 THRESHOLD = 4
@@ -26,8 +26,10 @@ BLOCKS = ((0, 6), (21, 6), (42, 7))
 WIDTH, SIMILARITY = 5, 0.8
 #: Minima of a band, and the chance that a pair of just the least similarity shares no band.
 BAND_ROWS, MISS = 6, 1e-4
-#: Rounds in which a band's members meet one of them, before all that are still apart meet.
-STAR_ROUNDS = 2
+#: Most central members of a band that the others meet, round by round, before all that are still apart meet.
+STAR_HUBS = (1, 8)
+#: log2 of the bits of the filter by which texts that share no band are left out before they are shuffled.
+TEXT_FILTER_BITS = 26
 _WORDS = whitespace_words()
 
 
@@ -257,13 +259,16 @@ def _sketches(bands: int, width: int):
     return run
 
 
-def _packed_texts(width: int):
+def _packed_texts(width: int, wanted):
+    """(id, compressed text) of the texts whose id the filter lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 ids = set_ids(*shingle_sets(chunk, width))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([press.compress(t) for t in chunk], pa.binary())], names=["id", "packed"])
+                asked = np.flatnonzero(filter_holds(wanted.value, ids.view(np.uint64), TEXT_FILTER_BITS))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[asked]), pa.array([press.compress(chunk[i]) for i in asked], pa.binary())], names=["id", "packed"])
 
     return run
 
@@ -303,20 +308,25 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, width: int = W
     if the Jaccard similarity of their distinct shingles of ``width`` words is ``least`` or more.
 
     Pairs that share a band of minima are compared by all their shingles, so no link is wrong; a pair at ``least`` shares no band with chance ``MISS``, a
-    more similar one with less. Equal sets are one node. Members of a band first meet one of them, and after ``STAR_ROUNDS`` all those of the band that
-    are still in different components meet, so a group of n near copies gives about n comparisons a band and not all pairs. What is
-    compared is the compressed text, of documents that share a band only. Texts without words are alike; keys as in ``near_duplicates``.
+    more similar one with less. Equal sets are one node. Members of a band first meet its most central one (whose bands hold the most members), those
+    that are in another component then the eight most central ones, and at last all those of the band that are still in different
+    components meet, each pair in one of their bands. A group of n near copies about a centre gives about n comparisons; what remains is the
+    number of those that no centre reaches times the members of their bands. What is compared is the compressed text, of documents that
+    share a band only; the others are left out before texts are shuffled. Texts without words are alike; keys as in ``near_duplicates``. An
+    empty table gives an empty result; repeated rows are rows of their own; other columns are not looked at.
     """
     body = docs.select(F.col(f"`{key}`").alias("key"), binary(text).alias("text"))
     kind = body.schema["key"].dataType.simpleString()
     rows = settle(body.mapInArrow(_sketches(band_count(least), width), f"key {kind}, id bigint, size bigint, bands array<bigint>"), "sketches")
     held = rows.select(F.explode("bands").alias("band"), "id", "size").distinct()
     held = settle(held, "bands")
-    shared = held.groupBy("band").count().where("count > 1").select(F.col("band").alias("of"))
-    members = settle(held.join(shared, F.col("band") == F.col("of")).select("band", "id", "size"), "members")
-    met = members.select(F.col("id").alias("of")).distinct()
-    texts = body.select("text").mapInArrow(_packed_texts(width), "id bigint, packed binary").groupBy("id").agg(F.first("packed").alias("packed"))
-    texts = settle(texts.join(met, F.col("id") == F.col("of"), "left_semi"), "texts")
+    shared = held.groupBy("band").count().where("count > 1").select(F.col("band").alias("of"), "count")
+    members = settle(held.join(shared, F.col("band") == F.col("of")).select("band", "id", "size", "count"), "members")
+    central = members.groupBy("id").agg(F.sum("count").alias("mates"))
+    members = settle(members.join(central.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("band", "id", "size", "mates"), "members")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(central.select(F.col("id").alias("key")), TEXT_FILTER_BITS))
+    texts = body.select("text").mapInArrow(_packed_texts(width, wanted), "id bigint, packed binary").groupBy("id").agg(F.first("packed").alias("packed"))
+    texts = settle(texts.join(central.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi"), "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         near = F.least("of_size", "size") >= F.lit(least) * F.greatest("of_size", "size")
@@ -325,24 +335,30 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, width: int = W
             pairs = pairs.join(texts.select(F.col("id").alias("of"), F.col("packed").alias(f"of_{side}")), F.col(side) == F.col("of")).drop("of")
         return settle(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_similar(least, width), "a bigint, b bigint"), "similar")
 
-    links, apart = None, members.withColumn("root", F.col("id"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            # Another member of the band each time; those of its own component need not meet it.
-            hubs = apart.groupBy("band").agg(F.min_by(F.struct("id", "size", "root"), F.xxhash64("id", F.lit(turn))).alias("hub"))
-            hubs = hubs.select(F.col("band").alias("of"), F.col("hub.id").alias("hub"), F.col("hub.size").alias("of_size"), F.col("hub.root").alias("of_root"))
-            pairs = apart.join(hubs, F.col("band") == F.col("of")).where("root != of_root")
+    def as_hubs(side: DataFrame, *more: Column) -> DataFrame:
+        return side.select(F.col("band").alias("of"), F.col("id").alias("hub"), F.col("size").alias("of_size"), F.col("root").alias("of_root"), *more)
+
+    links, roots, apart = None, None, members.withColumn("root", F.col("id"))
+    same_band, other_root = F.col("band") == F.col("of"), F.col("root") != F.col("of_root")
+    for hubs in (*STAR_HUBS, None):
+        if hubs is not None:
+            order = Window.partitionBy("band").orderBy(F.desc("mates"), "id")
+            best = apart.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs)
+            pairs = apart.join(as_hubs(best), same_band & other_root)
         else:
-            other = apart.select(F.col("band").alias("of"), F.col("id").alias("hub"), F.col("size").alias("of_size"), F.col("root").alias("of_root"))
-            pairs = apart.join(other, (F.col("band") == F.col("of")) & (F.col("hub") < F.col("id")) & (F.col("root") != F.col("of_root")))
+            # A pair meets in the first of the bands that it shares.
+            bands = apart.groupBy(F.col("id").alias("owner")).agg(F.collect_set("band").alias("all"))
+            apart = settle(apart.join(bands, F.col("id") == F.col("owner")).drop("owner"), "apart")
+            once = F.array_min(F.array_intersect("all", "of_all")) == F.col("band")
+            pairs = apart.join(as_hubs(apart, F.col("all").alias("of_all")), same_band & other_root & (F.col("hub") < F.col("id")) & once)
         found = links_of(pairs)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-        if turn < STAR_ROUNDS:
-            rooted = members.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "size", F.coalesce("root", "id").alias("root"))
+        if hubs is not None:
+            rooted = members.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "size", "mates", F.coalesce("root", "id").alias("root"))
             rooted = settle(rooted, "rooted-members")
             open_bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("band").alias("of"))
-            apart = settle(rooted.join(open_bands, F.col("band") == F.col("of")).drop("of"), "apart")
+            apart = settle(rooted.join(open_bands, same_band).drop("of"), "apart")
     nodes = rows.groupBy("id").agg(F.min("key").alias("low")).join(roots, F.col("id") == F.col("node"), "left")
     nodes = settle(nodes.select("id", "low", F.coalesce("root", "id").alias("root")), "rooted")
     low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -357,5 +373,6 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, key: str =
     Rows that share a key are one document. Rows without key stay. The rows to go are the smaller side of the join.
     """
     found = near_duplicates(docs, threshold, key, text) if similarity is None else similar_documents(docs, similarity, key=key, text=text)
-    gone = settle(found.where(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[f"`{key}`"] == F.col("__gone"), "left_anti")
+    name = fresh_name(docs, "gone")
+    gone = settle(found.where(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(f"`{key}`") == F.col(name), "left_anti")

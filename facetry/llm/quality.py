@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, binary, settle, text_chunks, whitespace_words, word_spans
+from .common import WordHasher, binary, fresh_name, settle, text_chunks, whitespace_words, word_spans
 
 #: Rows that the classifiers are fitted on, at most: labelled ones, and ones that only the views label. Those with the smallest hash of the key.
 MAX_LABELLED, MAX_UNLABELLED = 8000, 8000
@@ -215,7 +215,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     plain = plain.orderBy(F.xxhash64(F.lit("pool"), F.col("key").cast("string")), "key").limit(max_unlabelled)
     ids = settle(told.unionByName(plain).groupBy("key").agg(F.max("y").alias("__y")).withColumnRenamed("key", "__key"), "sample")
     columns = [F.col(f"`{c}`").alias(c) for c in ("text", "lang", "source", "n_chars")]
-    rows = docs.join(F.broadcast(ids), F.col(f"`{key}`") == F.col("__key")).select("__key", "__y", *columns)
+    kept = docs.select(F.col(f"`{key}`").alias("__of"), *columns)
+    rows = kept.join(F.broadcast(ids), F.col("__of") == F.col("__key")).drop("__of")
     one = rows.groupBy("__key", "__y").agg(F.max(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("__key", "__y", "d.*")
 
     @F.arrow_udf("array<double>")
@@ -250,5 +251,6 @@ def with_quality(docs: DataFrame, model: QualityModel, name: str = "quality_scor
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more under a model fitted on themselves and ``labels``; all columns kept."""
-    scored = with_quality(docs, fit_quality(docs, labels, **options), "__quality")
-    return scored.where(F.col("__quality") >= least).drop("__quality")
+    name = fresh_name(docs, "quality_score")
+    scored = with_quality(docs, fit_quality(docs, labels, **options), name)
+    return scored.where(F.col(name) >= least).drop(name)

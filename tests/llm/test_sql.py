@@ -52,7 +52,8 @@ def test_removal(spark):
 
 
 def test_stages(spark, duck, tmp_path):
-    """Each stage on what the one before kept: quality and near duplicates against the operators' own tested results, the others in SQL."""
+    """Each stage on what the one before kept: quality against the operator's own tested result, near duplicates against all pairs of five-word sets, the
+    others in SQL."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -66,11 +67,12 @@ def test_stages(spark, duck, tmp_path):
     ids = lambda sql: sorted(r[0] for r in duck.execute(sql).fetchall())
     scores = QUERIES["op8_quality"](spark, SF).where("keep").select("doc_id").collect()
     assert ids("SELECT doc_id FROM after_quality") == sorted(r[0] for r in scores)
-    from .test_brute_force import plain_fingerprint, roots
+    from .test_brute_force import roots
+    from .test_near_dedup import plain_similarity, plain_shingles
 
     rows = duck.execute("SELECT doc_id, text FROM after_quality ORDER BY doc_id").fetchall()
-    prints = [plain_fingerprint(t) for _, t in rows]
-    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    sets = [plain_shingles(t) for _, t in rows]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if plain_similarity(sets[i], sets[j]) >= 0.8])
     assert ids("SELECT doc_id FROM after_near_duplicates") == [rows[i][0] for i in range(len(rows)) if root[i] == i]
     clean = DECONTAMINATION_SQL.format(docs="after_near_duplicates") + "SELECT doc_id FROM decon WHERE NOT contaminated"
     assert ids("SELECT doc_id FROM after_decontamination") == ids(clean)
