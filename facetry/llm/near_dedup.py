@@ -26,8 +26,8 @@ BLOCKS = ((0, 6), (21, 6), (42, 7))
 WIDTH, SIMILARITY = 5, 0.8
 #: Minima of a band, and the chance that a pair of just the least similarity shares no band.
 BAND_ROWS, MISS = 6, 1e-4
-#: Most central members of a band that the others meet, round by round, before all that are still apart meet.
-STAR_HUBS = (1, 8)
+#: Members of a band that the others meet, round by round, before all that are still apart meet: the most central one, then many at random.
+STAR_HUBS = (1, 64)
 #: log2 of the bits of the filter by which texts that share no band are left out before they are shuffled.
 TEXT_FILTER_BITS = 26
 _WORDS = whitespace_words()
@@ -309,9 +309,9 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, width: int = W
 
     Pairs that share a band of minima are compared by all their shingles, so no link is wrong; a pair at ``least`` shares no band with chance ``MISS``, a
     more similar one with less. Equal sets are one node. Members of a band first meet its most central one (whose bands hold the most members), those
-    that are in another component then the eight most central ones, and at last all those of the band that are still in different
+    that are in another component then 64 others drawn by their hash, and at last all those of the band that are still in different
     components meet, each pair in one of their bands. A group of n near copies about a centre gives about n comparisons; what remains is the
-    number of those that no centre reaches times the members of their bands. What is compared is the compressed text, of documents that
+    number of those that none of these reaches times the members of their bands. What is compared is the compressed text, of documents that
     share a band only; the others are left out before texts are shuffled. Texts without words are alike; keys as in ``near_duplicates``. An
     empty table gives an empty result; repeated rows are rows of their own; other columns are not looked at.
     """
@@ -340,9 +340,9 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, width: int = W
 
     links, roots, apart = None, None, members.withColumn("root", F.col("id"))
     same_band, other_root = F.col("band") == F.col("of"), F.col("root") != F.col("of_root")
-    for hubs in (*STAR_HUBS, None):
+    for turn, hubs in enumerate((*STAR_HUBS, None)):
         if hubs is not None:
-            order = Window.partitionBy("band").orderBy(F.desc("mates"), "id")
+            order = Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)) if turn else F.desc("mates"), "id")
             best = apart.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs)
             pairs = apart.join(as_hubs(best), same_band & other_root)
         else:
