@@ -8,6 +8,7 @@ import facetry as fy
 from facetry.functions import arrays as A
 from facetry.operators import basis as B
 from facetry.operators import group_stats as G
+from facetry.operators import krylov as K
 from facetry.operators import matrix as M
 from facetry.operators import scoring
 from facetry.operators.blocks import map_blocks, small_table
@@ -165,14 +166,21 @@ def top_eigenvalue(spark, sf):
     return small_table(spark, [(value,)], "value double").select(rounded("value").alias("value"))
 
 
-@query(
-    "a10_weight_spectrum",
-    with_(
-        [EMB, EMB_H, "g AS (SELECT sum(h1 * h1) AS a, sum(h1 * h2) AS b, sum(h2 * h2) AS d FROM emb_h)"],
-        f"""SELECT {r6(f'(a + d - {ROOT}) / 2')} AS smallest, {r6(f'(a + d + {ROOT}) / 2')} AS largest,
-          {r6(f'(a + d + {ROOT}) / (a + d - {ROOT})')} AS condition FROM g""",
-    ),
+SPECTRUM = with_(
+    [EMB, EMB_H, "g AS (SELECT sum(h1 * h1) AS a, sum(h1 * h2) AS b, sum(h2 * h2) AS d FROM emb_h)"],
+    f"""SELECT {r6(f'(a + d - {ROOT}) / 2')} AS smallest, {r6(f'(a + d + {ROOT}) / 2')} AS largest,
+      {r6(f'(a + d + {ROOT}) / (a + d - {ROOT})')} AS condition FROM g""",
 )
+
+
+@query("a10_weight_spectrum_passes", SPECTRUM)
+def weight_spectrum_passes(spark, sf):
+    """The same from passes over the weights, without their Gram matrix."""
+    found = small_table(spark, [K.extreme_eigenvalues(fx.emb_h(spark, sf), column="h")], "smallest double, largest double, condition double")
+    return found.select(*[rounded(c).alias(c) for c in found.columns])
+
+
+@query("a10_weight_spectrum", SPECTRUM)
 def weight_spectrum(spark, sf):
     state, _, _ = known_weights_state(fx.emb_h(spark, sf))
     found = small_table(spark, [B.weight_spectrum(state.gram)], "smallest double, largest double, condition double")

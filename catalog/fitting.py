@@ -9,10 +9,12 @@ import facetry as fy
 from facetry.functions import arrays as A
 from facetry.operators import basis as B
 from facetry.operators import group_stats as G
+from facetry.operators import keyed_groups as K
 from facetry.operators import matrix as M
 from facetry.operators.blocks import small_table
 from facetry.operators.weights import row_weights
 from facetry.plans import factorize as fit
+from facetry.plans import wide_fit
 
 from . import fixtures as fx
 from .aggregates import CROSS, VARIANCE_CTES, state_at_parity
@@ -235,6 +237,16 @@ def wide_step_at_parity(spark, sf, solver: str, *, aware: bool = True, **options
     return B.update_wide_basis(stats, state, B.BasisStep(solver, LAM, omega, **options), start, block_cells=3 * 2 * c)
 
 
+def keyed_step_at_parity(spark, sf, solver: str, **options):
+    """(W, violation) of the same step from groups as keyed rows, twelve features to a row: no group's matrices reach the driver."""
+    start = fx.parity_means(spark, sf)
+    keyed = K.keyed_groups(G.weighted_partials(fx.emb_h(spark, sf), start), 64, 2, block_cells=24)
+    state, _, _ = K.keyed_state(keyed, 2)
+    shares = K.Shares(len(state.groups), 64, float((1.0 / G.noise_variances(state, 64)).sum()))
+    found = K.update_keyed_basis(keyed, B.BasisStep(solver, LAM, np.ones(1), **options), start, shares)
+    return found.basis, found.violation
+
+
 AGD_STEP = with_([*STATS, OMEGA, TOTALS, descent_sql("w", "parity", LAM, 35, "damped")], basis_out("w"))
 
 
@@ -287,6 +299,11 @@ def admm_step_wide(spark, sf):
     return matrix_rows(spark, wide_step_at_parity(spark, sf, "admm", hyper=RHO)[0], "i", "k")
 
 
+@query("f11_admm_step_keyed", ADMM_STEP)
+def admm_step_keyed(spark, sf):
+    return matrix_rows(spark, keyed_step_at_parity(spark, sf, "admm", hyper=RHO)[0], "i", "k")
+
+
 REGULAR = f"""reg AS (SELECT *, g11 * g22 - g12 * g12 AS det, {TOP} AS top FROM (
     SELECT c, g11 + {GAMMA} AS g11, g12, g22 + {GAMMA} AS g22 FROM gs)),
   w0 AS (SELECT i, w1, w2 FROM parity)"""
@@ -349,6 +366,11 @@ def cease_l1_wide(spark, sf):
     return matrix_rows(spark, wide_step_at_parity(spark, sf, "cease", hyper=GAMMA)[0], "i", "k")
 
 
+@query("f13_cease_l1_keyed", CEASE_L1)
+def cease_l1_keyed(spark, sf):
+    return matrix_rows(spark, keyed_step_at_parity(spark, sf, "cease", hyper=GAMMA)[0], "i", "k")
+
+
 @query(
     "f14_central_descent",
     with_(
@@ -588,6 +610,17 @@ def fit_rank2(spark, sf):
     return matrix_rows(spark, fitted_rank2(spark, sf).basis, "i", "k")
 
 
+@query("f21_fit_rank2_blocks", with_(FIT2, basis_out("b2")))
+def fit_rank2_blocks(spark, sf):
+    """The same fit with rows and basis in blocks of 24 features."""
+    start = wide_fit.basis_blocks(spark, fx.parity_means(spark, sf), 24)
+    model = wide_fit.factorize_blocks(
+        wide_fit.feature_blocks(fx.emb(spark, sf), 24), 2, solver="agd", lam=LAM, alpha=0.1, noise_aware=True, max_iter=2, init=start
+    )
+    cells = model.basis_rows().select(F.col("feature_id").alias("i"), F.posexplode("w").alias("k", "value"))
+    return cells.withColumn("value", rounded("value"))
+
+
 @query(
     "f21_labels_rank2",
     with_([*FIT2, simplex_sql("h", "b2", 0.1)], "SELECT row_id, CASE WHEN h1 >= h2 THEN 1 ELSE 2 END AS pred_label FROM h"),

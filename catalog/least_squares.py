@@ -9,8 +9,10 @@ import facetry as fy
 from facetry.functions import arrays as A
 from facetry.operators import extreme_columns as X
 from facetry.operators import group_stats as G
+from facetry.operators import krylov as K
 from facetry.operators import least_squares as L
 from facetry.operators import tsqr as Q
+from facetry.operators import wide_qr as WQ
 from facetry.operators.blocks import small_table
 from facetry.operators.weights import nonnegative_least_squares
 from facetry.plans import separable_nmf as S
@@ -277,3 +279,44 @@ def ridge(spark, sf):
 def qr_solve(spark, sf):
     found = L.coefficients(spark, {0.0: Q.least_squares_qr(fx.order_pair(spark, sf), TARGETS)}, TARGETS)
     return found.withColumn("coefficient", rounded("coefficient"))
+
+
+@query("n10_ridge_passes", ridge_sql("[0.0, 0.1, 10.0]"))
+def ridge_passes(spark, sf):
+    """The same solutions from passes X'(XP), for all lambdas at once and without the Gram matrix."""
+    found = L.coefficients(spark, K.ridge_wide(fx.order_pair(spark, sf), TARGETS, [0.0, 0.1, 10.0], tol=1e-14), TARGETS)
+    return found.withColumn("coefficient", rounded("coefficient"))
+
+
+@query(
+    "n1_tsqr_factor_panels",
+    with_(
+        [ORDERS, ORDER_GRAM, factor_sql(4)],
+        f"""SELECT unnest({[i for i in range(4) for _ in range(4)]})::INT AS i, unnest({list(range(4)) * 4})::INT AS j,
+          {r6(f"unnest([{', '.join(f'r{i}{j}' if i <= j else '0.0' for i in range(4) for j in range(4))}])")} AS value FROM r""",
+    ),
+)
+def tsqr_factor_panels(spark, sf):
+    """R in panels of two columns."""
+    found = WQ.wide_qr(fx.order_sales(spark, sf).select("features"), 4, panel=2).r_rows()
+    return found.select("i", F.posexplode("features").alias("j", "value")).withColumn("value", rounded("value"))
+
+
+@query(
+    "n3_thin_q_panels",
+    with_(
+        [ORDERS, ORDER_GRAM, factor_sql(4), thin_q_sql(4)],
+        f"SELECT row_id, unnest([0, 1, 2, 3])::INT AS i, {r6('unnest([q0, q1, q2, q3])', 9)} AS value FROM q_4",
+    ),
+)
+def thin_q_panels(spark, sf):
+    """Q in panels of two columns."""
+    q = WQ.wide_qr(fx.order_sales(spark, sf).select("row_id", "features"), 4, panel=2).q
+    return q.select("row_id", F.posexplode("features").alias("i", "value")).withColumn("value", rounded("value", 9))
+
+
+@query("n11_qr_solve_panels", ridge_sql("[0.0]"))
+def qr_solve_panels(spark, sf):
+    pair = fx.order_pair(spark, sf)
+    solved = WQ.least_squares_wide(pair, TARGETS, len(pair.first().features), panel=2)
+    return L.coefficients(spark, {0.0: solved}, TARGETS).withColumn("coefficient", rounded("coefficient"))

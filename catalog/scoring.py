@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 import facetry as fy
 from facetry.functions import arrays as A
+from facetry.operators import kmeans as KM
 from facetry.operators import scoring as S
 from facetry.plans import compare as C
 
 from . import fixtures as fx
-from .fixtures import EMB, EMB_CELLS, USER_CELLS, USERS, r6, rounded, with_
+from .fixtures import EMB, EMB_CELLS, USER_CELLS, USERS, matrix_rows, r6, rounded, with_
 from .least_squares import picks_sql
 from .registry import query
 
@@ -73,6 +74,32 @@ def kmeans_nearest(spark, sf):
     return gaps.select("row_id", (F.get("d", F.col("pred_label")) <= F.array_min("d") + 1e-3).alias("nearest"))
 
 
+def lloyd_sql(steps: int) -> str:
+    """Steps of K-Means from the four rows with the lowest draws, the distances as plain sums of squares."""
+    parts = [
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY {fx.uniform_sql('row_id', '0', 3)}, row_id) - 1 AS k, row_id FROM emb QUALIFY k < 4),
+  s0 AS MATERIALIZED (SELECT k, i, v FROM c0 JOIN emb_cells USING (row_id))"""
+    ]
+    for n in range(1, steps + 1):
+        parts.append(
+            f"""d{n} AS MATERIALIZED (SELECT row_id, k, sum(pow(e.v - s.v, 2)) AS d FROM emb_cells e JOIN s{n - 1} s USING (i) GROUP BY ALL),
+  a{n} AS MATERIALIZED (SELECT row_id, arg_min(k, d) AS k FROM d{n} GROUP BY row_id),
+  s{n} AS MATERIALIZED (SELECT k, i, avg(v) AS v FROM emb_cells JOIN a{n} USING (row_id) GROUP BY ALL)"""
+        )
+    return ",\n  ".join(parts)
+
+
+@query("e1_kmeans_steps", with_([EMB, EMB_CELLS, lloyd_sql(2)], f"SELECT k::INT AS k, i, {r6('v')} AS value FROM s2"))
+def kmeans_steps(spark, sf):
+    """Two steps from given centres, summed block by block."""
+    from facetry.plans import factorize as fit
+
+    df = fx.emb(spark, sf)
+    start = fit.initial_basis(df, 4, "random_rows", seed=3).T
+    centres, _ = KM.kmeans_steps(fy.pack_blocks(df), start, max_iter=2)
+    return matrix_rows(spark, centres, "k", "i")
+
+
 @query("f2_kmeans_start_settled", "SELECT unnest(range(4))::INT AS k, true AS settled")
 def kmeans_start_settled(spark, sf):
     """Every starting centre is the mean of the sampled rows nearest to it."""
@@ -112,6 +139,14 @@ def matched_classes(spark, sf):
     return S.match_classes(table(spark, sf)).select("true_label", "pred_label", "n")
 
 
+@query("e4_matched_classes_auction", with_(MATCHED, f"SELECT {r6('sum(1 / (1 + n / total))')} AS cost, count(*) AS pairs FROM matched"))
+def matched_classes_auction(spark, sf):
+    """The total cost of the matching that the auction over the pairs that occur finds: that of the best matching."""
+    matched = S.match_many_classes(table(spark, sf))
+    cost = F.sum(1 / (1 + F.col("n") / F.col("total")))
+    return matched.agg(rounded(cost).alias("cost"), F.count("pred_label").alias("pairs"))
+
+
 @query("e5_accuracy", with_(MATCHED, f"SELECT {r6('sum(n) / max(total)')} AS accuracy FROM matched"))
 def accuracy(spark, sf):
     return S.accuracy(S.match_classes(table(spark, sf))).select(rounded("accuracy").alias("accuracy"))

@@ -144,6 +144,19 @@ def unpack_drawn(blocks: DataFrame, seed: int, share: float = 1.0, per_block: in
     return rows.mapInArrow(run, "draw double, row_id bigint, features array<double>")
 
 
+def unpack_blocks(blocks: DataFrame) -> DataFrame:
+    """``row_id, group_id, features`` of packed blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, groups, ids, cells in zip(*(batch.column(c) for c in ("width", "groups", "ids", "cells"))):
+                x = np.frombuffer(cells.as_buffer(), dtype=np.float64).reshape(-1, width.as_py())
+                columns = [pa.array(np.frombuffer(ids.as_buffer(), dtype=np.int64)), pa.array(np.frombuffer(groups.as_buffer(), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, lists(x)], names=["row_id", "group_id", "features"])
+
+    return blocks.select("width", "groups", "ids", "cells").mapInArrow(run, "row_id bigint, group_id int, features array<double>")
+
+
 def grouped_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(group ids, (n, m) block) pairs of a plain or packed batch."""
     if "cells" not in batch.schema.names:

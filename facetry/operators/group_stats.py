@@ -13,7 +13,7 @@ is therefore summed by all tasks that hold its rows, and no task adds up all par
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -184,6 +184,68 @@ def _summed(partials: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_add_partials, LONG).groupBy("group_id", "kind", "i", "j").agg(F.sum("value").alias("value"))
 
 
+def ragged(rows: Sequence[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([r.size for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.ravel(r) for r in rows]) if rows else np.zeros(0)))
+
+
+def add_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of partial rows with equal (group, kind, first row), in order of these; memory is about FLUSH_CELLS."""
+    names = ["group_id", "kind", "row", "width", "bucket", "cells"]
+    types = (pa.int32(), pa.int8(), pa.int32(), pa.int32(), pa.int32())
+    rows: list[tuple] = []
+    held = 0
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        keys = zip(*(key for key, _ in rows), strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, types, strict=True)), ragged([cells for _, cells in rows])], names=names)
+
+    for batch in batches:
+        keys = zip(*(vector(batch, c).tolist() for c in names[:5]), strict=True)
+        column = batch.column("cells")
+        flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        for key, first, last in zip(keys, offsets, offsets[1:], strict=False):
+            if rows and rows[-1][0][:3] == key[:3]:
+                rows[-1][1][:] += flat[first:last]
+                continue
+            if held > FLUSH_CELLS:
+                yield sent(rows)
+                rows, held = [], 0
+            rows.append((key, flat[first:last].copy()))
+            held += int(last - first)
+    if rows:
+        yield sent(rows)
+
+
+def partial_matrix(cells: np.ndarray, kind: int = 0, row: int = 0) -> Iterator[pa.RecordBatch]:
+    """One task's share of a sum of matrices, rows counted from ``row``, as partial rows of group 0."""
+    step = max(1, PARTIAL_CELLS // cells.shape[1])
+    for k in range(0, len(cells), step):
+        yield _partial_rows(np.zeros(1, np.int32), kind, row + k, cells.shape[1], cells[None, k : k + step])
+
+
+def array_sums(partials: DataFrame) -> dict[int, np.ndarray]:
+    """Summed matrices by kind, on the driver, from the partial rows that ``partial_matrix`` makes in each task.
+
+    Blocks of cells are added in two levels, by bucket of tasks and then over buckets, as arrays throughout. For matrices whose size has been checked.
+    """
+    keys = ["group_id", "kind", "row"]
+    for deal in (["kind", "row", "bucket"], ["kind", "row"]):
+        partials = partials.repartition(*deal).sortWithinPartitions(*keys).mapInArrow(add_arrays, PARTIAL)
+    table = partials.select("kind", "row", "width", "cells").toArrow()
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for batch in table.to_batches():
+        rows = zip(*(vector(batch, c).tolist() for c in ("kind", "row", "width")), batch.column("cells"), strict=True)
+        for kind, row, width, cells in rows:
+            found.setdefault(kind, []).append((row, cells.values.to_numpy(zero_copy_only=False).reshape(-1, width)))
+    out = {}
+    for kind, blocks in found.items():
+        out[kind] = np.zeros((max(row + len(block) for row, block in blocks), blocks[0][1].shape[1]))
+        for row, block in blocks:
+            out[kind][row : row + len(block)] = block
+    return out
+
+
 def solved_statistics(
     df: DataFrame,
     bases: Bases,
@@ -196,6 +258,13 @@ def solved_statistics(
 
     With ``pool`` G and P are summed over all groups within the tasks already.
     """
+    return _summed(solved_partials(df, bases, mode, alpha, eps, pool))
+
+
+def solved_partials(
+    df: DataFrame, bases: Bases, mode: str = "simplex", alpha: float | np.ndarray = 0.1, eps: float = 1e-5, pool: bool = False
+) -> DataFrame:
+    """What the tasks of ``solved_statistics`` have added up, see PARTIAL."""
     kernel = weight_kernel(bases, mode, alpha, eps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +276,52 @@ def solved_statistics(
                 yield from sums.flush()
         yield from sums.flush()
 
+    rows = df.select("width", "groups", "cells") if "cells" in df.columns else df.select("group_id", "features")
+    return rows.mapInArrow(run, PARTIAL)
+
+
+def stacked_statistics(
+    df: DataFrame, bases: Sequence[Bases], groups: np.ndarray, mode: str = "simplex", alpha: float | np.ndarray = 0.1, eps: float = 1e-5
+) -> DataFrame:
+    """``solved_statistics`` for several bases in one pass over the rows: ``group_id`` is the basis' position times the number of groups, plus the
+    group's place among the sorted ``groups``."""
+    kernels = [weight_kernel(b, mode, alpha, eps) for b in bases]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for batch in batches:
+            for ids, x in grouped_rows(batch):
+                at = np.searchsorted(groups, ids)
+                for k, kernel in enumerate(kernels):
+                    sums.add((k * len(groups) + at).astype(np.int32), x, *kernel(ids, x))
+                    if sums.full():
+                        yield from sums.flush()
+        yield from sums.flush()
+
     rows = df.select("width", "groups", "cells") if "cells" in df.columns else df.select("group_id", "features")
     return _summed(rows.mapInArrow(run, PARTIAL))
 
 
+def read_stacked(stats: DataFrame, runs: int, groups: np.ndarray, width: int, rank: int, max_cells: int = 20_000_000) -> list[GroupState]:
+    """The states of ``stacked_statistics``, one for each basis, after a check of their size together."""
+    c = len(groups)
+    check_cells(runs * c * (rank * rank + 2 * rank + SCALARS + width * rank), max_cells, "the group statistics of all runs")
+    table = stats.toArrow()
+    gid, kind, i, j, v = (table.column(k).to_numpy() for k in ("group_id", "kind", "i", "j", "value"))
+    out = []
+    for k in range(runs):
+        own = gid // c == k
+        out.append(state_from_cells(groups[gid[own] - k * c], kind[own], i[own], j[own], v[own], groups, width, rank))
+    return out
+
+
 def weighted_statistics(df: DataFrame, bases: Bases | None = None, centre: np.ndarray | None = None) -> DataFrame:
     """The same statistics for weights given in column ``h`` (squared error only with a basis); with ``centre`` of X - centre H in place of X."""
+    return _summed(weighted_partials(df, bases, centre))
+
+
+def weighted_partials(df: DataFrame, bases: Bases | None = None, centre: np.ndarray | None = None) -> DataFrame:
+    """What the tasks of ``weighted_statistics`` have added up, see PARTIAL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
@@ -238,7 +347,7 @@ def weighted_statistics(df: DataFrame, bases: Bases | None = None, centre: np.nd
                 yield from sums.flush()
         yield from sums.flush()
 
-    return _summed(df.select("group_id", "features", "h").mapInArrow(run, PARTIAL))
+    return df.select("group_id", "features", "h").mapInArrow(run, PARTIAL)
 
 
 def upper_gram(

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_scratch
 from .blocks import TooLarge, check_cells, small_table
+from .matching import auction, partner_table
 from .matrix import keyed_once
 
 
@@ -43,17 +45,11 @@ def contingency(pairs: DataFrame, max_cells: int = 4_000_000) -> DataFrame:
 def count_matrix(table: DataFrame, max_cells: int, max_classes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(true labels, predicted labels, matrix of counts) of a counted table, checked before the transfer and before the matrix is made.
 
-    The counted table is kept for both, so that the rows behind it are joined and counted once.
+    At most one row more than allowed is fetched, by one job, so that the rows behind the table are joined and counted once.
     """
-    own = not table.storageLevel.useMemory
-    counted = table.persist() if own else table
-    try:
-        if counted.count() > max_cells:
-            raise TooLarge(f"the contingency table has more than {max_cells} pairs of classes that occur")
-        cells = counted.toArrow()
-    finally:
-        if own:
-            counted.unpersist()
+    cells = table.limit(max_cells + 1).toArrow()
+    if cells.num_rows > max_cells:
+        raise TooLarge(f"the contingency table has more than {max_cells} pairs of classes that occur")
     t, p, n = (cells.column(c).to_numpy() for c in ("true_label", "pred_label", "n"))
     true_labels, ti = np.unique(t, return_inverse=True)
     pred_labels, pi = np.unique(p, return_inverse=True)
@@ -114,11 +110,15 @@ def match_classes(table: DataFrame, max_classes: int = 2000) -> DataFrame:
     """One-to-one matching of classes: ``true_label, pred_label, n, n_true, n_pred, total``.
 
     Minimises the sum of 1 / (1 + n_ij / total), which is not the matching of highest accuracy.
-    ``table`` is a contingency table, zeros filled or not; it is small and checked: at most ``max_classes`` classes on either side.
+    ``table`` is a contingency table, zeros filled or not. With more than ``max_classes`` classes on either side an auction over the pairs that
+    occur takes the place of the dense matrix, see ``match_many_classes``: the same total cost within a proven gap.
     A true class without a partner has a null ``pred_label`` and n = 0. Equal rows of cost are resolved by label order.
     """
     spark = table.sparkSession
-    true_labels, pred_labels, counts = count_matrix(table, max_classes**2, max_classes)
+    try:
+        true_labels, pred_labels, counts = count_matrix(table, max_classes**2, max_classes)
+    except TooLarge:
+        return match_many_classes(table)
     total = counts.sum()
     partner = assignment(1.0 / (1.0 + counts / total))
     rows = [
@@ -137,6 +137,31 @@ def match_classes(table: DataFrame, max_classes: int = 2000) -> DataFrame:
     )
 
 
+def match_many_classes(table: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """``match_classes`` for any number of classes: an auction over the pairs of classes that occur, without a matrix of all pairs.
+
+    A pair that never occurs costs 1 and so gains nothing over staying single; classes that the auction leaves single are paired in
+    order of their labels, as far as there are any on both sides. The counted table is kept for the rounds, the result lies in the scratch folder.
+    """
+    counts = table.persist()
+    try:
+        total = int(counts.agg(F.sum("n")).first()[0] or 0)
+        found = auction(counts, f"n / ({total} + n)", tolerance)
+        lone_rows = np.flatnonzero(found.partner < 0)
+        lone_columns = np.setdiff1d(np.arange(len(found.columns)), found.partner)
+        partner = found.partner.copy()
+        both = min(len(lone_rows), len(lone_columns))
+        partner[lone_rows[:both]] = lone_columns[:both]
+        true_sums = counts.groupBy("true_label").agg(F.sum("n").alias("n_true"))
+        pred_sums = counts.groupBy("pred_label").agg(F.sum("n").alias("n_pred"))
+        pairs = partner_table(counts, found.rows, found.columns, partner)
+        matched = true_sums.join(pairs, "true_label", "left").join(pred_sums, "pred_label", "left").join(counts, ["true_label", "pred_label"], "left")
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return write_scratch(matched.select("true_label", "pred_label", zero("n"), "n_true", zero("n_pred"), F.lit(total).cast("bigint").alias("total")), "matched")
+    finally:
+        counts.unpersist()
+
+
 def accuracy(matching: DataFrame) -> DataFrame:
     return matching.agg((F.sum("n") / F.max("total")).alias("accuracy"))
 

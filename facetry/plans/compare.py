@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import basis as B
 from ..operators.blocks import small_table
 from ..operators.group_stats import GRAM, read_state, state_from_cells, weighted_statistics
+from ..operators.kmeans import kmeans, nearest_labels
 from ..operators.scoring import accuracy, f_measure, joint_counts, label_pairs, match_classes
 from ..sources.noise import add_gaussian
 from ..sources.planted import planted
@@ -24,13 +25,8 @@ Method = Callable[[DataFrame], DataFrame]
 
 
 def kmeans_labels(df: DataFrame, classes: int, seed: int = 0, max_iter: int = 100, keep: Sequence[str] = ()) -> DataFrame:
-    """``row_id, pred_label`` from the built-in K-Means (k-means|| start); columns to keep come between."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = df.select("row_id", *keep, array_to_vector("features").alias("_points"))
-    model = KMeans(k=classes, maxIter=max_iter, seed=seed, featuresCol="_points", predictionCol="pred_label").fit(points)
-    return model.transform(points).select("row_id", *keep, "pred_label")
+    """``row_id, pred_label`` by K-Means (k-means|| start); columns to keep come between. The labels do not depend on the table's layout."""
+    return nearest_labels(df, kmeans(df, classes, seed, max_iter), keep)
 
 
 def nmf_labels(df: DataFrame, classes: int, keep: Sequence[str] = ()) -> DataFrame:
