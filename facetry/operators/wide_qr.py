@@ -68,32 +68,40 @@ class WideQR:
         return b
 
 
-def _projections(df: DataFrame, low: int, high: int, known: np.ndarray | None) -> np.ndarray:
-    """Q'A for the panel [low, high), with Q the columns before it, after ``known`` (if any) times Q has been taken away from it."""
+Steps = Sequence[tuple[str, np.ndarray]]
+
+
+def _freed(x: np.ndarray, low: int, high: int, steps: Steps) -> np.ndarray:
+    """The panel [low, high) after some steps in turn: "less" Q times a matrix, or "times" a matrix."""
+    a = x[:, low:high]
+    for kind, matrix in steps:
+        a = a @ matrix if kind == "times" else a - x[:, :low] @ matrix
+    return a
+
+
+def _projections(df: DataFrame, low: int, high: int, known: Steps) -> np.ndarray:
+    """Q'A for the panel [low, high) after the steps known so far, with Q the columns before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((low, high - low))
         for batch in batches:
             if batch.num_rows:
                 x = dense(batch)
-                a = x[:, low:high] if known is None else x[:, low:high] - x[:, :low] @ known
-                total += x[:, :low].T @ a
+                total += x[:, :low].T @ _freed(x, low, high, known)
         yield from partial_matrix(total)
 
     return array_sums(df.select("features").mapInArrow(run, PARTIAL))[0]
 
 
-def _panel(df: DataFrame, low: int, high: int, known: np.ndarray | None, inverse: np.ndarray | None, whole: bool) -> DataFrame:
-    """The panel freed from ``known`` and multiplied by ``inverse`` (if any): alone, or in its place in the rows."""
+def _panel(df: DataFrame, low: int, high: int, known: Steps, whole: bool) -> DataFrame:
+    """The panel after the steps known so far: alone, or in its place in the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = dense(batch).copy()
-            a = x[:, low:high] if known is None else x[:, low:high] - x[:, :low] @ known
-            if inverse is not None:
-                a = a @ inverse
+            a = _freed(x, low, high, known)
             if whole:
                 x[:, low:high] = a
                 yield replace_column(batch, "features", lists(x))
@@ -115,15 +123,18 @@ def wide_qr(df: DataFrame, width: int, panel: int | None = None, panel_cells: in
     spark, q, parts = df.sparkSession, df, None
     for k, low in enumerate(range(0, width, panel)):
         high = min(low + panel, width)
-        above = None
-        if low:
-            above = _projections(q, low, high, None)
-            above = above + _projections(q, low, high, above)
-        first = r_matrix(_panel(q, low, high, above, None, False))
-        again = r_matrix(_panel(q, low, high, above, np.linalg.inv(first), False))
-        here = again @ first
-        q = write_scratch(_panel(q, low, high, above, np.linalg.inv(here), True), "q")
-        blocks = [(k, low, here)] if above is None else [(k, 0, above), (k, low, here)]
+        known: list[tuple[str, np.ndarray]] = []
+        above, here = np.zeros((low, high - low)), np.eye(high - low)
+        for _ in range(2):  # the second turn works on columns that are nearly orthonormal already
+            if low:
+                share = _projections(q, low, high, known)
+                above = above + share @ here
+                known.append(("less", share))
+            r = r_matrix(_panel(q, low, high, known, False))
+            known.append(("times", np.linalg.inv(r)))
+            here = r @ here
+        q = write_scratch(_panel(q, low, high, known, True), "q")
+        blocks = [(k, 0, above), (k, low, here)] if low else [(k, low, here)]
         rows = pa.table({"panel": [b[0] for b in blocks], "first": [b[1] for b in blocks], "cells": [np.ravel(b[2]).tolist() for b in blocks]})
         made = write_scratch(spark.createDataFrame(rows, "panel int, first int, cells array<double>"), "r")
         parts = made if parts is None else parts.unionByName(made)

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from facetry.operators import scoring as S
 from facetry.operators.matching import auction
@@ -71,15 +70,3 @@ def test_empty_and_single(spark):
     assert {(r.true_label, r.pred_label, r.n) for r in one} == {(2, 7, 6), (1, None, 0)}
     zeros = S.match_many_classes(table_of(spark, [(1, 7, 5), (1, 8, 0), (2, 7, 0), (2, 8, 0)])).collect()
     assert {(r.true_label, r.pred_label, r.n) for r in zeros} == {(1, 7, 5), (2, 8, 0)}
-
-
-def test_sixty_thousand_classes(spark):
-    """A planted matching among 60,000 classes with rivals for each is found, through the ordinary call."""
-    k = 60_000
-    ids = spark.range(k)
-    planted = ids.select(F.col("id").alias("t"), F.col("id").alias("p"), (F.lit(50) + F.col("id") % 7).alias("n"))
-    rivals = [ids.select(F.col("id").alias("t"), F.pmod(F.col("id") * m + 1, F.lit(k)).alias("p"), (F.lit(1) + F.col("id") % 9).alias("n")) for m in (7, 11)]
-    counts = planted.unionByName(rivals[0]).unionByName(rivals[1]).groupBy("t", "p").agg(F.sum("n").alias("n"))
-    counts = counts.select(F.col("t").cast("int").alias("true_label"), F.col("p").cast("int").alias("pred_label"), F.col("n").cast("bigint").alias("n"))
-    matched = S.match_classes(counts)
-    assert matched.count() == k and matched.where("true_label = pred_label").count() == k

@@ -67,20 +67,3 @@ def test_limits_name_their_remedy(table, monkeypatch):
     monkeypatch.setattr(WF, "GROUP_CELLS", 10)
     with pytest.raises(TooLarge, match="groups' matrices"):
         WF.factorize_blocks(WF.feature_blocks(table, 4), 3, max_iter=1)
-
-
-def test_more_features_than_the_driver_takes(spark):
-    """A basis of 21 million cells: the one-process route refuses it, blocks fit it; the error falls and weights sum to one."""
-    width, rank = 10_500_000, 2
-    low = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: ((i * 7 + F.col("id") * 13) % 11).cast("double") / 10)
-    rows = spark.range(0, 4, 1, 4).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("group_id"), low.alias("features"))
-    blocks = WF.feature_blocks(rows, 1_500_000)
-    with pytest.raises(TooLarge):
-        from facetry.operators.blocks import check_cells
-        from facetry.plans.factorize import BASIS_CELLS
-
-        check_cells(width * rank, BASIS_CELLS, "the basis")
-    model = WF.factorize_blocks(blocks, rank, solver="agd", lam=0.0, noise_aware=False, max_iter=2, seed=1)
-    assert model.history[1][2] < model.history[0][2]
-    assert model.basis.agg(F.sum(F.size("cells"))).first()[0] == width * rank
-    assert all(abs(sum(r.h) - 1) < 1e-3 for r in model.weights(blocks).collect())
