@@ -18,8 +18,8 @@ from ..functions import counter
 from .blocks import check_cells, dense, lists, pack_blocks
 from .group_stats import PARTIAL, array_sums, partial_matrix
 
-# Rounds of oversampling, candidates per centre and round, steps on the candidates alone.
-ROUNDS, OVERSAMPLE, LOCAL_STEPS = 3, 2, 30
+# Rounds of oversampling, candidates per centre and round, steps on the candidates alone, tries among them.
+ROUNDS, OVERSAMPLE, LOCAL_STEPS, RESTARTS = 3, 2, 30, 8
 CENTRE_CELLS = 4_000_000  # cells of all centres or candidates that go along with a pass
 CHUNK_ROWS = 65_536
 
@@ -114,7 +114,8 @@ def seed_centres(blocks: DataFrame, k: int, seed: int = 0) -> np.ndarray:
         candidates = np.concatenate([candidates, lowest(4 * k)])
     candidates = np.unique(candidates, axis=0)
     weights = centre_sums(blocks, candidates)[1]
-    return _among(candidates, weights, k, seed)
+    tries = [_among(candidates, weights, k, seed + 7919 * turn) for turn in range(RESTARTS)]
+    return min(tries, key=lambda centres: (-len(centres), float(weights @ nearest(candidates, centres)[1])))
 
 
 def _among(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
