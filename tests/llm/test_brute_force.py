@@ -357,6 +357,29 @@ def test_gibbs_tables_follow_the_conditional():
     assert np.abs(np.bincount(t.astype(int), minlength=c + 1)[1:] / len(t) - exact).max() < 0.01
 
 
+@pytest.mark.parametrize("discount", [0.5, 0.8])
+def test_tables_of_many_customers(discount):
+    """Mean and spread of the draws against the exact distribution of S(c, t) w^t, from few tables to nearly one a customer."""
+    top, rng = 1200, np.random.default_rng(5)
+    logs, t = np.full(top + 1, -np.inf), np.arange(1, top + 1)
+    logs[1] = 0
+    for c in range(1, 10_001):
+        if c in (10, 100, 300, 1_000, 10_000):
+            for w in (0.05, 0.5, 5, 20, 100, 500, 5_000):
+                log_p = logs[1 : c + 1] + np.log(w) * t[:c]
+                p = np.exp(log_p - log_p.max())
+                p /= p.sum()
+                if len(p) == top and p[-1] > 1e-9:
+                    continue
+                n, mean = 3_000, (p * t[:c]).sum()
+                spread = np.sqrt((p * (t[:c] - mean) ** 2).sum())
+                got = lm_scoring.gibbs_tables(None, np.full(n, c), np.full(n, float(w)), discount, rng)
+                assert got.min() >= 1 and got.max() <= c
+                assert abs(got.mean() - mean) < max(0.02 * mean, 5 * spread / np.sqrt(n)) and abs(got.std() - spread) < 0.1 * spread + 0.02
+        with np.errstate(divide="ignore"):
+            logs[1:] = np.logaddexp(logs[:-1], np.log(np.maximum(c - t * discount, 0)) + logs[1:])
+
+
 @pytest.mark.parametrize("shard_rows", [16, 100, 10_000])
 def test_top_k(spark, shard_rows):
     rng = np.random.default_rng(2)
