@@ -16,7 +16,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word similarity 0.8 or more), the one with the smallest id."""
+    """One document of each group of near duplicates (SimHash and bands of minima, then five-word similarity 0.8 or more), the one with the smallest id."""
     return near_dedup.drop_near_duplicates(docs, similarity=near_dedup.SIMILARITY)
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicate documents: by SimHash fingerprints, compared at the anchor points of a covering code, or by the similarity of their word shingles."""
+"""Near-duplicate documents: by SimHash fingerprints, compared at the anchor points of a covering code, alone or before an exact check of word shingles."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHasher, binary, bit_filter, components, filter_holds, fresh_name, local_forest, mix64, settle, shuffle_width, text_chunks, whitespace_words, word_spans
@@ -28,6 +28,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BAND_ROWS, MISS = 6, 1e-4
 #: Members of a band that the others meet, round by round, before all that are still apart meet: the most central one, then many at random.
 STAR_HUBS = (1, 64)
+#: Shingles of the members of a band that a task compares; a larger band is dealt out as pairs of parts.
+PART_SHINGLES = 1 << 20
 #: log2 of the bits of the filter by which texts that share no band are left out before they are shuffled.
 TEXT_FILTER_BITS = 26
 _WORDS = whitespace_words()
@@ -243,6 +245,17 @@ def band_keys(hashes: np.ndarray, sizes: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_fingerprints(hashes: np.ndarray, sizes: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """SimHash of each set of hashes: bits set in over half of its members, each of which counts once; 0 for an empty set."""
+    counts = np.zeros((len(sizes), 64), np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(hashes), step):
+        bits = np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.diff(owner[at : at + step], prepend=-1))
+        counts[owner[at : at + step][first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def _sketches(bands: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,9 +265,9 @@ def _sketches(bands: int, width: int):
                 keys = band_keys(hashes, sizes, bands)
                 bounds = np.append(0, np.cumsum(np.where(sizes > 0, bands, 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))
-                columns = [batch.column("key").slice(at, len(chunk)), pa.array(set_ids(hashes, sizes)), pa.array(sizes.astype(np.int64)), lists]
+                columns = [batch.column("key").slice(at, len(chunk)), pa.array(set_ids(hashes, sizes)), pa.array(sizes.astype(np.int64)), pa.array(set_fingerprints(hashes, sizes)), lists]
                 at += len(chunk)
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "fp", "bands"])
 
     return run
 
@@ -303,30 +316,106 @@ def _similar(least: float, width: int):
     return run
 
 
-def similar_documents(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def links_among(ids: np.ndarray, part: np.ndarray, root: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, least: float, across: bool) -> list[tuple[int, int]]:
+    """Links that join the sets (none empty) of different roots that are similar enough, compared by all their members: a forest of them. ``across``: only
+    sets of different parts meet. No set meets its own component, nor do those of the largest component meet each other."""
+    members, index = np.unique(hashes, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    label = np.unique(root, return_inverse=True)[1]
+    largest = int(np.argmax(np.bincount(label)))
+    held, out = np.zeros(len(members), bool), []
+    for x in np.flatnonzero(label != largest):
+        apart = label != label[x]
+        if across:
+            apart &= part != part[x]
+        if not apart.any():
+            continue
+        own = index[starts[x] : starts[x] + sizes[x]]
+        held[own] = True
+        both = np.add.reduceat(held[index], starts, dtype=np.int64)
+        held[own] = False
+        hit = np.flatnonzero(apart & (both / (sizes[x] + sizes - both) >= least))
+        met, first = np.unique(label[hit], return_index=True)
+        out += [(int(ids[x]), int(ids[y])) for y in hit[first]]
+        label[np.isin(label, met)] = label[x]
+    return out
+
+
+def _members_of_bands(least: float, width: int):
+    """Links (a, b) among the rows (band, i, j, part, id, root, packed) of each band and pair of parts, which come one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            groups = zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True)
+            for at, own in enumerate(groups):
+                if own != group and rows:
+                    yield links(rows, group[1] < group[2])
+                    rows = []
+                group = own
+                rows.append(tuple(batch.column(c)[at].as_py() for c in ("part", "id", "root", "packed")))
+        if rows:
+            yield links(rows, group[1] < group[2])
+
+    def links(rows: list[tuple], across: bool) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor()
+        part, ids, root, packed = zip(*rows, strict=True)
+        hashes, sizes = zip(*(shingle_sets(chunk, width) for chunk in text_chunks(pa.array([unpack.decompress(x) for x in packed], pa.binary()))), strict=True)
+        found = links_among(np.array(ids), np.array(part), np.array(root), np.concatenate(hashes), np.concatenate(sizes), least, across)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _links_in_bands(apart: DataFrame, texts: DataFrame, least: float, width: int, part_shingles: int) -> DataFrame:
+    """Links among the members of the bands (band, id, size, root): those of different roots that are similar enough, a forest for each band.
+
+    A band's texts meet in one task, or as pairs of parts if they have more than ``part_shingles`` shingles, so that rows grow with members and memory is
+    bounded. Of bands with the same members one is enough.
+    """
+    same = [F.bit_xor(F.xxhash64("id", F.lit(turn))).alias(f"same{turn}") for turn in range(2)]
+    bands = apart.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *same)
+    bands = bands.groupBy("n", "total", "same0", "same1").agg(F.min("band").alias("of"))
+    bands = settle(bands.select("of", F.ceil(F.col("total") / part_shingles).cast("int").alias("parts")), "open-bands")
+    rows = apart.join(bands, F.col("band") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", F.col("id").alias("own"), "root")
+    rows = rows.join(texts, F.col("own") == F.col("id")).select("band", "i", "j", "part", "id", "root", "packed")
+    rows = rows.repartition(shuffle_width(apart.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return settle(rows.mapInArrow(_members_of_bands(least, width), "a bigint, b bigint"), "similar")
+
+
+def similar_documents(
+    docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, part_shingles: int = PART_SHINGLES
+) -> DataFrame:
     """(key, set_id, component_id) for every row of ``docs``: the smallest key among all rows that links reach, the row itself included. Two rows link
     if the Jaccard similarity of their distinct shingles of ``width`` words is ``least`` or more.
 
-    Pairs that share a band of minima are compared by all their shingles, so no link is wrong; a pair at ``least`` shares no band with chance ``MISS``, a
-    more similar one with less. Equal sets are one node. Members of a band first meet its most central one (whose bands hold the most members), those
-    that are in another component then 64 others drawn by their hash, and at last all those of the band that are still in different
-    components meet, each pair in one of their bands. A group of n near copies about a centre gives about n comparisons; what remains is the
-    number of those that none of these reaches times the members of their bands. What is compared is the compressed text, of documents that
-    share a band only; the others are left out before texts are shuffled. Texts without words are alike; keys as in ``near_duplicates``. An
+    Candidates come first from the SimHash fingerprints of the shingles, compared at the anchors of the covering code as in ``near_duplicates``: those within
+    ``threshold`` bits. At ``least`` = 0.8 fingerprints lie about ten bits apart, beyond what a covering of 64 bits can find, so that all that are still apart
+    meet by bands of minima too: a pair at ``least`` shares no band with chance ``MISS``, a more similar one with less. All candidates are compared by all
+    their shingles, so no link is wrong. Equal sets are one node. Members of a band that are still in different components first meet its most central one
+    (whose bands hold the most members), then 64 others drawn by their hash, and at last each other, within a task, see ``_links_in_bands``. A group of n near copies
+    about a centre gives about n comparisons. What is compared is the compressed text, of candidates
+    only; the others are left out before texts are shuffled. Texts without words are alike; keys as in ``near_duplicates``. An
     empty table gives an empty result; repeated rows are rows of their own; other columns are not looked at.
     """
     body = docs.select(F.col(f"`{key}`").alias("key"), binary(text).alias("text"))
     kind = body.schema["key"].dataType.simpleString()
-    rows = settle(body.mapInArrow(_sketches(band_count(least), width), f"key {kind}, id bigint, size bigint, bands array<bigint>"), "sketches")
+    rows = settle(body.mapInArrow(_sketches(band_count(least), width), f"key {kind}, id bigint, size bigint, fp bigint, bands array<bigint>"), "sketches")
     held = rows.select(F.explode("bands").alias("band"), "id", "size").distinct()
     held = settle(held, "bands")
     shared = held.groupBy("band").count().where("count > 1").select(F.col("band").alias("of"), "count")
     members = settle(held.join(shared, F.col("band") == F.col("of")).select("band", "id", "size", "count"), "members")
     central = members.groupBy("id").agg(F.sum("count").alias("mates"))
     members = settle(members.join(central.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("band", "id", "size", "mates"), "members")
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(central.select(F.col("id").alias("key")), TEXT_FILTER_BITS))
+    fingerprinted = settle(rows.where("size > 0").groupBy("fp").agg(F.min(F.struct("id", "size")).alias("low")), "nodes")
+    close = settle(_fingerprint_pairs(rows, fingerprinted, threshold), "close")
+    candidates = central.select("id").unionByName(close.select("id")).unionByName(close.select(F.col("hub").alias("id"))).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(candidates.select(F.col("id").alias("key")), TEXT_FILTER_BITS))
     texts = body.select("text").mapInArrow(_packed_texts(width, wanted), "id bigint, packed binary").groupBy("id").agg(F.first("packed").alias("packed"))
-    texts = settle(texts.join(central.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi"), "texts")
+    texts = settle(texts.join(candidates.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi"), "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         near = F.least("of_size", "size") >= F.lit(least) * F.greatest("of_size", "size")
@@ -335,30 +424,24 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, width: int = W
             pairs = pairs.join(texts.select(F.col("id").alias("of"), F.col("packed").alias(f"of_{side}")), F.col(side) == F.col("of")).drop("of")
         return settle(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_similar(least, width), "a bigint, b bigint"), "similar")
 
-    def as_hubs(side: DataFrame, *more: Column) -> DataFrame:
-        return side.select(F.col("band").alias("of"), F.col("id").alias("hub"), F.col("size").alias("of_size"), F.col("root").alias("of_root"), *more)
-
-    links, roots, apart = None, None, members.withColumn("root", F.col("id"))
     same_band, other_root = F.col("band") == F.col("of"), F.col("root") != F.col("of_root")
-    for turn, hubs in enumerate((*STAR_HUBS, None)):
-        if hubs is not None:
-            order = Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)) if turn else F.desc("mates"), "id")
-            best = apart.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs)
-            pairs = apart.join(as_hubs(best), same_band & other_root)
-        else:
-            # A pair meets in the first of the bands that it shares.
-            bands = apart.groupBy(F.col("id").alias("owner")).agg(F.collect_set("band").alias("all"))
-            apart = settle(apart.join(bands, F.col("id") == F.col("owner")).drop("owner"), "apart")
-            once = F.array_min(F.array_intersect("all", "of_all")) == F.col("band")
-            pairs = apart.join(as_hubs(apart, F.col("all").alias("of_all")), same_band & other_root & (F.col("hub") < F.col("id")) & once)
-        found = links_of(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        if hubs is not None:
-            rooted = members.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "size", "mates", F.coalesce("root", "id").alias("root"))
-            rooted = settle(rooted, "rooted-members")
-            open_bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("band").alias("of"))
-            apart = settle(rooted.join(open_bands, same_band).drop("of"), "apart")
+
+    def still_apart(roots: DataFrame) -> DataFrame:
+        """Members of the bands that have more than one root."""
+        rooted = members.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "size", "mates", F.coalesce("root", "id").alias("root"))
+        rooted = settle(rooted, "rooted-members")
+        open_bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("band").alias("of"))
+        return settle(rooted.join(open_bands, same_band).drop("of"), "apart")
+
+    links = links_of(close)
+    apart = still_apart(components(links))
+    for turn, hubs in enumerate(STAR_HUBS):
+        order = Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)) if turn else F.desc("mates"), "id")
+        best = apart.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs)
+        best = best.select(F.col("band").alias("of"), F.col("id").alias("hub"), F.col("size").alias("of_size"), F.col("root").alias("of_root"))
+        links = links.unionByName(links_of(apart.join(best, same_band & other_root)))
+        apart = still_apart(components(links))
+    roots = components(links.unionByName(_links_in_bands(apart, texts, least, width, part_shingles)))
     nodes = rows.groupBy("id").agg(F.min("key").alias("low")).join(roots, F.col("id") == F.col("node"), "left")
     nodes = settle(nodes.select("id", "low", F.coalesce("root", "id").alias("root")), "rooted")
     low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -366,6 +449,17 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, width: int = W
     return rows.join(found, F.col("id") == F.col("of")).select(F.col("key").alias(key), F.col("id").alias("set_id"), "component_id")
 
 
+def _fingerprint_pairs(rows: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """(hub, of_size, id, size) of sets that fingerprints within the threshold join: of each fingerprint the set with the smallest id stands for it, meets the others
+    that have it, and those of other fingerprints along the links."""
+    low = lambda name: nodes.select(F.col("fp").alias(name), F.col("low").alias(f"low_{name}"))
+    equal = rows.where("size > 0").select("fp", "id", "size").distinct().join(low("a"), F.col("fp") == F.col("a"))
+    equal = equal.where(F.col("id") != F.col("low_a.id")).select(F.col("low_a.id").alias("hub"), F.col("low_a.size").alias("of_size"), "id", "size")
+    near = linked_fingerprints(nodes, threshold).where("a != b").distinct().join(low("x"), F.col("a") == F.col("x")).join(low("y"), F.col("b") == F.col("y"))
+    near = near.select(F.col("low_x.id").alias("hub"), F.col("low_x.size").alias("of_size"), F.col("low_y.id").alias("id"), F.col("low_y.size").alias("size"))
+    return equal.unionByName(near)
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller key: one document of each group stays, all columns kept. Links are those of
     ``near_duplicates``, or with ``similarity`` those of ``similar_documents``.

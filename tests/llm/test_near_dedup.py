@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,41 @@ def test_awkward_rows_of_other_stages(spark):
     counts = {r.doc_id: r["count"] for r in taken.groupBy("doc_id").count().collect()}
     assert all(counts.get(key, 0) == copies for key, copies in alone.items())
     assert mixing.repeat_documents(empty(spark), mixing.mix_sources(empty(spark))).count() == 0
+
+
+def test_links_come_from_fingerprints(spark, monkeypatch):
+    """The covering code's candidates alone link exact and very light edits: no band is needed for them, and each is checked by its shingles."""
+    monkeypatch.setattr(near_dedup, "band_keys", lambda hashes, sizes, bands: near_dedup.mix64(np.arange(int((sizes > 0).sum()) * bands) + hashes[:1].sum()).reshape(-1, bands).view(np.int64))
+    rng = random.Random(14)
+    base = words(rng, 4000, 50_000)
+    rows = [(0, base), (1, edited(rng, base, 1)), (2, words(rng, 4000, 50_000)), (3, "a b c d e f"), (4, "f e d c b a")]
+    got = near_dedup.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert by_key((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 4)]
+
+
+def test_rows_of_a_hot_band_grow_with_its_members(spark, monkeypatch):
+    """Members that no hub reaches meet within a task, as pairs of parts if they are many: rows do not grow with pairs, and no link is lost."""
+    rng = random.Random(15)
+    base = words(rng, 200, 9000)
+    rows = list(enumerate(edited(rng, base, rng.choice((2, 3, 4, 6, 9))) for _ in range(150)))
+    docs, want = spark.createDataFrame(rows, "doc_id bigint, text string"), by_key(plain_components(rows))
+    monkeypatch.setattr(near_dedup, "STAR_HUBS", ())
+    most, settle = [], near_dedup.settle
+
+    def noted(df, name):
+        out = settle(df, name)
+        most.append(0 if name == "anchors" else out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "settle", noted)
+    for shingles in (1 << 20, 3000):
+        got = near_dedup.similar_documents(docs, part_shingles=shingles).collect()
+        assert by_key((r.doc_id, r.component_id) for r in got) == want
+    assert max(most) <= 150 * near_dedup.band_count(0.8)
+
+
+def test_fingerprints_of_sets():
+    hashes, sizes = near_dedup.shingle_sets([b"", b"a b c d e f g", b"one", b"x y z " * 50])
+    got = near_dedup.set_fingerprints(hashes, sizes, step=3).view(np.uint64).tolist()
+    want = [sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s)) for s in np.split(hashes, np.cumsum(sizes)[:-1])]
+    assert got == want
