@@ -340,6 +340,24 @@ def test_lm_probabilities_sum_to_one(spark):
     assert scored[1002].n_known == 3 and scored[1003].n_tokens == 1
 
 
+def test_lm_seats_kept_and_settled(spark):
+    """Seats kept from sweep to sweep give the model that the counts alone give, and the query's own sweeps start their samples where tables have settled."""
+    rng = random.Random(9)
+    train = spark.createDataFrame([(i, words(rng, 80, 300)) for i in range(150)], "doc_id bigint, text string")
+    model = lm_scoring.PitmanYorModel(train, lm_scoring.Settings())
+    assert model.seated.count() == model.counts.count() > 0
+    for r in model.seated.collect():
+        plain = lm_scoring.Seating(r.bucket, bytes(r.data), model.settings, model.corpus)
+        kept = lm_scoring.Seating(r.bucket, bytes(r.data), model.settings, model.corpus).sit(bytes(r.seats))
+        for one, two in zip(kept.averaged(model.sweeps), plain.model(model.sweeps), strict=True):
+            assert np.allclose(one, two)
+        assert (kept.guests == plain.guests).all() and (kept.top == plain.top).all()
+    long = lm_scoring.PitmanYorModel(train, lm_scoring.Settings(seed=12), 20, 10)
+    far = np.mean([long.corpus.sweeps[i].guests for i in long.sweeps])
+    assert len(model.sweeps) >= 5
+    assert abs(np.mean([model.corpus.sweeps[i].guests for i in model.sweeps]) - far) < 0.005 * far
+
+
 def test_gibbs_tables_follow_the_conditional():
     """Tables of a dish with 5 customers against their exact distribution S(5, t) w^t."""
     d, w, c = 0.5, 0.7, 5
