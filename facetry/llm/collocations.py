@@ -17,6 +17,8 @@ from .common import WordHasher, binary, bit_filter, filter_holds, mix64, settle,
 WIDTH, LEAST, TOP = 5, 100, 2000
 #: log2 of the bits of the filter that leaves rare pairs and triples out. Its size does not depend on the data.
 FILTER_BITS = 27
+#: Distinct grams that a task holds before it writes them out; those of one chunk of texts come on top.
+HELD_GRAMS = 1 << 18
 #: Doublings of the search for the start of an unary path: paths of up to 2 ** PATH_DOUBLINGS edges are one row, longer ones several.
 PATH_DOUBLINGS = 4
 #: Tasks that the phrases of one language are dealt to where they meet its number of words.
@@ -44,11 +46,24 @@ class _Pieces:
         self.follows = np.zeros(len(self.starts), bool)
         self.follows[:-1] = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1])
         salts = np.array([xxhash.xxh64_intdigest(name.encode()) for name in langs], np.uint64)
-        words = hasher.hashes(self.buffer, self.starts, self.ends)
-        own = salts[self.text] if len(words) else words
-        self.words = mix64(words ^ own)
-        self.pairs = mix64(self.words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
-        self.triples = mix64(self.pairs[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[2:])
+        self.plain = hasher.hashes(self.buffer, self.starts, self.ends)
+        own = salts[self.text] if len(self.plain) else self.plain
+        self.words = mix64(self.plain ^ own)
+        self.pairs = _longer(self.words[:-1], self.plain[1:])
+        self.triples = _longer(self.pairs[:-1], self.plain[2:])
+
+    def grams(self, length: np.ndarray) -> np.ndarray:
+        """A key of the gram of so many words that begins at each word: for up to three words that of the word, pair or triple."""
+        keys = self.words.copy()
+        for k in range(2, int(length.max(initial=1)) + 1):
+            at = np.flatnonzero(length >= k)
+            keys[at] = _longer(keys[at], self.plain[at + k - 1])
+        return keys
+
+
+def _longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of grams from those of their beginnings and the hashes of their last words."""
+    return mix64(keys * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
 def _languages(batch: pa.RecordBatch, at: int, n: int) -> list[str]:
@@ -111,12 +126,43 @@ def frequent_keys(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS)
     return filled | _filter_of(docs.mapInArrow(_count_triples(shared, bits), "key bigint, n bigint"), least, bits)
 
 
-def _edges(filled, bits: int, width: int):
+class _Held:
+    """Grams of a task and how often they occurred, told apart by their keys; a gram's words are looked up where it is new."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.grams: list[tuple[str, str, int]] = []
+
+    def add(self, keys: np.ndarray, n: np.ndarray, gram_of) -> None:
+        """Distinct keys in order with their counts; ``gram_of`` gives (lang, gram, k) of some of them by position."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        self.n[at[known]] += n[known]
+        new = np.flatnonzero(~known)
+        places = len(self.grams) + np.arange(len(new))
+        self.grams += gram_of(new)
+        self.keys, self.n, self.place = (np.insert(x, at[new], y) for x, y in ((self.keys, keys[new]), (self.n, n[new]), (self.place, places)))
+
+    def rows(self, totals: Counter[str]) -> pa.RecordBatch:
+        langs, grams, ks = zip(*self.grams, strict=True) if self.grams else ((), (), ())
+        n = np.empty_like(self.n)
+        n[self.place] = self.n
+        some = [(lang, c) for lang, c in totals.items() if c]
+        columns = [[*langs, *(lang for lang, _ in some)], [*grams, *(None for _ in some)], [*ks, *(0 for _ in some)], [*n.tolist(), *(c for _, c in some)]]
+        types = (pa.string(), pa.string(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "gram", "k", "n"])
+
+
+def _edges(filled, bits: int, width: int, most: int = HELD_GRAMS):
     """(lang, gram, k, n): for every word the gram of ``width`` words that begins there, or what is left of it before its piece ends or a rare pair or
-    triple; words that stand alone and are rare give none. ``k`` = 0: all words of a language. Summed over a chunk of texts."""
+    triple; words that stand alone and are rare give none. ``k`` = 0: all words of a language. Summed over a task, or over as many of its chunks of texts as
+    have ``most`` grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        held, totals = _Held(), Counter()
         for batch in batches:
             at = 0
             for chunk in text_chunks(batch.column("text")):
@@ -131,26 +177,25 @@ def _edges(filled, bits: int, width: int):
                 halts = np.flatnonzero(~goes_on)
                 steps = halts[np.searchsorted(halts, np.arange(n))] - np.arange(n) if n else halts  # triples in a row
                 length = np.where(joins, 2 + np.minimum(steps, width - 2), 1)
-                raw = p.buffer.tobytes()
+                begins = joins.copy()
                 single = np.flatnonzero(~joins)
-                _, first, some = np.unique(p.words[single], return_index=True, return_counts=True)  # by hash, within a chunk of texts
-                first = single[first]
-                known = filter_holds(filled.value, p.words[first], bits)
-                counts: Counter[tuple[str, bytes, int]] = Counter()
-                for i, c in zip(first[known].tolist(), some[known].tolist(), strict=True):
-                    counts[langs[p.text[i]], raw[p.starts[i] : p.ends[i]], 1] += c
-                several = np.flatnonzero(joins)
-                starts, ends = p.starts.tolist(), p.ends.tolist()
-                for i, k, t in zip(several.tolist(), length[several].tolist(), p.text[several].tolist(), strict=True):
-                    counts[langs[t], b" ".join([raw[starts[j] : ends[j]] for j in range(i, i + k)]), k] += 1
-                totals: Counter[str] = Counter()
+                begins[single] = filter_holds(filled.value, p.words[single], bits)
+                begins = np.flatnonzero(begins)
+                keys, first, some = np.unique(p.grams(length)[begins], return_index=True, return_counts=True)
+                first = begins[first]
+
+                def gram_of(new: np.ndarray, p=p, langs=langs, at=first, k=length[first]) -> list[tuple[str, str, int]]:
+                    raw = p.buffer.tobytes()
+                    spans = zip(p.starts[at[new]].tolist(), p.ends[at[new] + k[new] - 1].tolist(), k[new].tolist(), p.text[at[new]].tolist(), strict=True)
+                    return [(langs[t], b" ".join(raw[s:e].split()).decode("utf-8", "replace"), k) for s, e, k, t in spans]  # within a piece only spaces and tabs part words
+
+                held.add(keys, some.astype(np.int64), gram_of)
                 for t, some in enumerate(np.bincount(p.text, minlength=len(chunk)).tolist()):
                     totals[langs[t]] += some
-                rows = [(lang, gram.decode("utf-8", "replace"), k, c) for (lang, gram, k), c in counts.items()]
-                rows += [(lang, None, 0, c) for lang, c in totals.items() if c]
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "gram", "k", "n"])
+                if len(held.keys) >= most:
+                    yield held.rows(totals)
+                    held, totals = _Held(), Counter()
+        yield held.rows(totals)
 
     return run
 

@@ -7,6 +7,8 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,25 @@ def test_phrases_of_awkward_rows(spark):
     got = collocations.collocations(awkward(spark), least=2).collect()
     assert got and all(r.lang in ("en", "fr", "und") and r.a >= 2 for r in got)
     assert collocations.collocations(empty(spark), least=2).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 18, 30])
+def test_edges_are_summed_over_a_task(most):
+    """Grams that many chunks of texts share are one row of a task, or of a part of it that holds enough grams; every word is in exactly one row."""
+    rng = random.Random(21)
+    texts = [" ".join(words(rng, 12, 6).split()) + ". Alone! two  \t words" for _ in range(40)]
+    every = type("Shared", (), {"value": np.full(1 << 4, np.uint64(2**64 - 1))})()
+    batches = lambda: (pa.RecordBatch.from_pydict({"lang": ["en"] * 40, "text": [t.encode() for t in texts]}) for _ in range(25))
+    got = [r for batch in collocations._edges(every, 10, 5, most)(batches()) for r in batch.to_pylist()]
+    want = Counter()
+    for t in texts:
+        for piece in re.split(r"[.!]", t.lower()):
+            w = piece.split()
+            want.update((" ".join(w[i : i + 5]), min(5, len(w) - i)) for i in range(len(w)))
+            want[None, 0] += len(w)
+    found = Counter()
+    for r in got:
+        found[r["gram"], r["k"]] += r["n"]
+    assert found == Counter({gram: 25 * n for gram, n in want.items()})
+    if most > len(want):
+        assert len(got) == len(want)
