@@ -26,8 +26,9 @@ BLOCKS = ((0, 6), (21, 6), (42, 7))
 WIDTH, SIMILARITY = 5, 0.8
 #: Minima of a band, and the chance that a pair of just the least similarity shares no band.
 BAND_ROWS, MISS = 6, 1e-4
-#: Members of a band that the others meet, round by round, before all that are still apart meet: the most central one, then many at random.
-STAR_HUBS = (1, 64)
+#: Members of a band that the others meet as joined pairs, round by round, before all that are still apart meet within tasks: the most central one (further
+#: rounds draw theirs at random). Pairs are members x hubs, which in a band of up to so many members as hubs are all its pairs.
+STAR_HUBS = (1,)
 #: Shingles of the members of a band that a task compares; a larger band is dealt out as pairs of parts.
 PART_SHINGLES = 1 << 20
 #: log2 of the bits of the filter by which texts that share no band are left out before they are shuffled.
@@ -348,12 +349,13 @@ def _members_of_bands(least: float, width: int):
         group, rows = None, []
         for batch in batches:
             groups = zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True)
-            for at, own in enumerate(groups):
+            members = zip(*(batch.column(c).to_pylist() for c in ("part", "id", "root", "packed")), strict=True)
+            for own, member in zip(groups, members, strict=True):
                 if own != group and rows:
                     yield links(rows, group[1] < group[2])
                     rows = []
                 group = own
-                rows.append(tuple(batch.column(c)[at].as_py() for c in ("part", "id", "root", "packed")))
+                rows.append(member)
         if rows:
             yield links(rows, group[1] < group[2])
 
@@ -396,7 +398,7 @@ def similar_documents(
     ``threshold`` bits. At ``least`` = 0.8 fingerprints lie about ten bits apart, beyond what a covering of 64 bits can find, so that all that are still apart
     meet by bands of minima too: a pair at ``least`` shares no band with chance ``MISS``, a more similar one with less. All candidates are compared by all
     their shingles, so no link is wrong. Equal sets are one node. Members of a band that are still in different components first meet its most central one
-    (whose bands hold the most members), then 64 others drawn by their hash, and at last each other, within a task, see ``_links_in_bands``. A group of n near copies
+    (whose bands hold the most members), and then each other, within a task, see ``_links_in_bands``. A group of n near copies
     about a centre gives about n comparisons. What is compared is the compressed text, of candidates
     only; the others are left out before texts are shuffled. Texts without words are alike; keys as in ``near_duplicates``. An
     empty table gives an empty result; repeated rows are rows of their own; other columns are not looked at.

@@ -1,6 +1,7 @@
 """Near duplicates by similarity: against all pairs, on awkward rows, in hot bands, and how many planted pairs are found."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -156,3 +157,26 @@ def test_fingerprints_of_sets():
     got = near_dedup.set_fingerprints(hashes, sizes, step=3).view(np.uint64).tolist()
     want = [sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s)) for s in np.split(hashes, np.cumsum(sizes)[:-1])]
     assert got == want
+
+
+def test_pairs_of_a_hot_band_grow_with_its_members(spark, monkeypatch, tmp_path):
+    """What is joined as pairs of texts is a few rows a document, however many members of a band lie apart from its centre; the rest meet within tasks."""
+    rng = random.Random(16)
+    base = words(rng, 200, 9000)
+    rows = list(enumerate(edited(rng, base, rng.choice((4, 6, 9))) for _ in range(300)))
+    similar = near_dedup._similar
+
+    def counted(least, width):
+        def run(batches):
+            for batch in batches:
+                (tmp_path / uuid.uuid4().hex).write_text(str(batch.num_rows))
+                yield from similar(least, width)(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_similar", counted)
+    got = near_dedup.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert by_key((r.doc_id, r.component_id) for r in got) == by_key(plain_components(rows))
+    joined = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    print(f"{joined} pairs of texts joined")
+    assert joined <= 10 * len(rows)
