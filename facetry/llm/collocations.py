@@ -1,4 +1,4 @@
-"""Phrase collocations from a weighted de Bruijn graph: edges are the longest grams, nodes their overlaps, and shorter phrases are counted by node flow."""
+"""Phrase collocations from a weighted de Bruijn graph: edges are the longest frequent grams, nodes their overlaps, and shorter phrases are counted by node flow."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from .common import WordHasher, binary, bit_filter, filter_holds, mix64, settle,
 
 #: Words of an edge (the longest phrase), occurrences of a phrase, and phrases reported of each language.
 WIDTH, LEAST, TOP = 5, 100, 2000
-#: log2 of the bits of the filter that leaves rare pairs and triples out. Its size does not depend on the data.
+#: log2 of the bits of the filter that leaves rare phrases out. Its size does not depend on the data.
 FILTER_BITS = 27
 #: Distinct grams that a task holds before it writes them out; those of one chunk of texts come on top.
 HELD_GRAMS = 1 << 18
@@ -38,7 +38,7 @@ _WORDS, _ENDS = _tables()
 
 
 class _Pieces:
-    """Words of several texts laid end to end: their bytes, whether the next word follows in the same piece, and keys of words, pairs and triples."""
+    """Words of several texts laid end to end: their bytes, whether the next word follows in the same piece, and keys of words and pairs."""
 
     def __init__(self, chunk: list[bytes], langs: list[str], hasher: WordHasher) -> None:
         self.buffer, self.starts, self.ends, self.text = word_spans([t.lower() for t in chunk], _WORDS)
@@ -50,15 +50,19 @@ class _Pieces:
         own = salts[self.text] if len(self.plain) else self.plain
         self.words = mix64(self.plain ^ own)
         self.pairs = _longer(self.words[:-1], self.plain[1:])
-        self.triples = _longer(self.pairs[:-1], self.plain[2:])
 
-    def grams(self, length: np.ndarray) -> np.ndarray:
-        """A key of the gram of so many words that begins at each word: for up to three words that of the word, pair or triple."""
+    def lengths(self, filled: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words, up to ``width``, of the longest gram that begins at each word, ends with its piece at the latest, and whose own beginnings and ends the filter
+        lets pass, and a key of each such gram: all frequent phrases that begin there are beginnings of it. 0: a word that does not pass."""
         keys = self.words.copy()
-        for k in range(2, int(length.max(initial=1)) + 1):
-            at = np.flatnonzero(length >= k)
-            keys[at] = _longer(keys[at], self.plain[at + k - 1])
-        return keys
+        length = filter_holds(filled, keys, bits).astype(np.int64)
+        for k in range(2, width + 1):
+            at = np.flatnonzero((length[:-1] == k - 1) & (length[1:] >= k - 1) & self.follows[:-1])
+            longer = _longer(keys[at], self.plain[at + k - 1])
+            held = filter_holds(filled, longer, bits)
+            keys[at[held]] = longer[held]
+            length[at[held]] = k
+        return length, keys
 
 
 def _longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -86,8 +90,8 @@ def _counted(keys: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
-def _count_triples(shared, bits: int):
-    """(key, n) of the triples whose pairs the filter lets pass, summed over a chunk of texts."""
+def _count_longer(shared, bits: int, k: int):
+    """(key, n) of the grams of ``k`` words whose two grams of one word less the filter lets pass, summed over a chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -96,34 +100,29 @@ def _count_triples(shared, bits: int):
             for chunk in text_chunks(batch.column("text")):
                 p = _Pieces(chunk, _languages(batch, at, len(chunk)), hasher)
                 at += len(chunk)
-                joins = _joins(p, shared.value, bits)
-                yield _counted(p.triples[joins[:-2] & joins[1:-1]])
+                length, keys = p.lengths(shared.value, bits, k - 1)
+                both = np.flatnonzero((length[:-1] == k - 1) & (length[1:] == k - 1))
+                yield _counted(_longer(keys[both], p.plain[both + k - 1]))
 
     return run
 
 
-def _joins(p: _Pieces, filled: np.ndarray, bits: int) -> np.ndarray:
-    """Whether each word and the next are a pair of one piece that the filter lets pass."""
-    where = np.flatnonzero(p.follows)
-    joins = np.zeros(len(p.follows), bool)
-    joins[where] = filter_holds(filled, p.pairs[where], bits)
-    return joins
-
-
 def _filter_of(counted: DataFrame, least: int, bits: int) -> np.ndarray:
     kept = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return bit_filter(kept.select("key"), bits)
 
 
-def frequent_keys(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of the words, pairs and triples that occur at least ``least`` times, as 64-bit words of ``2 ** bits`` bits.
+def frequent_keys(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS, width: int = WIDTH) -> np.ndarray:
+    """A Bloom filter of the words and phrases of up to ``width`` words that occur at least ``least`` times, as 64-bit words of ``2 ** bits`` bits.
 
-    All occurrences are counted, of triples those whose pairs passed. The filter has one size at any number of keys; where it fills up, it lets
-    more that is rare pass, which costs edges and never a phrase.
+    All occurrences are counted, of three words or more those whose beginning and end passed. The filter has one size at any number of keys; where it fills up, it
+    lets more that is rare pass, which costs edges and never a phrase.
     """
     filled = _filter_of(docs.mapInArrow(_count_keys, "key bigint, n bigint"), least, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
-    return filled | _filter_of(docs.mapInArrow(_count_triples(shared, bits), "key bigint, n bigint"), least, bits)
+    for k in range(3, width + 1):
+        shared = docs.sparkSession.sparkContext.broadcast(filled)
+        filled = filled | _filter_of(docs.mapInArrow(_count_longer(shared, bits, k), "key bigint, n bigint"), least, bits)
+    return filled
 
 
 class _Held:
@@ -156,9 +155,8 @@ class _Held:
 
 
 def _edges(filled, bits: int, width: int, most: int = HELD_GRAMS):
-    """(lang, gram, k, n): for every word the gram of ``width`` words that begins there, or what is left of it before its piece ends or a rare pair or
-    triple; words that stand alone and are rare give none. ``k`` = 0: all words of a language. Summed over a task, or over as many of its chunks of texts as
-    have ``most`` grams."""
+    """(lang, gram, k, n): for every word the gram of ``width`` words that begins there, or as much of it as lies in its piece and is frequent; rare words begin
+    none. ``k`` = 0: all words of a language. Summed over a task, or over as many of its chunks of texts as have ``most`` grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -169,19 +167,9 @@ def _edges(filled, bits: int, width: int, most: int = HELD_GRAMS):
                 langs = _languages(batch, at, len(chunk))
                 at += len(chunk)
                 p = _Pieces(chunk, langs, hasher)
-                n = len(p.starts)
-                joins = _joins(p, filled.value, bits)
-                goes_on = np.zeros(n, bool)
-                two = np.flatnonzero(joins[:-1] & joins[1:])
-                goes_on[two] = filter_holds(filled.value, p.triples[two], bits)
-                halts = np.flatnonzero(~goes_on)
-                steps = halts[np.searchsorted(halts, np.arange(n))] - np.arange(n) if n else halts  # triples in a row
-                length = np.where(joins, 2 + np.minimum(steps, width - 2), 1)
-                begins = joins.copy()
-                single = np.flatnonzero(~joins)
-                begins[single] = filter_holds(filled.value, p.words[single], bits)
-                begins = np.flatnonzero(begins)
-                keys, first, some = np.unique(p.grams(length)[begins], return_index=True, return_counts=True)
+                length, keys = p.lengths(filled.value, bits, width)
+                begins = np.flatnonzero(length)
+                keys, first, some = np.unique(keys[begins], return_index=True, return_counts=True)
                 first = begins[first]
 
                 def gram_of(new: np.ndarray, p=p, langs=langs, at=first, k=length[first]) -> list[tuple[str, str, int]]:
@@ -235,13 +223,13 @@ def unary_paths(edges: DataFrame, width: int = WIDTH, doublings: int = PATH_DOUB
 
 def phrase_graph(docs: DataFrame, lang: str = "lang", text: str = "text", width: int = WIDTH, least: int = LEAST, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph of all phrases of up to ``width`` words as three tables: ``paths`` (lang, words, n), the edges with their unary paths compacted;
-    ``ends`` (lang, gram, k, n), the shorter grams with which pieces end; ``totals`` (lang, n), the words of each language.
+    ``ends`` (lang, gram, k, n), the shorter grams with which pieces or frequent phrases end; ``totals`` (lang, n), the words of each language.
 
-    Every word begins one gram: ``width`` words, or fewer where its piece ends. Grams end before a pair or triple of words that occurs fewer than ``least``
-    times, for no phrase that occurs so often holds one; the counts of all phrases without a rare pair or triple stay as they are.
+    Every word begins one gram at most: ``width`` words, or fewer where its piece ends or where more of them, in a row, occur fewer than ``least`` times. No
+    phrase that occurs so often goes on there, so that the counts of all frequent phrases are whole, and rows are no more than frequent phrases for each task.
     """
     body = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), binary(text).alias("text"))
-    filled = frequent_keys(body, least, bits)
+    filled = frequent_keys(body, least, bits, width)
     shared = docs.sparkSession.sparkContext.broadcast(filled)
     grams = body.mapInArrow(_edges(shared, bits, width), "lang string, gram string, k int, n bigint")
     grams = settle(grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")), "grams")

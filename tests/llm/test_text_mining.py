@@ -247,3 +247,16 @@ def test_edges_are_summed_over_a_task(most):
     assert found == Counter({gram: 25 * n for gram, n in want.items()})
     if most > len(want):
         assert len(got) == len(want)
+
+
+def test_rare_grams_make_no_rows(spark):
+    """Grams of words, pairs and triples that are all frequent end where they are rare themselves: what is written are frequent phrases, not all that occur."""
+    rng = random.Random(22)
+    texts = [words(rng, 60, 4) for _ in range(300)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    paths, ends, totals = collocations.phrase_graph(docs, least=100)
+    counts = Counter(" ".join(w[i : i + k]) for w in map(str.split, texts) for k in range(1, 6) for i in range(len(w) - k + 1))
+    frequent = {phrase for phrase, n in counts.items() if n >= 100}
+    assert {r.gram for r in ends.collect()} <= frequent and paths.count() == 0
+    got = {r.phrase: r.n for r in collocations.phrase_counts(paths, ends).where("n >= 100").collect()}
+    assert got == {phrase: counts[phrase] for phrase in frequent}
