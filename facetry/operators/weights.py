@@ -21,6 +21,8 @@ BARRIER_FACTOR = 0.3
 STEP_SHARE = 0.995
 CLAMP = 1e-5
 SYSTEM_CELLS = 1_000_000  # cells of the stacked Newton systems solved at once
+CHUNK_ROWS = 8192  # and rows, so that their vectors stay in a core's cache
+ELIMINATED = 16  # systems of up to so many unknowns are eliminated for all rows together, larger ones solved by LAPACK row by row
 NEAR_ENOUGH = 1e-6  # relative residual that a row may be left with when the steps run out
 
 
@@ -53,56 +55,80 @@ def simplex_rows(
     n, r = b.shape
     if r == 1:
         return np.ones((n, 1)), np.zeros(n, dtype=bool)
-    chunk = max(1, SYSTEM_CELLS // (r * r))
+    chunk = max(1, min(CHUNK_ROWS, SYSTEM_CELLS // (r * r)))
     if n > chunk:
         parts = [simplex_rows(b[k : k + chunk], q, alpha, eps, tol, max_iter) for k in range(0, n, chunk)]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     out, open_rows = np.empty((n, r)), np.zeros(n, dtype=bool)
     rows = np.arange(n)
-    h = np.full((n, r), 1.0 / r)
-    slope = h @ q - b
-    mu = slope.min(axis=1) - 1.0
-    s = slope - mu[:, None]
-    scale = 1.0 + np.abs(b).max(axis=1)
+    b, least, alpha = np.ascontiguousarray(b.T), alpha.min(), alpha[:, None]  # from here on a column for each row
+    h = np.full((r, n), 1.0 / r)
+    slope = q.T @ h - b
+    mu = slope.min(axis=0) - 1.0
+    s = slope - mu
+    scale = 1.0 + np.abs(b).max(axis=0)
     barrier = BARRIER_START
-    diagonal = np.arange(r)
     for _ in range(max_iter):
-        target = np.maximum(barrier, alpha)
-        r_dual = h @ q - mu[:, None] - s - b
-        r_sum = h.sum(axis=1) - 1.0
-        r_comp = h * s - target
-        if barrier <= alpha.min():
-            worst = np.maximum(np.abs(r_dual).max(axis=1), np.maximum(np.abs(r_sum), np.abs(r_comp).max(axis=1)))
+        r_dual = q.T @ h - mu - s - b
+        r_sum = h.sum(axis=0) - 1.0
+        r_comp = h * s - np.maximum(barrier, alpha)
+        if barrier <= least:
+            worst = np.maximum(np.abs(r_dual).max(axis=0), np.maximum(np.abs(r_sum), np.abs(r_comp).max(axis=0)))
             done = worst <= tol * scale
             if done.any():
-                out[rows[done]] = h[done]
-                go = ~done
-                rows, h, s, mu, b, scale = rows[go], h[go], s[go], mu[go], b[go], scale[go]
-                r_dual, r_sum, r_comp = r_dual[go], r_sum[go], r_comp[go]
+                out[rows[done]] = h[:, done].T
+                go = np.flatnonzero(~done)
+                rows, mu, scale, r_sum = rows[go], mu[go], scale[go], r_sum[go]
+                h, s, b, r_dual, r_comp = (x.take(go, axis=1) for x in (h, s, b, r_dual, r_comp))
                 if not rows.size:
                     break
-        systems = np.broadcast_to(q, (rows.size, r, r)).copy()
-        systems[:, diagonal, diagonal] += s / h
-        right = np.stack([-r_dual - r_comp / h, np.ones_like(h)], axis=2)
-        y = np.linalg.solve(systems, right)
-        d_mu = (-r_sum - y[:, :, 0].sum(axis=1)) / y[:, :, 1].sum(axis=1)
-        d_h = y[:, :, 0] + d_mu[:, None] * y[:, :, 1]
+        first, ones = _solve_systems(q, s / h, -r_dual - r_comp / h)
+        d_mu = (-r_sum - first.sum(axis=0)) / ones.sum(axis=0)
+        d_h = first + d_mu * ones
         d_s = (-r_comp - s * d_h) / h
         with np.errstate(divide="ignore", invalid="ignore"):
-            room_h = np.where(d_h < 0, -h / d_h, np.inf).min(axis=1)
-            room_s = np.where(d_s < 0, -s / d_s, np.inf).min(axis=1)
+            room_h = np.where(d_h < 0, -h / d_h, np.inf).min(axis=0)
+            room_s = np.where(d_s < 0, -s / d_s, np.inf).min(axis=0)
         step = np.minimum(1.0, STEP_SHARE * np.minimum(room_h, room_s))
-        h = h + step[:, None] * d_h
-        s = s + step[:, None] * d_s
+        h = h + step * d_h
+        s = s + step * d_s
         mu = mu + step * d_mu
         barrier *= BARRIER_FACTOR
     if rows.size:
-        out[rows] = h
-        left = np.abs(np.stack([h @ q - mu[:, None] - s - b, h * s - np.maximum(barrier, alpha)], axis=2)).max(axis=(1, 2))
-        open_rows[rows] = np.maximum(left, np.abs(h.sum(axis=1) - 1.0)) > NEAR_ENOUGH * scale
+        out[rows] = h.T
+        left = np.maximum(np.abs(q.T @ h - mu - s - b), np.abs(h * s - np.maximum(barrier, alpha))).max(axis=0)
+        open_rows[rows] = np.maximum(left, np.abs(h.sum(axis=0) - 1.0)) > NEAR_ENOUGH * scale
     return np.maximum(out, eps), open_rows
 
 
+def _solve_systems(q: np.ndarray, added: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every column i, the solutions of q + diag(added[:, i]), symmetric and positive definite, for right[:, i] and for ones."""
+    r, n = added.shape
+    if r > ELIMINATED:
+        systems = np.broadcast_to(q, (n, r, r)).copy()
+        systems[:, np.arange(r), np.arange(r)] += added.T
+        y = np.linalg.solve(systems, np.stack([right.T, np.ones((n, r))], axis=2))
+        return y[:, :, 0].T, y[:, :, 1].T
+    lower = [[q[i, j] for j in range(i)] + [q[i, i] + added[i]] for i in range(r)]  # each entry a vector over the columns once it differs among them
+    first, ones = right.copy(), np.ones((r, n))
+    for k in range(r):
+        share = {i: lower[i][k] / lower[k][k] for i in range(k + 1, r)}
+        for i in range(k + 1, r):
+            for j in range(k + 1, i + 1):
+                lower[i][j] = lower[i][j] - share[i] * lower[j][k]
+            first[i] -= share[i] * first[k]
+            ones[i] -= share[i] * ones[k]
+        for i in range(k + 1, r):
+            lower[i][k] = share[i]
+    for k in range(r - 1, -1, -1):
+        first[k] /= lower[k][k]
+        ones[k] /= lower[k][k]
+        for i in range(k + 1, r):
+            first[k] -= lower[i][k] * first[i]
+            ones[k] -= lower[i][k] * ones[i]
+    return first, ones
+
+
 def nonnegative_minimiser(b: np.ndarray, q: np.ndarray, max_iter: int = 200) -> np.ndarray:
     """Rows h >= 0 minimising h'qh/2 - b'h, by block principal pivoting; raises NotConverged if the steps do not suffice."""
     return _all_converged(*nonnegative_rows(b, q, max_iter))

@@ -88,3 +88,22 @@ def test_group_bases(spark):
 def test_unknown_mode():
     with pytest.raises(ValueError):
         W.weight_kernel(np.eye(2), "other", 0.1, 1e-5)
+
+
+@pytest.mark.parametrize("rank", [2, 3, 7, 16, 17])
+def test_small_systems_are_eliminated_together(monkeypatch, rank):
+    """Up to 16 unknowns no row has a LAPACK call of its own; the solutions are the same, and blocks of rows do not show in the weights."""
+    rng = np.random.default_rng(rank)
+    w = rng.normal(size=(rank + 4, rank))
+    q, added, right = w.T @ w, rng.uniform(1e-3, 1e4, (rank, 50)), rng.normal(size=(rank, 50))
+    want = [np.linalg.solve(q + np.diag(added[:, i]), np.stack([right[:, i], np.ones(rank)], axis=1)) for i in range(50)]
+    x = rng.dirichlet(np.full(rank, 0.2), 300) @ w.T + 0.05 * rng.normal(size=(300, rank + 4))
+    alpha = np.full(rank, 0.1)
+    alone = np.concatenate([W.simplex_minimiser(row[None, :], q, alpha) for row in x @ w])
+    if rank <= 16:
+        monkeypatch.setattr(np.linalg, "solve", None)
+    first, ones = W._solve_systems(q, added, right)
+    assert np.allclose(first.T, [y[:, 0] for y in want], rtol=1e-9, atol=1e-12) and np.allclose(ones.T, [y[:, 1] for y in want], rtol=1e-9, atol=1e-12)
+    monkeypatch.setattr(W, "CHUNK_ROWS", 37)
+    h = W.simplex_minimiser(x @ w, q, alpha)
+    assert np.abs(h - alone).max() < 1e-9 and np.abs(h.sum(axis=1) - 1).max() < 1e-3
