@@ -38,7 +38,7 @@ _WORDS, _ENDS = _tables()
 
 
 class _Pieces:
-    """Words of several texts laid end to end: their bytes, whether the next word follows in the same piece, and keys of words and pairs."""
+    """Words of several texts laid end to end: their bytes, whether the next word follows in the same piece, marks of their texts, and keys of words and pairs."""
 
     def __init__(self, chunk: list[bytes], langs: list[str], hasher: WordHasher) -> None:
         self.buffer, self.starts, self.ends, self.text = word_spans([t.lower() for t in chunk], _WORDS)
@@ -50,20 +50,41 @@ class _Pieces:
         own = salts[self.text] if len(self.plain) else self.plain
         self.words = mix64(self.plain ^ own)
         self.pairs = _longer(self.words[:-1], self.plain[1:])
+        marks = np.array([xxhash.xxh64_intdigest(t) & 0xFFFF for t in chunk], np.int64)
+        self.marks = marks[self.text] if len(self.text) else np.zeros(0, np.int64)
 
-    def lengths(self, filled: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words, up to ``width``, of the longest gram that begins at each word, ends with its piece at the latest, and whose own beginnings and ends the filter
-        lets pass, and a key of each such gram: all frequent phrases that begin there are beginnings of it. 0: a word that does not pass."""
+    def passing(self, filled: np.ndarray, bits: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to ``width`` words, the words at which grams begin that end with their piece at the latest and that the filter lets pass as well as their own
+        beginnings and ends, and the keys of those grams."""
         keys = self.words.copy()
         length = filter_holds(filled, keys, bits).astype(np.int64)
+        at = np.flatnonzero(length)
+        yield at, keys[at]
         for k in range(2, width + 1):
             at = np.flatnonzero((length[:-1] == k - 1) & (length[1:] >= k - 1) & self.follows[:-1])
             longer = _longer(keys[at], self.plain[at + k - 1])
             held = filter_holds(filled, longer, bits)
-            keys[at[held]] = longer[held]
-            length[at[held]] = k
+            at, longer = at[held], longer[held]
+            keys[at], length[at] = longer, k
+            yield at, longer
+
+    def lengths(self, filled: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the longest passing gram that begins at each word, and its key: all frequent phrases that begin there are beginnings of it. 0: a word that
+        does not pass."""
+        length, keys = np.zeros(len(self.words), np.int64), self.words.copy()
+        for k, (at, longer) in enumerate(self.passing(filled, bits, width), 1):
+            keys[at], length[at] = longer, k
         return length, keys
 
+    def named(self, filled: np.ndarray, named: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where passing grams of any length begin that ``named`` has for their text, their words, and their keys."""
+        found = []
+        for k, (at, keys) in enumerate(self.passing(filled, bits, width), 1):
+            marks = self.marks[at].astype(np.uint64)
+            own = filter_holds(named, keys ^ marks ^ (marks << np.uint64(48)), bits)
+            found.append((at[own], np.full(int(own.sum()), k), keys[own]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
 
 def _longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Keys of grams from those of their beginnings and the hashes of their last words."""
@@ -75,23 +96,29 @@ def _languages(batch: pa.RecordBatch, at: int, n: int) -> list[str]:
 
 
 def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the words and of the pairs of a piece, summed over a chunk of texts."""
+    """(key, n, mark) of the words and of the pairs of a piece, summed over a chunk of texts."""
     hasher = WordHasher()
     for batch in batches:
         at = 0
         for chunk in text_chunks(batch.column("text")):
             p = _Pieces(chunk, _languages(batch, at, len(chunk)), hasher)
             at += len(chunk)
-            yield _counted(np.concatenate([p.words, p.pairs[p.follows[:-1]]]))
+            pairs = p.follows[:-1]
+            yield _counted(np.concatenate([p.words, p.pairs[pairs]]), np.concatenate([p.marks, p.marks[:-1][pairs]]))
 
 
-def _counted(keys: np.ndarray) -> pa.RecordBatch:
-    keys, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+def _counted(keys: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+    """Distinct keys, how often they occur, and the smallest mark of a text that has them."""
+    order = np.argsort(keys)
+    keys, marks = keys[order], marks[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    n = np.diff(first, append=len(keys))
+    low = np.minimum.reduceat(marks, first) if len(first) else marks
+    return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(low)], names=["key", "n", "mark"])
 
 
 def _count_longer(shared, bits: int, k: int):
-    """(key, n) of the grams of ``k`` words whose two grams of one word less the filter lets pass, summed over a chunk of texts."""
+    """(key, n, mark) of the grams of ``k`` words whose two grams of one word less the filter lets pass, summed over a chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -102,27 +129,35 @@ def _count_longer(shared, bits: int, k: int):
                 at += len(chunk)
                 length, keys = p.lengths(shared.value, bits, k - 1)
                 both = np.flatnonzero((length[:-1] == k - 1) & (length[1:] == k - 1))
-                yield _counted(_longer(keys[both], p.plain[both + k - 1]))
+                yield _counted(_longer(keys[both], p.plain[both + k - 1]), p.marks[both])
 
     return run
 
 
-def _filter_of(counted: DataFrame, least: int, bits: int) -> np.ndarray:
-    kept = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return bit_filter(kept.select("key"), bits)
+def _frequent(docs: DataFrame, run, least: int) -> DataFrame:
+    counted = docs.mapInArrow(run, "key bigint, n bigint, mark bigint").groupBy("key").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
+    return settle(counted.where(F.col("n") >= least), "frequent")
 
 
-def frequent_keys(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS, width: int = WIDTH) -> np.ndarray:
-    """A Bloom filter of the words and phrases of up to ``width`` words that occur at least ``least`` times, as 64-bit words of ``2 ** bits`` bits.
+def frequent_keys(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS, width: int = WIDTH) -> tuple[np.ndarray, DataFrame]:
+    """A Bloom filter of the words and phrases of up to ``width`` words that occur at least ``least`` times, as 64-bit words of ``2 ** bits`` bits; and
+    (key, n, mark) of these phrases: how often each occurs, and the smallest mark of a text that has it.
 
     All occurrences are counted, of three words or more those whose beginning and end passed. The filter has one size at any number of keys; where it fills up, it
-    lets more that is rare pass, which costs edges and never a phrase.
+    lets more that is rare pass, which costs counting and never a phrase.
     """
-    filled = _filter_of(docs.mapInArrow(_count_keys, "key bigint, n bigint"), least, bits)
+    counted = _frequent(docs, _count_keys, least)
+    filled = bit_filter(counted.select("key"), bits)
     for k in range(3, width + 1):
         shared = docs.sparkSession.sparkContext.broadcast(filled)
-        filled = filled | _filter_of(docs.mapInArrow(_count_longer(shared, bits, k), "key bigint, n bigint"), least, bits)
-    return filled
+        longer = _frequent(docs, _count_longer(shared, bits, k), least)
+        filled, counted = filled | bit_filter(longer.select("key"), bits), counted.unionByName(longer)
+    return filled, counted
+
+
+def _names(counted: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of keys with their marks: which texts write a phrase out. One text does, or the few that share its smallest mark, wherever they lie."""
+    return bit_filter(counted.select(F.col("key").bitwiseXOR(F.col("mark")).bitwiseXOR(F.shiftleft("mark", 48)).alias("key")), bits)
 
 
 class _Held:
@@ -146,17 +181,19 @@ class _Held:
 
     def rows(self, totals: Counter[str]) -> pa.RecordBatch:
         langs, grams, ks = zip(*self.grams, strict=True) if self.grams else ((), (), ())
-        n = np.empty_like(self.n)
-        n[self.place] = self.n
+        n, keys = np.empty_like(self.n), np.empty_like(self.keys)
+        n[self.place], keys[self.place] = self.n, self.keys
         some = [(lang, c) for lang, c in totals.items() if c]
         columns = [[*langs, *(lang for lang, _ in some)], [*grams, *(None for _ in some)], [*ks, *(0 for _ in some)], [*n.tolist(), *(c for _, c in some)]]
-        types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "gram", "k", "n"])
+        columns.append([*keys.view(np.int64).tolist(), *(None for _ in some)])
+        types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "gram", "k", "n", "key"])
 
 
-def _edges(filled, bits: int, width: int, most: int = HELD_GRAMS):
-    """(lang, gram, k, n): for every word the gram of ``width`` words that begins there, or as much of it as lies in its piece and is frequent; rare words begin
-    none. ``k`` = 0: all words of a language. Summed over a task, or over as many of its chunks of texts as have ``most`` grams."""
+def _edges(filled, bits: int, width: int, most: int = HELD_GRAMS, named=None):
+    """(lang, gram, k, n, key): for every word the gram of ``width`` words that begins there, or as much of it as lies in its piece and is frequent; rare words
+    begin none. With ``named``: instead all of its beginnings, each from the texts that write it out alone, so that a gram's rows do not grow with tasks.
+    ``k`` = 0: all words of a language. Summed over a task, or over as many of its chunks of texts as have ``most`` grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -167,12 +204,15 @@ def _edges(filled, bits: int, width: int, most: int = HELD_GRAMS):
                 langs = _languages(batch, at, len(chunk))
                 at += len(chunk)
                 p = _Pieces(chunk, langs, hasher)
-                length, keys = p.lengths(filled.value, bits, width)
-                begins = np.flatnonzero(length)
-                keys, first, some = np.unique(keys[begins], return_index=True, return_counts=True)
-                first = begins[first]
-
-                def gram_of(new: np.ndarray, p=p, langs=langs, at=first, k=length[first]) -> list[tuple[str, str, int]]:
+                if named is None:
+                    length, keys = p.lengths(filled.value, bits, width)
+                    begins = np.flatnonzero(length)
+                    length, keys = length[begins], keys[begins]
+                else:
+                    begins, length, keys = p.named(filled.value, named.value, bits, width)
+                keys, first, some = np.unique(keys, return_index=True, return_counts=True)
+
+                def gram_of(new: np.ndarray, p=p, langs=langs, at=begins[first], k=length[first]) -> list[tuple[str, str, int]]:
                     raw = p.buffer.tobytes()
                     spans = zip(p.starts[at[new]].tolist(), p.ends[at[new] + k[new] - 1].tolist(), k[new].tolist(), p.text[at[new]].tolist(), strict=True)
                     return [(langs[t], b" ".join(raw[s:e].split()).decode("utf-8", "replace"), k) for s, e, k, t in spans]  # within a piece only spaces and tabs part words
@@ -226,15 +266,21 @@ def phrase_graph(docs: DataFrame, lang: str = "lang", text: str = "text", width:
     ``ends`` (lang, gram, k, n), the shorter grams with which pieces or frequent phrases end; ``totals`` (lang, n), the words of each language.
 
     Every word begins one gram at most: ``width`` words, or fewer where its piece ends or where more of them, in a row, occur fewer than ``least`` times. No
-    phrase that occurs so often goes on there, so that the counts of all frequent phrases are whole, and rows are no more than frequent phrases for each task.
+    phrase that occurs so often goes on there, so that the counts of all frequent phrases are whole. A gram's words are written out by one text, or few; at how many
+    words it ends is how often it occurs less how often the frequent grams of one word more do that begin with it.
     """
     body = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), binary(text).alias("text"))
-    filled = frequent_keys(body, least, bits, width)
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
-    grams = body.mapInArrow(_edges(shared, bits, width), "lang string, gram string, k int, n bigint")
+    filled, counted = frequent_keys(body, least, bits, width)
+    share = docs.sparkSession.sparkContext.broadcast
+    edges = _edges(share(filled), bits, width, named=share(_names(counted, bits)))
+    written = settle(body.mapInArrow(edges, "lang string, gram string, k int, n bigint, key bigint"), "written")
+    grams = written.where("k > 0").select("lang", "k", "gram", "key").distinct().join(counted.select("key", "n"), "key")
     grams = settle(grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")), "grams")
+    onward = grams.where("k > 1").groupBy(F.col("lang").alias("of"), _first(F.col("gram"), F.col("k") - 1).alias("begun")).agg(F.sum("n").alias("onward"))
+    grams = grams.join(onward, (F.col("lang") == F.col("of")) & (F.col("gram") == F.col("begun")), "left")
+    grams = settle(grams.select("lang", "k", "gram", (F.col("n") - F.coalesce("onward", F.lit(0))).alias("n")).where("n > 0"), "grams")
     paths = settle(unary_paths(grams.where(F.col("k") == width).select("lang", "gram", "n"), width), "paths")
-    return paths, grams.where((F.col("k") > 0) & (F.col("k") < width)), grams.where("k = 0").select("lang", "n")
+    return paths, grams.where(F.col("k") < width), written.where("k = 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(paths: DataFrame, ends: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -260,3 +260,23 @@ def test_rare_grams_make_no_rows(spark):
     assert {r.gram for r in ends.collect()} <= frequent and paths.count() == 0
     got = {r.phrase: r.n for r in collocations.phrase_counts(paths, ends).where("n >= 100").collect()}
     assert got == {phrase: counts[phrase] for phrase in frequent}
+
+
+def test_rows_of_grams_do_not_grow_with_tasks(spark):
+    """Each frequent phrase is written out by the task of one text, or few, however many tasks hold it, and its count is that of all of them."""
+    rng = random.Random(23)
+    texts = [words(rng, 40, 12).replace(" ", " x ", 3) + f". only {i}" for i in range(400)]
+    docs = spark.createDataFrame([("en", t.encode()) for t in texts], "lang string, text binary")
+    filled, counted = collocations.frequent_keys(docs, least=20)
+    counts = Counter(" ".join(w[i : i + k]) for t in texts for piece in t.lower().split(".") for w in [piece.split()] for k in range(1, 6) for i in range(len(w) - k + 1))
+    frequent = {phrase: n for phrase, n in counts.items() if n >= 20}
+    shared = lambda value: type("Shared", (), {"value": value})()
+    run = collocations._edges(shared(filled), collocations.FILTER_BITS, 5, named=shared(collocations._names(counted, collocations.FILTER_BITS)))
+    n_of = {r.key: r.n for r in counted.collect()}
+    for size in (400, 10, 1):  # texts of a task
+        tasks = [texts[i : i + size] for i in range(0, len(texts), size)]
+        rows = [r for t in tasks for b in run(iter([pa.RecordBatch.from_pydict({"lang": ["en"] * len(t), "text": [x.encode() for x in t]})])) for r in b.to_pylist()]
+        assert sum(r["n"] for r in rows if r["k"] == 0) == sum(n for phrase, n in counts.items() if " " not in phrase)
+        grams = [r for r in rows if r["k"]]
+        assert {r["gram"]: n_of[r["key"]] for r in grams if r["key"] in n_of} == frequent
+        assert len(grams) < 1.1 * len(frequent) + 10
