@@ -261,6 +261,14 @@ def unary_paths(edges: DataFrame, width: int = WIDTH, doublings: int = PATH_DOUB
     return chains.select("lang", F.concat(F.split("start", " ", -1), more).alias("words"), "n")
 
 
+def _written(body: DataFrame, least: int, bits: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of the frequent phrases by key, and rows (lang, gram, k, n, key) of the texts that write them out and of the words of languages."""
+    filled, counted = frequent_keys(body, least, bits, width)
+    share = body.sparkSession.sparkContext.broadcast
+    edges = _edges(share(filled), bits, width, named=share(_names(counted, bits)))
+    return counted, settle(body.mapInArrow(edges, "lang string, gram string, k int, n bigint, key bigint"), "written")
+
+
 def phrase_graph(docs: DataFrame, lang: str = "lang", text: str = "text", width: int = WIDTH, least: int = LEAST, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph of all phrases of up to ``width`` words as three tables: ``paths`` (lang, words, n), the edges with their unary paths compacted;
     ``ends`` (lang, gram, k, n), the shorter grams with which pieces or frequent phrases end; ``totals`` (lang, n), the words of each language.
@@ -270,10 +278,9 @@ def phrase_graph(docs: DataFrame, lang: str = "lang", text: str = "text", width:
     words it ends is how often it occurs less how often the frequent grams of one word more do that begin with it.
     """
     body = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), binary(text).alias("text"))
-    filled, counted = frequent_keys(body, least, bits, width)
-    share = docs.sparkSession.sparkContext.broadcast
-    edges = _edges(share(filled), bits, width, named=share(_names(counted, bits)))
-    written = settle(body.mapInArrow(edges, "lang string, gram string, k int, n bigint, key bigint"), "written")
+    counted, written = _written(body, least, bits, width)
+    if not counted.join(written.select("key"), "key", "left_anti").isEmpty():  # texts that each pass reads otherwise, as an unseeded function makes them
+        counted, written = _written(settle(body, "texts"), least, bits, width)
     grams = written.where("k > 0").select("lang", "k", "gram", "key").distinct().join(counted.select("key", "n"), "key")
     grams = settle(grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")), "grams")
     onward = grams.where("k > 1").groupBy(F.col("lang").alias("of"), _first(F.col("gram"), F.col("k") - 1).alias("begun")).agg(F.sum("n").alias("onward"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,3 +281,11 @@ def test_rows_of_grams_do_not_grow_with_tasks(spark):
         grams = [r for r in rows if r["k"]]
         assert {r["gram"]: n_of[r["key"]] for r in grams if r["key"] in n_of} == frequent
         assert len(grams) < 1.1 * len(frequent) + 10
+
+
+def test_phrases_of_texts_that_change_between_passes(spark):
+    """Which text writes a phrase out depends on its words; texts that an unseeded function makes differ in every pass, and no phrase is lost."""
+    other = F.udf(lambda: uuid.uuid4().hex, "string").asNondeterministic()
+    docs = spark.range(300).select(F.lit("en").alias("lang"), F.concat(F.lit("one two three four five six. "), other()).alias("text"))
+    got = {(r.phrase, r.a, r.n) for r in collocations.collocations(docs, least=100).collect()}
+    assert got == {("one two three four five", 300, 2100), ("two three four five six", 300, 2100)}
