@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from facetry.llm import language_id, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, vector_search
-from facetry.llm.common import components, text_chunks
+from facetry.llm.common import components, mix64, text_chunks
 from facetry.llm.queries import QUERIES
 
 from .helpers import words
@@ -358,6 +358,79 @@ def test_lm_seats_kept_and_settled(spark):
     assert abs(np.mean([model.corpus.sweeps[i].guests for i in model.sweeps]) - far) < 0.005 * far
 
 
+def test_lm_every_word_is_a_context_of_its_own(spark):
+    """Nothing is known of a word from what follows others, as where their hashes agree in some bits."""
+    tokens, places = lm_scoring.Tokens(), {}
+    for i in range(2_000):
+        places.setdefault(int(mix64(tokens.read([b"k%d" % i])[0][:1])[0]) % 16_384, []).append(i)
+    pairs = [p[:2] for p in places.values() if len(p) > 1]
+    assert len(pairs) > 50
+    rows = [(i, f"k{i} v{i} k{i} v{i} k{i} v{i} k{i}") for i in sum(pairs, [])]
+    probes = [(10_000 + i, f"k{i} v{i}") for i, _ in pairs] + [(20_000 + i, f"k{i} v{j}") for i, j in pairs]
+    docs = spark.createDataFrame(rows + probes, "doc_id bigint, text string")
+    score = {r.doc_id: r.score for r in lm_scoring.score_texts(docs, F.col("doc_id") >= 10_000).collect()}
+    # Three of the four customers of k{i} sit at v{i}, and none at v{j}.
+    assert all(score[10_000 + i] - score[20_000 + i] > 1 for i, _ in pairs)
+
+
+def test_lm_contexts_in_buckets(spark):
+    """Contexts and words that are not held by all tasks: counts, tables, probabilities that sum to one and scores against plain ones from the seats."""
+    rng = random.Random(21)
+    texts = [words(rng, rng.randrange(60), 5) if i % 9 == 0 else words(rng, 40, rng.choice((60, 400))) for i in range(120)]
+    texts += texts[:3] + ["", " Z\tz\n"]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    settings = lm_scoring.Settings(shared=20, split=6)
+    model = lm_scoring.PitmanYorModel(train, settings)
+    corpus, frequent, n = model.corpus, model.frequent, len(model.sweeps)
+    assert len(frequent.contexts) == 20 and len(frequent.words) == 6
+    counts, tables, excess, guests, home = {}, {}, {}, {}, Counter()
+    for r in model.seated.collect():
+        state = lm_scoring.Seating(r.bucket, bytes(r.data), settings, corpus).sit(bytes(r.seats))
+        names = [*state.words.tolist(), *frequent.words.tolist()]
+        for o, u, c, t in zip(state.owner.tolist(), state.context_ids.tolist(), state.counts.tolist(), state.sampled.tolist(), strict=True):
+            pair = (u if u >= lm_scoring.LEAST else int(frequent.contexts[u]), names[o])
+            assert pair not in counts and n <= t <= n * c
+            counts[pair], tables[pair] = c, t
+            home[(o >= len(state.words), u >= lm_scoring.LEAST)] += 1
+        guests |= {w: [g[i] for g in state.samples] for i, w in enumerate(state.words.tolist())}
+        keys, *over = lm_scoring._unpack(bytes(r.shares)) or [[]]
+        excess |= {int(u): [int(e[i]) for e in over] for i, u in enumerate(keys)}
+    assert min(home[k] for k in ((False, False), (False, True), (True, False), (True, True))) > 50 and len(excess) > 20
+    guests |= {w: [x for i in model.sweeps for x in (corpus.sweeps[i].hot_guests[j], corpus.sweeps[i].hot_top[j])] for j, w in enumerate(frequent.words.tolist())}
+    tokens = lm_scoring.Tokens()
+    read = lambda t: [x.tolist() for x in tokens.read([t.encode()])[:2]]
+    assert Counter((u, w) for t in texts for w, u in zip(*read(t), strict=True)) == counts
+    customers, held = Counter(), Counter()
+    for (u, w), c in counts.items():
+        customers[u] += c
+        held[u] += tables[u, w]
+    of = {u: [corpus.sweeps[i].tables[j] for i in model.sweeps] for j, u in enumerate(frequent.contexts.tolist()) if customers[u]}
+    of |= {u: [customers[u] - e for e in excess.get(u, [0] * n)] for u in customers if u not in of}
+    assert all(sum(of[u]) == held[u] for u in customers)
+
+    def p(w, u):
+        own = (counts.get((u, w), 0) - settings.discount * tables.get((u, w), 0) / n) / (settings.concentration + customers[u])
+        for j, i in enumerate(model.sweeps):
+            t, (g, top) = corpus.sweeps[i], guests.get(w, [0] * 2 * n)[2 * j : 2 * j + 2]
+            parent = g - settings.word_discount * top + (settings.word_concentration + settings.word_discount * t.top) / (corpus.words + 1)
+            share = (settings.concentration + settings.discount * of.get(u, [0] * n)[j]) / (settings.concentration + customers[u])
+            own += share * parent / (settings.word_concentration + t.guests) / n
+        return own
+
+    vocabulary = sorted({w for _, w in counts})
+    for u in [*sorted(customers)[::7], *frequent.contexts.tolist(), 99]:
+        assert sum(p(w, u) for w in [*vocabulary, 99]) == pytest.approx(1)
+    probes = [words(rng, 12, 500) for _ in range(60)] + ["unknown w1 unknown w399 z w2", "z z z"]
+    docs = train.unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(probes)], "doc_id bigint, text string"))
+    plain = {i: sum(math.log10(p(w, u)) for w, u in zip(*read(t), strict=True)) for i, t in [*enumerate(texts), *enumerate(probes, 1000)]}
+    score = lambda **k: {r.doc_id: r.score for r in lm_scoring.score_texts(docs, F.col("doc_id") >= 1000, lm_scoring.Settings(**k)).collect()}
+    got, shared = score(shared=20, split=6), score()
+    assert got == pytest.approx(plain, rel=1e-6)
+    # Where restaurants are held is not part of the model: only the draws differ.
+    for some in ([i for i in plain if i < 1000], [i for i in plain if i >= 1000]):
+        assert sum(got[i] for i in some) == pytest.approx(sum(shared[i] for i in some), rel=0.005)
+
+
 def test_gibbs_tables_follow_the_conditional():
     """Tables of a dish with 5 customers against their exact distribution S(5, t) w^t."""
     d, w, c = 0.5, 0.7, 5
