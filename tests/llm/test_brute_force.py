@@ -431,6 +431,29 @@ def test_lm_contexts_in_buckets(spark):
         assert sum(got[i] for i in some) == pytest.approx(sum(shared[i] for i in some), rel=0.005)
 
 
+def test_lm_reads_a_batch_in_chunks(monkeypatch):
+    """Each chunk of a batch is a part with its own rows, tokens, and contexts to ask for."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 300)
+    rng = random.Random(22)
+    texts = [words(rng, 30) for _ in range(40)]
+    names = np.unique(lm_scoring.Tokens().read([t.encode() for t in texts])[0])
+    frequent = lm_scoring.Frequent(np.sort(np.append(names[:10], np.uint64(lm_scoring.START))), names[:3])
+    corpus = lm_scoring.Corpus(1, 1, np.zeros(11))
+    batch = pa.RecordBatch.from_pydict({"key": list(range(40)), "held_out": [False] * 40, "text": [t.encode() for t in texts]})
+    value = type("Value", (), {"__init__": lambda self, v: setattr(self, "value", v)})
+    run = lm_scoring._read(lm_scoring.Settings(shared=11), value(corpus), value(frequent), value((names[:0], np.zeros(0), np.zeros((0, 11)))))
+    parts = [r.to_pylist() for r in run(iter([batch]))]
+    assert len(parts) > 10 and all({r["kind"] for r in part} == {1, 2, 3} for part in parts)
+    keys = []
+    for part in parts:
+        (head,) = (r["data"] for r in part if r["kind"] == 2)
+        size = int.from_bytes(head[:8], "little")
+        keys += pa.ipc.open_stream(head[8 : 8 + size]).read_next_batch().column("key").to_pylist()
+        sent = [lm_scoring._unpack_pairs(r["data"]) for r in part if r["kind"] == 1]
+        assert sum(len(s[2]) for s in sent) == lm_scoring._unpack(head[8 + size :])[0].sum()
+    assert keys == list(range(40))
+
+
 def test_gibbs_tables_follow_the_conditional():
     """Tables of a dish with 5 customers against their exact distribution S(5, t) w^t."""
     d, w, c = 0.5, 0.7, 5
